@@ -1,0 +1,51 @@
+"""Joining many rows to one row per key, safely when one key holds most of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+HOT_KEYS = 1000
+HOT_ROWS = 100_000
+WAYS = 64
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimiser's size estimate of ``df`` is within its own broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= limit
+
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "left",
+                ways: int = WAYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join ``facts`` (many rows per key) to ``lookup`` (one row per key).
+
+    A lookup within the broadcast limit is left to the optimiser. Otherwise the keys with the
+    most facts are found first: there are at most ``HOT_KEYS`` of them, and any other key holds
+    less than one fact in ``HOT_KEYS``. Facts of a hot key are dealt over ``ways`` salts by a hash
+    of their ``spread`` columns, and the lookup row of that key is repeated once per salt. Rows
+    without a key are dealt the same way, since they match nothing but still have to travel.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("lookup_join keeps facts: how must be left or inner")
+    if fits_broadcast(lookup):
+        return facts.join(lookup, on, how)
+    hot = (
+        facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") >= hot_rows)
+        .orderBy(F.desc("_n")).limit(HOT_KEYS)
+        .select(*on, F.lit(True).alias("_hot"))
+    )
+    # proven bound: HOT_KEYS rows
+    hot = F.broadcast(hot)
+    keyless = F.lit(False)
+    for key in on:
+        keyless = keyless | F.col(key).isNull()
+    salt = F.pmod(F.xxhash64(*spread), F.lit(ways)).cast("int")
+    salted = facts.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | keyless, salt).otherwise(F.lit(0))
+    ).drop("_hot")
+    repeated = lookup.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
