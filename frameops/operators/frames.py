@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions import sampling as S
 from frameops.functions.text import int_param
-from frameops.operators.joins import lookup_join
+from frameops.operators.joins import fits_broadcast, lookup_join
 
 
 def _per_video(frames: DataFrame, videos: DataFrame, how: str = "inner") -> DataFrame:
@@ -128,10 +128,13 @@ def empty_selection_report(plan: DataFrame, selected: DataFrame) -> DataFrame:
 
 def frame_lookup(requests: DataFrame, frames: DataFrame) -> DataFrame:
     """One frame per request; numbers below 0 mean the first frame, unreadable or absent frames give null."""
+    keys = ["video_id", "frame_index"]
     wanted = requests.withColumn("frame_index", F.greatest(F.lit(0).cast("bigint"), F.col("n")))
-    extra = [c for c in frames.columns if c not in ("readable",)]
-    readable = frames.filter("readable").select(*extra)
-    return lookup_join(wanted, readable, ["video_id", "frame_index"], [c for c in requests.columns])
+    readable = frames.filter("readable").drop("readable")
+    asked = wanted.select(*keys).distinct()
+    if fits_broadcast(asked):
+        readable = readable.join(F.broadcast(asked), keys, "left_semi")
+    return lookup_join(wanted, readable, keys, requests.columns, store=False)
 
 
 def frame_timeline(selected: DataFrame, stats: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def frame_at_time(probes: DataFrame, selected: DataFrame, stats: DataFrame) -> D
     shown = lookup_join(probes, lasting, ["video_id"], keys, "inner").withColumn(
         "position", F.pmod(F.floor(F.col("at_ms") / F.col("duration_ms")), F.col("frame_count")).cast("bigint")
     ).drop("frame_count", "duration_ms")
-    return lookup_join(shown, selected.select("video_id", "position", "frame_index"), ["video_id", "position"], keys, "inner")
+    return lookup_join(shown, selected.select("video_id", "position", "frame_index"), ["video_id", "position"], keys, "inner", store=False)
 
 
 def padded_frames(stats: DataFrame, col: str = "frame_count") -> DataFrame:

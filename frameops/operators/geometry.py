@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from frameops.functions.color import parse_hex_literal
 from frameops.operators.joins import lookup_join
 from frameops.operators.lattice import lattice
+from frameops.session import cut_lineage
 
 PIXEL = ["batch_id", "image_id", "y", "x", "r", "g", "b"]
 Fill = str | tuple[int, int, int]
@@ -130,12 +131,19 @@ def _batch_frames(images: DataFrame) -> DataFrame:
     return images.groupBy("batch_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
 
 
+def _without_mask(united: DataFrame, images: DataFrame) -> DataFrame:
+    return _batch_frames(images).join(united.select("batch_id").distinct(), "batch_id", "left_anti")
+
+
+def _or_full(united: DataFrame, images: DataFrame) -> DataFrame:
+    given = united.join(images.select("batch_id").distinct(), "batch_id", "left_semi")
+    whole = lattice(_without_mask(united, images), "width", "height")
+    return given.unionByName(whole.select("batch_id", "y", "x", F.lit(True).alias("selected")))
+
+
 def mask_or_full(mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
     """United mask of each image batch; a batch without any mask selects its whole frame."""
-    frames = _batch_frames(images)
-    given = mask_union(mask_pixels).join(frames.select("batch_id"), "batch_id", "left_semi")
-    without = frames.join(mask_pixels.select("batch_id").distinct(), "batch_id", "left_anti")
-    return given.unionByName(lattice(without, "width", "height").select("batch_id", "y", "x", F.lit(True).alias("selected")))
+    return _or_full(mask_union(mask_pixels), images)
 
 
 def mask_bbox(mask: DataFrame) -> DataFrame:
@@ -146,17 +154,20 @@ def mask_bbox(mask: DataFrame) -> DataFrame:
     )
 
 
-def batch_bbox(mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """``mask_bbox`` of ``mask_or_full`` without spelling out full masks."""
-    frames = _batch_frames(images)
-    given = mask_bbox(mask_union(mask_pixels)).join(frames, "batch_id", "left_semi")
+def _bbox_or_full(united: DataFrame, images: DataFrame) -> DataFrame:
+    given = mask_bbox(united).join(images.select("batch_id").distinct(), "batch_id", "left_semi")
     zero = F.lit(0)
-    whole = frames.join(mask_pixels.select("batch_id").distinct(), "batch_id", "left_anti").select(
+    whole = _without_mask(united, images).select(
         "batch_id", zero.alias("min_x"), F.col("width").alias("max_x"), zero.alias("min_y"), F.col("height").alias("max_y")
     )
     return given.unionByName(whole)
 
 
+def batch_bbox(mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """``mask_bbox`` of ``mask_or_full`` without spelling out full masks."""
+    return _bbox_or_full(mask_union(mask_pixels), images)
+
+
 def pose_window(bbox: DataFrame, width_change: int = 0, height_change: int = 0, offset_x: int = 0, offset_y: int = 0) -> DataFrame:
     """Source window of the output canvas: the box grown evenly, then shifted against the offset."""
     def side(low: str, high: str, change: int) -> Column:
@@ -171,11 +182,15 @@ def pose_window(bbox: DataFrame, width_change: int = 0, height_change: int = 0,
     )
 
 
+def _untouched(pixels: DataFrame, united: DataFrame, images: DataFrame) -> DataFrame:
+    nothing = united.groupBy("batch_id").agg(F.bool_or("selected").alias("any")).filter(~F.col("any"))
+    unmoved = images.join(nothing.select("batch_id"), "batch_id", "left_semi").select("image_id")
+    return with_image(pixels, unmoved).select(*PIXEL)
+
+
 def empty_mask_passthrough(pixels: DataFrame, mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
     """Pixels of batches whose masks select nothing, unchanged."""
-    nothing = mask_union(mask_pixels).groupBy("batch_id").agg(F.bool_or("selected").alias("any")).filter(~F.col("any"))
-    untouched = images.join(nothing.select("batch_id"), "batch_id", "left_semi").select("image_id")
-    return with_image(pixels, untouched).select(*PIXEL)
+    return _untouched(pixels, mask_union(mask_pixels), images)
 
 
 def pose_setup(pixels: DataFrame, images: DataFrame, mask_pixels: DataFrame, fill: Fill = "#000000",
@@ -184,19 +199,20 @@ def pose_setup(pixels: DataFrame, images: DataFrame, mask_pixels: DataFrame, fil
     """Cut a window around the mask out of every image of a batch and fill what lies outside.
 
     With ``only_fill`` just the masked pixels are copied. Batches whose masks select nothing
-    come back unchanged.
+    come back unchanged. The united masks are stored, since every part of the result reads them.
     """
-    window = pose_window(batch_bbox(mask_pixels, images), width_change, height_change, offset_x, offset_y)
-    placed = images.join(window, "batch_id").select(
+    united = cut_lineage(mask_union(mask_pixels))
+    window = pose_window(_bbox_or_full(united, images), width_change, height_change, offset_x, offset_y)
+    placed = cut_lineage(images.join(window, "batch_id").select(
         "image_id", "batch_id", (-F.col("start_x")).alias("left"), (-F.col("start_y")).alias("top"),
         F.col("width").alias("w"), F.col("height").alias("h"), "win_width", "win_height",
-    )
-    untouched = empty_mask_passthrough(pixels, mask_pixels, images)
+    ))
+    untouched = _untouched(pixels, united, images)
     size = F.col("win_width"), F.col("win_height")
     if not only_fill:
         return _place(pixels, placed, *size, fill).unionByName(untouched)
 
-    masked = mask_or_full(mask_pixels, images).filter("selected").select("batch_id", "y", "x")
+    masked = cut_lineage(_or_full(united, images).filter("selected").select("batch_id", "y", "x"))
     spots = lattice(placed, *size, y="dy", x="dx").select(
         "batch_id", "image_id", "dy", "dx", (F.col("dy") - F.col("top")).alias("y"), (F.col("dx") - F.col("left")).alias("x")
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from frameops.session import cut_lineage
+
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
 WAYS = 64
@@ -17,19 +19,23 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "left",
-                ways: int = WAYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+                store: bool = True, ways: int = WAYS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``facts`` (many rows per key) to ``lookup`` (one row per key).
 
-    A lookup within the broadcast limit is left to the optimiser. Otherwise the keys with the
-    most facts are found first: there are at most ``HOT_KEYS`` of them, and any other key holds
+    A lookup whose estimated size is too large to broadcast is stored first, since estimates of joins and
+    aggregates say little; ``store=False`` is for lookups that are large tables themselves. If it is
+    too large for certain, both sides are shuffled. The keys with the
+    most facts are found before: there are at most ``HOT_KEYS`` of them, and any other key holds
     less than one fact in ``HOT_KEYS``. Facts of a hot key are dealt over ``ways`` salts by a hash
     of their ``spread`` columns, and the lookup row of that key is repeated once per salt. Rows
     without a key are dealt the same way, since they match nothing but still have to travel.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join keeps facts: how must be left or inner")
+    if store and not fits_broadcast(lookup):
+        lookup = cut_lineage(lookup)
     if fits_broadcast(lookup):
-        return facts.join(lookup, on, how)
+        return facts.join(F.broadcast(lookup), on, how)
     hot = (
         facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= hot_rows)
@@ -45,7 +51,7 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list
     salted = facts.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot") | keyless, salt).otherwise(F.lit(0))
     ).drop("_hot")
-    repeated = lookup.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    # sizes of exploded rows are underestimated, so neither side may be taken for a small one
+    return salted.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.operators.joins import lookup_join
+from frameops.session import cut_lineage
 
 # Taps per axis and weight scale of the 8-bit resampling this reproduces.
 TAPS = 8
@@ -60,21 +61,23 @@ def resize_pixels(pixels: DataFrame, images: DataFrame, targets: DataFrame) -> D
     ``targets`` has one row per image. The horizontal pass is combined on the map side; its rows are then
     dealt by output column, which serves the vertical pass without a further exchange.
     """
-    sizes = images.join(targets, "image_id").select(
+    sizes = cut_lineage(images.join(targets, "image_id").select(
         "image_id", F.col("width").alias("sw"), F.col("height").alias("sh"),
         F.col("target_width").cast("int").alias("tw"), F.col("target_height").cast("int").alias("th"),
-    )
+    ))
     rows = lookup_join(pixels, sizes, ["image_id"], ["y", "x"], "inner")
     same = (F.col("sw") == F.col("tw")) & (F.col("sh") == F.col("th"))
     untouched = rows.filter(same).select("batch_id", "image_id", "y", "x", "r", "g", "b")
     changed = sizes.filter(~same & (F.col("tw") > 0) & (F.col("th") > 0))
-    across = tap_table(changed.select(F.col("sw").alias("src"), F.col("tw").alias("dst")))
-    down = tap_table(changed.select(F.col("sh").alias("src"), F.col("th").alias("dst")))
+    both = changed.select(F.explode(F.array(
+        F.struct(F.col("sw").alias("src"), F.col("tw").alias("dst")), F.struct(F.col("sh").alias("src"), F.col("th").alias("dst")),
+    )).alias("size")).select("size.*")
+    taps = cut_lineage(tap_table(both))
     keys = ["batch_id", "image_id", "sh", "th"]
     wide = _weigh(
-        rows.filter(~same & (F.col("tw") > 0) & (F.col("th") > 0)), across, "sw", "tw", "x", [*keys, "y"]
+        rows.filter(~same & (F.col("tw") > 0) & (F.col("th") > 0)), taps, "sw", "tw", "x", [*keys, "y"]
     ).repartition("image_id", "x")
-    full = _weigh(wide, down, "sh", "th", "y", ["batch_id", "image_id", "x"])
+    full = _weigh(wide, taps, "sh", "th", "y", ["batch_id", "image_id", "x"])
 
     def level(name: str) -> Column:
         bits = 2 * SCALE_BITS

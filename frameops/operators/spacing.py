@@ -22,10 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from frameops.functions.color import is_muted
-from frameops.session import cut_lineage
+from frameops.session import cut_lineage, wide
 
 CUBE = 8        # level of the single cell holding the whole colour cube
-ROOT = 5        # first level of pairs: at most 512 cells a side and batch
+ROOT = 6        # first level of pairs: at most 64 cells a side and batch
 CHANNELS = (16, 8, 0)
 
 
@@ -83,6 +83,8 @@ def _cells(colors: DataFrame, level: int, parent: int, prefix: str) -> DataFrame
 def _refine(pairs: DataFrame, q_cells: DataFrame, q_on: list[str], p_cells: DataFrame) -> DataFrame:
     """Replace both cells of each pair by their children that may still belong together."""
     left = pairs.select("batch_id", F.col("q").alias("q_up"), F.col("p").alias("p_up"), F.col("upper").alias("limit"))
+    # few pairs now, many after the joins
+    left = left.repartition(wide(pairs.sparkSession), "batch_id", "q_up")
     box = [F.col(c) for c in ("q_lo", "q_hi", "p_lo", "p_hi")]
     return (
         left.join(q_cells, q_on).join(p_cells, ["batch_id", "p_up"])
@@ -191,7 +193,7 @@ def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: f
     for level in steps:
         q_cells = _as_query_cells(cells[level], level, above)
         if level == ROOT:
-            q_cells = F.broadcast(q_cells)  # proven bound: 512 rows
+            q_cells = F.broadcast(q_cells)  # proven bound: 64 rows
         pairs = _prune(_refine(pairs, q_cells, ["q_up"], _cells(palette, level, above, "p")))
         if level <= fine + 1:
             pairs = _drop_near(pairs)
