@@ -12,10 +12,14 @@ WAYS = 64
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the optimiser's size estimate of ``df`` is within its own broadcast limit."""
+    """Whether the optimiser's size estimate of ``df`` is within its own broadcast limit.
+
+    Estimates of joins and aggregates are too high at worst, but exploded rows are counted as if there
+    was one each, so plans with an explode are not trusted.
+    """
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size <= limit
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(plan.stats().sizeInBytes()) <= limit and "Generate " not in plan.toString()
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "left",
@@ -30,8 +34,8 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list
     of their ``spread`` columns, and the lookup row of that key is repeated once per salt. Rows
     without a key are dealt the same way, since they match nothing but still have to travel.
     """
-    if how not in ("left", "inner"):
-        raise ValueError("lookup_join keeps facts: how must be left or inner")
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"facts are the left side of the join: {how!r} is not possible")
     if store and not fits_broadcast(lookup):
         lookup = cut_lineage(lookup)
     if fits_broadcast(lookup):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from frameops.functions.region import empty_region, parsed_once, region_of
+from frameops.operators.joins import lookup_join
 
 ORDER = ("ts", "event_id")
 
@@ -54,7 +55,8 @@ def change_fingerprint(videos: DataFrame, versions: DataFrame, files: DataFrame)
 
     ``videos`` has ``video_id, name, node_id``, ``files`` has ``name, mtime_ms``.
     """
-    known = videos.join(files.select("name", "mtime_ms"), "name", "left").join(versions, "node_id", "left")
+    known = lookup_join(videos, files.select("name", "mtime_ms"), ["name"], ["video_id"])
+    known = lookup_join(known, versions, ["node_id"], ["video_id"])
     stamp = F.coalesce(mtime_text(F.col("mtime_ms")), F.lit("missing"))
     version = F.coalesce(F.col("version"), F.lit(0)).cast("string")
     return known.select("video_id", F.concat_ws("_", stamp, version).alias("fingerprint"))

@@ -58,6 +58,11 @@ def _largest(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
     return reduce(Column.__add__, [gap * gap for gap in gaps])
 
 
+def _never_null(name: str) -> Column:
+    """``name``, known to be present: spares the generated code a null check per operation."""
+    return F.coalesce(F.col(name), F.lit(0)).alias(name)
+
+
 def _boxes() -> list[Column]:
     lo = _packed([F.min(_part(F.col("lo"), s)) for s in CHANNELS]).alias("lo")
     hi = _packed([F.max(_part(F.col("hi"), s)) for s in CHANNELS]).alias("hi")
@@ -74,6 +79,7 @@ def _cells(colors: DataFrame, level: int, parent: int, prefix: str) -> DataFrame
                           F.col("value").alias("lo"), F.col("value").alias("hi"))
             .groupBy("batch_id", "cell").agg(*_boxes())
         )
+    cells = cells.select("batch_id", *(_never_null(c) for c in ("cell", "lo", "hi")))
     return cells.select(
         "batch_id", _cell(F.col("cell"), parent - level, parent).alias(f"{prefix}_up"),
         F.col("cell").alias(prefix), F.col("lo").alias(f"{prefix}_lo"), F.col("hi").alias(f"{prefix}_hi"),
@@ -82,9 +88,8 @@ def _cells(colors: DataFrame, level: int, parent: int, prefix: str) -> DataFrame
 
 def _refine(pairs: DataFrame, q_cells: DataFrame, q_on: list[str], p_cells: DataFrame) -> DataFrame:
     """Replace both cells of each pair by their children that may still belong together."""
+    pairs = pairs.select("batch_id", *(_never_null(c) for c in ("q", "p", "upper")))
     left = pairs.select("batch_id", F.col("q").alias("q_up"), F.col("p").alias("p_up"), F.col("upper").alias("limit"))
-    # few pairs now, many after the joins
-    left = left.repartition(wide(pairs.sparkSession), "batch_id", "q_up")
     box = [F.col(c) for c in ("q_lo", "q_hi", "p_lo", "p_hi")]
     return (
         left.join(q_cells, q_on).join(p_cells, ["batch_id", "p_up"])
@@ -95,7 +100,11 @@ def _refine(pairs: DataFrame, q_cells: DataFrame, q_on: list[str], p_cells: Data
 
 
 def _prune(pairs: DataFrame) -> DataFrame:
-    """Drop palette cells that cannot hold the nearest colour of any colour in their query cell."""
+    """Drop palette cells that cannot hold the nearest colour of any colour in their query cell.
+
+    The pairs left are few, but the next joins multiply them where they lie, so they stay spread wide.
+    """
+    pairs = pairs.repartition(wide(pairs.sparkSession), "batch_id", "q")
     box = [F.col(c) for c in ("q_lo", "q_hi", "p_lo", "p_hi")]
     same_query = Window.partitionBy("batch_id", "q")
     return pairs.withColumn("upper", F.min(_largest(*box)).over(same_query)).filter(F.col("least") <= F.col("upper"))
@@ -103,7 +112,8 @@ def _prune(pairs: DataFrame) -> DataFrame:
 
 def _whole_cube(palette: DataFrame) -> DataFrame:
     """One pair per batch: the whole cube against the whole palette."""
-    return palette.select("batch_id").distinct().select(
+    batches = palette.select("batch_id").distinct().repartition(wide(palette.sparkSession), "batch_id")
+    return batches.select(
         "batch_id", F.lit(0).alias("q"), F.lit(0).alias("p"), F.lit(3 * 255 * 255).alias("upper")
     )
 
@@ -166,6 +176,7 @@ def _allowed_cells(cells: DataFrame, level: int, step: int) -> DataFrame:
 
 
 def _as_query_cells(cells: DataFrame, level: int, parent: int) -> DataFrame:
+    cells = cells.select(*(_never_null(c) for c in ("cell", "lo", "hi", "pick")))
     return cells.select(
         _cell(F.col("cell"), parent - level, parent).alias("q_up"), F.col("cell").alias("q"),
         F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), "pick",
@@ -188,9 +199,7 @@ def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: f
         cells[level] = _allowed_cells(cells[level - 1], level, 1)
 
     pairs, above = _whole_cube(palette), CUBE
-    # a sparse palette has little to gain from the level between the root and the first bound
-    steps = range(ROOT, fine - 1, -1) if min(_levels(palette)) < fine + 1 else (ROOT, fine + 1, fine)
-    for level in steps:
+    for level in range(ROOT, fine - 1, -1):
         q_cells = _as_query_cells(cells[level], level, above)
         if level == ROOT:
             q_cells = F.broadcast(q_cells)  # proven bound: 64 rows
@@ -204,7 +213,7 @@ def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: f
         for i, s in enumerate(CHANNELS)
     ]
     points = (
-        pairs.select("batch_id", "q", "p", "upper").withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        pairs.select("batch_id", *(_never_null(c) for c in ("q", "p", "upper"))).withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(63))))
         .withColumns(dict(zip("rgb", spots)))
         .filter((F.greatest("r", "g", "b") <= max_brightness) & is_muted(F.col("r"), F.col("g"), F.col("b"), *limits))
         .select("batch_id", _packed([F.col("r"), F.col("g"), F.col("b")]).alias("value"),

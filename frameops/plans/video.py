@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from frameops.operators import frames as FR, masklog as L, regions as R
+from frameops.operators.joins import lookup_join
+from frameops.operators.resize import resize_pixels
+from frameops.session import cut_lineage
 from frameops.sources import sinks
 
 
@@ -36,6 +39,26 @@ def load_videos(videos: DataFrame, params: DataFrame, frames: DataFrame, events:
     return LoadedVideos(selected, stats, masks, failed)
 
 
+def load_pixels(loaded: LoadedVideos, pixels: DataFrame, frame_images: DataFrame, crop_to_mask: bool = False) -> DataFrame:
+    """Pixels of the selected frames at their target size, cut to the mask's rectangle if wanted.
+
+    ``frame_images`` says which image holds which frame: ``image_id, batch_id, width, height, video_id,
+    frame_index``. Frames without a rectangle are never cut. Images of other frames are left out first.
+    """
+    masks = loaded.masks.select("video_id", "frame_index", "target_width", "target_height", *(f"mask_{s}" for s in R.SIDES))
+    chosen = cut_lineage(frame_images.join(masks, ["video_id", "frame_index"]))
+    images = chosen.select("image_id", "batch_id", "width", "height")
+    wanted = lookup_join(pixels, images.select("image_id"), ["image_id"], ["y", "x"], "left_semi")
+    resized = resize_pixels(wanted, images, chosen.select("image_id", "target_width", "target_height"))
+    if not crop_to_mask:
+        return resized
+    rectangles = chosen.select(
+        "image_id", F.struct(*(F.col(f"mask_{s}").cast("bigint").alias(s) for s in R.SIDES)).alias("region")
+    )
+    sized = chosen.select("image_id", "batch_id", F.col("target_width").alias("width"), F.col("target_height").alias("height"))
+    return R.region_crop(resized, sized, rectangles)
+
+
 def preview_videos(videos: DataFrame, params: DataFrame, frames: DataFrame, data: str = "payload_text") -> DataFrame:
     """Preview document of every video that has frames; parameters carry ``max_preview_text``."""
     plan = FR.sampling_plan(videos, params)

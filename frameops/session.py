@@ -49,11 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the stored table.
 
     Unlike a checkpointed plan, a stored table tells the optimiser its size, so joins with it are
-    planned by what it really holds.
+    planned by what it really holds. The table is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/frameops/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(stored)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -116,3 +116,23 @@ def test_rerun_list_is_empty_without_changes(spark):
     now = E.change_fingerprint(named, E.mask_version(events), files)
     assert plans.videos_to_rerun(named, files, events, now).count() == 0
     assert plans.videos_to_rerun(named, files, events.filter("op <> 'clear'"), now).count() > 0
+
+
+def test_loading_pixels(spark):
+    videos = spark.createDataFrame([(1, 4, 24.0, 6, 5), (2, 1, 24.0, 6, 5)], "video_id long, total_frames long, original_fps double, width int, height int")
+    params = spark.createDataFrame([(v, 0, 16, 8, 0, 1, 2) for v in (1, 2)], "video_id long, framerate int, custom_width int, "
+                                   "custom_height int, frame_load_cap long, skip_first_frames long, select_every_nth long")
+    frames = spark.createDataFrame([(1, i, True, 6, 5) for i in range(4)] + [(2, 0, True, 6, 5)],
+                                   "video_id long, frame_index long, readable boolean, probe_width int, probe_height int")
+    events = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "1", None, "set", '{"x":2,"y":3,"width":4,"height":99}')],
+                                   "event_id long, ts timestamp_ntz, node_id string, video string, op string, payload string")
+    held = spark.createDataFrame([(10 * v + i, v, 6, 5, v, i) for v, n in ((1, 4), (2, 1)) for i in range(n)],
+                                 "image_id long, batch_id long, width int, height int, video_id long, frame_index long")
+    pixels = held.selectExpr("batch_id", "image_id", "explode(sequence(0, 4)) AS y").selectExpr("*", "explode(sequence(0, 5)) AS x").selectExpr(
+        "*", "CAST(image_id AS INT) AS r", "9 AS g", "7 AS b")
+    loaded = plans.load_videos(videos, params, frames, events)
+    whole = plans.load_pixels(loaded, pixels, held).groupBy("image_id").agg(F.count("*").alias("n"), F.max("r").alias("r"))
+    assert sorted(tuple(r) for r in whole.collect()) == [(11, 128, 11), (13, 128, 13)]
+    cut = plans.load_pixels(loaded, pixels, held, crop_to_mask=True).groupBy("image_id").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.count("*").alias("n"))
+    assert sorted(tuple(r) for r in cut.collect()) == [(11, 3, 4, 20), (13, 3, 4, 20)]
+    assert [r.video_id for r in loaded.failed.collect()] == [2]

@@ -158,11 +158,14 @@ SELECT r, g, b, r*65536 + g*256 + b AS value FROM
  (SELECT CAST(a.v AS INT) AS r, CAST(c.v AS INT) AS g, CAST(e.v AS INT) AS b FROM range(0, 141) a(v), range(0, 141) c(v), range(0, 141) e(v))
  WHERE greatest(r, g, b) / 255.0::DOUBLE * 255.0::DOUBLE <= 140 AND greatest(r, g, b) > 0
   AND (greatest(r, g, b) / 255.0::DOUBLE - least(r, g, b) / 255.0::DOUBLE) / (greatest(r, g, b) / 255.0::DOUBLE) BETWEEN 0.2::DOUBLE AND 0.6::DOUBLE""",
-    "batch_lists": """
-SELECT batch_id, list(r ORDER BY r, g, b) AS rs, list(g ORDER BY r, g, b) AS gs, list(b ORDER BY r, g, b) AS bs FROM palettes GROUP BY 1""",
+    # points of an 8-wide cell are within 6.1 of its middle, so a cell whose middle is 12.2 nearer than the best middle is out
+    "middles": """
+SELECT batch_id, cr, cg, cb, sqrt(min((cr*8+3.5-p.r)*(cr*8+3.5-p.r) + (cg*8+3.5-p.g)*(cg*8+3.5-p.g) + (cb*8+3.5-p.b)*(cb*8+3.5-p.b))) AS d
+ FROM (SELECT DISTINCT r // 8 AS cr, g // 8 AS cg, b // 8 AS cb FROM cube), palettes p GROUP BY ALL""",
+    "kept": "SELECT * FROM (SELECT *, max(d) OVER (PARTITION BY batch_id) AS top FROM middles) WHERE d + 12.2 >= top",
     "distances": """
 SELECT p.batch_id, c.value, min((c.r-p.r)*(c.r-p.r) + (c.g-p.g)*(c.g-p.g) + (c.b-p.b)*(c.b-p.b)) AS d
- FROM cube c, palettes p GROUP BY ALL""",
+ FROM kept k JOIN cube c ON c.r // 8 = cr AND c.g // 8 = cg AND c.b // 8 = cb JOIN palettes p ON p.batch_id = k.batch_id GROUP BY ALL""",
     "winners": """
 SELECT batch_id, CAST(min(value) AS BIGINT) AS value, any_value(d) AS d FROM distances
  JOIN (SELECT batch_id, max(d) AS d FROM distances GROUP BY 1) USING (batch_id, d) GROUP BY batch_id""",
@@ -176,7 +179,7 @@ NEEDS = {
     "sets": ["mask_events"], "last_writes": ["mask_events"], "node_regions": ["last_writes", "sets"], "versions": ["mask_events"],
     "stamps": ["named_videos", "media_files"], "prints": ["stamps", "versions"], "video_masks": ["sizes", "node_regions"],
     "frame_masks": ["capped", "video_masks"], "sampled": ["pixels"], "palettes": ["sampled"],
-    "distances": ["cube", "palettes"], "winners": ["distances"],
+    "middles": ["cube", "palettes"], "kept": ["middles"], "distances": ["kept", "cube", "palettes"], "winners": ["distances"],
 }
 REPEATED = {"distances", "cube", "palettes", "canvases", "full_masks"}
 
@@ -197,9 +200,6 @@ def _with(names: str, body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
 
 
-HSV_OF = "WITH rgbs AS ({rgbs}), hsv AS (" + TABLES["hsv"].strip() + ") {body}"
-
-
 def _hsv(names: str, rgbs: str, body: str) -> str:
     inner = f"rgbs AS ({rgbs.strip()}),\nhsv AS ({TABLES['hsv'].strip()})\n{body.strip()}"
     return _with(names, "SELECT 1").removesuffix("\nSELECT 1") + ",\n" + inner
@@ -247,9 +247,6 @@ SELECT t.batch_id, t.image_id, t.y, t.x, CAST(coalesce(p.r, 32) AS INT) AS r, CA
  LEFT JOIN pixels p ON p.image_id = t.image_id AND p.x = t.sx AND p.y = t.sy""")
 
 
-LIMITS = "CASE WHEN v IS NULL THEN {d} ELSE greatest({lo}, v) END"
-
-
 def _param(name: str, default: int, low: int, high: int | None = None) -> str:
     text = f"trim({name})"
     number = f"CASE WHEN regexp_full_match({text}, '[+-]?[0-9]+(_[0-9]+)*') THEN CAST(replace({text}, '_', '') AS BIGINT) END"
