@@ -1,44 +1,49 @@
 """Region expressions: payload text to region, region to frame."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions.text import int_text
 
 SIDES = ("x", "y", "width", "height")
 
 
-def _whole_number(value: Column) -> Column:
-    """A variant as bigint: numbers are cut toward zero, booleans are 0/1, integer texts count.
+def _whole_number(document: Column, key: str) -> Column:
+    """``key`` as bigint: numbers are cut toward zero, booleans are 0/1, integer texts count.
 
-    An absent value is 0, anything else null.
+    An absent key is 0, anything else null.
     """
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(0).cast("bigint"))
-        .when(kind == "STRING", int_text(F.try_variant_get(value, "$", "string")))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
-        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "bigint"))
+    path = f"$.{key}"
+    number = F.coalesce(
+        F.try_variant_get(document, path, "bigint"), int_text(F.try_variant_get(document, path, "string"))
     )
+    absent = F.try_variant_get(document, path, "variant").isNull()
+    return F.when(absent, F.lit(0).cast("bigint")).otherwise(number)
+
+
+def computed_once(value: Column) -> Column:
+    """Keeps the optimiser from copying a costly expression into every use of its result."""
+    return F.explode(F.array(value))
 
 
-def region_of(payload: Column) -> Column:
-    """Region struct of a JSON payload.
+def with_region(df: DataFrame, payload: str, or_empty: bool = False) -> DataFrame:
+    """Add the ``region`` struct of a JSON payload.
 
     Absent, empty, non-object or unparsable payloads and objects holding a value that is no
-    whole number give null; a missing key counts as 0.
+    whole number give null, or the empty region with ``or_empty``; a missing key counts as 0.
     """
-    document = F.try_parse_json(payload)
-    kind = F.schema_of_variant(document)
-    filled = F.coalesce(kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False))
-    values = F.array(*(F.try_variant_get(document, f"$.{k}", "variant") for k in SIDES))
-    numbers = F.transform(values, _whole_number)
-    region = F.struct(*(numbers[i].alias(k) for i, k in enumerate(SIDES)))
-    return F.when(filled & ~F.exists(numbers, lambda n: n.isNull()), region)
-
-
-def parsed_once(region: Column) -> Column:
-    """Keeps the optimiser from copying a parse into every use of the region's fields."""
-    return F.explode(F.array(region))
+    filled = F.col(payload).rlike(r"^\s*\{") & ~F.col(payload).rlike(r"^\s*\{\s*\}\s*$")
+    numbers = F.struct(*(_whole_number(F.col("_document"), key).alias(key) for key in SIDES))
+    usable = F.col("_document").isNotNull() & filled
+    for key in SIDES:
+        usable = usable & F.col(f"_numbers.{key}").isNotNull()
+    region = F.when(usable, F.col("_numbers"))
+    if or_empty:
+        region = F.coalesce(region, empty_region())
+    return (
+        df.withColumn("_document", computed_once(F.try_parse_json(F.col(payload))))
+        .withColumn("_numbers", computed_once(numbers))
+        .withColumn("region", region).drop("_document", "_numbers")
+    )
 
 
 def empty_region() -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from frameops.functions.region import empty_region, parsed_once, region_of
+from frameops.functions.region import with_region
 from frameops.operators.joins import lookup_join
 
 ORDER = ("ts", "event_id")
@@ -19,23 +19,18 @@ def writes(events: DataFrame) -> DataFrame:
     return events.filter(F.col("op").isin("set", "clear") & F.col("node_id").isNotNull())
 
 
-def stored_region() -> Column:
-    """Region a set event leaves behind; without a usable payload that is the empty region."""
-    return F.coalesce(region_of(F.col("payload")), empty_region())
-
-
 def latest_region(events: DataFrame, key: str = "node_id") -> DataFrame:
     """Last region per node, or per video.
 
-    A clear removes a node's region. Videos only remember sets; clears do not reach them.
+    A clear removes a node's region. Videos only remember sets; clears do not reach them. A set without a
+    usable payload leaves the empty region. Only the last payload of each key is parsed.
     """
     accepted = writes(events)
     if key == "video":
         accepted = accepted.filter((F.col("op") == "set") & (F.coalesce(F.col("video"), F.lit("")) != ""))
     last = accepted.groupBy(key).agg(F.max_by(F.struct("op", "payload"), F.struct(*ORDER)).alias("last"))
-    return last.filter("last.op = 'set'").select(key, F.col("last.payload").alias("payload")).select(
-        key, parsed_once(stored_region()).alias("region")
-    )
+    sets = last.filter("last.op = 'set'").select(key, F.col("last.payload").alias("payload"))
+    return with_region(sets, "payload", or_empty=True).select(key, "region")
 
 
 def mask_version(events: DataFrame) -> DataFrame:

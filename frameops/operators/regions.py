@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from frameops.functions.region import SIDES, clamp_region, parsed_once, region_of
+from frameops.functions.region import SIDES, clamp_region, with_region
 from frameops.operators.joins import lookup_join
 
 
 def region_from_json(df: DataFrame, col: str) -> DataFrame:
     """Add ``region``, read from a JSON payload."""
-    return df.withColumn("region", parsed_once(region_of(F.col(col))))
+    return with_region(df, col)
 
 
 def clamp_regions(df: DataFrame, width: str | Column, height: str | Column) -> DataFrame:

@@ -45,6 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the stored table.
 
@@ -54,8 +60,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/frameops/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stored.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(stored)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +68,9 @@ def wide(spark: SparkSession) -> int:
     """Partition count for rows that are few now and explode into many later.
 
     Adaptive execution would coalesce them by their small size of today, so the
-    count is given explicitly.
+    count is given explicitly. A cluster may still be growing when it is asked for its cores.
     """
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        return context.defaultParallelism
+    return max(context.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

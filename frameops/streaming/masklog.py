@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from frameops.functions.region import parsed_once
-from frameops.operators.masklog import ORDER, stored_region, writes
+from frameops.functions.region import with_region
+from frameops.operators.masklog import ORDER, writes
 
 
 def mask_state_changes(events: DataFrame) -> DataFrame:
@@ -26,11 +26,9 @@ def current_state(changes: DataFrame) -> DataFrame:
     A node's last batch carries its complete state, so the newest row per node is the table.
     """
     newest = changes.groupBy("node_id").agg(F.max_by(F.struct("last", "version"), "batch").alias("state"))
-    region = F.when(F.col("op") == "set", stored_region())
-    return (
-        newest.select("node_id", "state.last.op", "state.last.payload", "state.version")
-        .select("node_id", "op", parsed_once(region).alias("region"), "version")
-    )
+    flat = newest.select("node_id", "state.last.op", "state.last.payload", "state.version")
+    held = F.when(F.col("op") == "set", F.col("region"))
+    return with_region(flat, "payload", or_empty=True).select("node_id", "op", held.alias("region"), "version")
 
 
 def debounce_stream(events: DataFrame, gap: str = "250 milliseconds", delay: str = "1 second", key: str = "node_id") -> DataFrame:

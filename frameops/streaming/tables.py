@@ -6,20 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from frameops.session import shared_dir
+from frameops.session import drop_at_exit, shared_dir
 
 
 class StreamTable:
     """A table in the shared folder that one streaming query writes.
 
     Each micro-batch writes its own folder and overwrites it when it is repeated after a failure, so
-    every batch counts once.
+    every batch counts once. A ``temporary`` table is removed when the application ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None, temporary: bool = False):
         self.spark = spark
         self.base = f"{(root or shared_dir(spark)).rstrip('/')}/frameops/{name}-{uuid.uuid4().hex}"
         self.path, self.checkpoint = f"{self.base}/table", f"{self.base}/checkpoint"
+        if temporary:
+            drop_at_exit(spark, self.base)
 
     def _write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")

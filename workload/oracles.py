@@ -419,7 +419,7 @@ SELECT node_id, l.op, version, CASE WHEN l.op = 'set' THEN coalesce(s.x, 0) END
  CASE WHEN l.op = 'set' THEN coalesce(s.width, 0) END AS width, CASE WHEN l.op = 'set' THEN coalesce(s.height, 0) END AS height
  FROM last_writes l JOIN versions USING (node_id) LEFT JOIN sets s USING (event_id, node_id)"""),
     "debounce_changes": _with("mask_events", """
-SELECT node_id, event_id, ts, video FROM
+SELECT node_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, video FROM
  (SELECT *, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS next_ts FROM mask_events WHERE op = 'param' AND node_id IS NOT NULL)
  WHERE next_ts IS NULL OR next_ts >= ts + INTERVAL 6 HOURS"""),
     "stream_new_media": _with("media_files", """

@@ -421,16 +421,17 @@ def stale_videos(spark, d):
 @query
 def stream_mask_state(spark, d):
     changes = mask_state_changes(X.mask_events_of(X.table_stream(spark, d, "events")))
-    return _region_columns(current_state(StreamTable(spark, "mask-state").drain(changes, "update")))
+    return _region_columns(current_state(StreamTable(spark, "mask-state", temporary=True).drain(changes, "update")))
 
 
 @query
 def debounce_changes(spark, d):
     changes = X.mask_events(spark, d).filter("op = 'param'")
-    return E.debounce_changes(changes, BURST_GAP).select("node_id", "event_id", "ts", "video")
+    last = E.debounce_changes(changes, BURST_GAP)
+    return last.select("node_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "video")
 
 
 @query
 def stream_new_media(spark, d):
     arrived = new_media(X.media_files_of(X.table_stream(spark, d, "customer")))
-    return StreamTable(spark, "new-media").drain(arrived, "append").drop("batch")
+    return StreamTable(spark, "new-media", temporary=True).drain(arrived, "append").drop("batch")
