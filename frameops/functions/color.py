@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from frameops.functions.text import int_text, strip_text
+from frameops.functions.text import EDGE, WHITE, int_text
 
 # What counts as a hex colour, the 24-bit limit, the text of a rejected colour.
-HEX_COLOR = r"^#?[0-9a-fA-F]{1,6}$"
+HEX_COLOR = f"^{EDGE}#?[0-9a-fA-F]{{1,6}}{EDGE}$"
 MAX_RGB24 = 0xFFFFFF
 INVALID_HEX = "Invalid"
 INVALID_RGB = "0, 0, 0"
@@ -18,18 +18,16 @@ def in_rgb24(value: Column) -> Column:
 
 
 def is_hex_color(text: Column) -> Column:
-    return F.coalesce(strip_text(text).rlike(HEX_COLOR), F.lit(False))
+    return F.coalesce(text.rlike(HEX_COLOR), F.lit(False))
 
 
 def _hex_digits(text: Column) -> Column:
-    return F.ltrim(strip_text(text), F.lit("#"))
+    return F.btrim(text, F.lit(WHITE + "#"))
 
 
 def color_value(text: Column) -> Column:
     """24-bit value of a dirty colour text: hex first, then signed decimal, else null."""
-    value = F.when(
-        is_hex_color(text), F.conv(_hex_digits(text), 16, 10).cast("bigint")
-    ).otherwise(int_text(text))
+    value = F.coalesce(hex_value(text), int_text(text))
     return F.when(in_rgb24(value), value)
 
 
@@ -56,17 +54,13 @@ def rgb_text(value: Column) -> Column:
     return F.concat_ws(", ", *(channel(value, c).cast("string") for c in "rgb"))
 
 
-def hex_channel(text: Column, name: str, fallback: int) -> Column:
-    """One channel of a lenient hex text; short texts are padded with zeros on the left."""
-    start = {"r": 1, "g": 3, "b": 5}[name]
-    digits = F.lpad(_hex_digits(text), 6, "0")
-    return F.when(
-        is_hex_color(text), F.conv(F.substring(digits, start, 2), 16, 10).cast("int")
-    ).otherwise(F.lit(fallback))
+def hex_value(text: Column) -> Column:
+    """24-bit value of a lenient hex text, null for any other; short texts count as padded with zeros."""
+    return F.when(is_hex_color(text), F.conv(_hex_digits(text), 16, 10).cast("bigint"))
 
 
 def parse_hex_literal(text: str | None, fallback: tuple[int, int, int] = (0, 0, 0)) -> tuple[int, int, int]:
-    """``hex_channel`` for a parameter of the caller instead of a column."""
+    """Channels of a hex colour the caller passes as a parameter instead of a column."""
     digits = (text or "").strip().removeprefix("#")
     if not 1 <= len(digits) <= 6 or set(digits) - set("0123456789abcdefABCDEF"):
         return fallback

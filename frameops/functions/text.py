@@ -2,20 +2,23 @@
 
 from pyspark.sql import Column, functions as F
 
-# Characters counted as white space at either end of a text.
-WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# Code points counted as white space at either end of a text.
+WHITE = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)))
+EDGE = f"[{WHITE}]*"
 # Optional sign, digits, single underscores between digits.
-INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
-
-
-def strip_text(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE}|{WHITE}$", "")
+INTEGER = f"^{EDGE}[+-]?[0-9]+(_[0-9]+)*{EDGE}$"
+PLAIN_INTEGER = r"^ *[+-]?[0-9]+ *$"
 
 
 def int_text(text: Column) -> Column:
-    """``text`` as bigint, null where it is not an integer or does not fit."""
-    clean = strip_text(text)
-    return F.when(clean.rlike(INTEGER), F.replace(clean, F.lit("_"), F.lit(""))).try_cast("bigint")
+    """``text`` as bigint, null where it is not an integer or does not fit.
+
+    The cast itself copes with spaces, so only unusual integers are trimmed and cleaned.
+    """
+    unusual = F.replace(F.btrim(text, F.lit(WHITE)), F.lit("_"), F.lit(""))
+    return F.when(text.rlike(PLAIN_INTEGER), text).when(text.rlike(INTEGER), unusual).try_cast("bigint")
 
 
 def int_param(text: Column, default: int, minimum: int | None = None, maximum: int | None = None) -> Column:

@@ -33,7 +33,10 @@ def color_rejects(df: DataFrame, col: str) -> DataFrame:
 
 
 def hex_to_rgb(df: DataFrame, col: str, fallback: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    return df.withColumns({c: C.hex_channel(F.col(col), c, fallback[i]) for i, c in enumerate("rgb")})
+    """Add ``r``, ``g``, ``b`` of a lenient hex text; anything else gives the fallback."""
+    value = F.col("_value")
+    channels = {c: F.coalesce(C.channel(value, c), F.lit(fallback[i])) for i, c in enumerate("rgb")}
+    return df.withColumn("_value", C.hex_value(F.col(col))).withColumns(channels).drop("_value")
 
 
 def pack_rgb24(df: DataFrame, r: str = "r", g: str = "g", b: str = "b") -> DataFrame:

@@ -137,23 +137,28 @@ def frame_lookup(requests: DataFrame, frames: DataFrame) -> DataFrame:
     return lookup_join(wanted, readable, keys, requests.columns, store=False)
 
 
+def _lasting(stats: DataFrame, *cols: str) -> DataFrame:
+    return stats.select("video_id", "frame_count", S.playback_ms(F.col("effective_fps")).alias("duration_ms"), *cols)
+
+
 def frame_timeline(selected: DataFrame, stats: DataFrame) -> DataFrame:
     """Time span each selected frame is shown for, in milliseconds."""
-    lasting = stats.select("video_id", "frame_count", S.playback_ms(F.col("effective_fps")).alias("duration_ms"))
-    return _per_video(selected, lasting).withColumns({
+    return _per_video(selected, _lasting(stats)).withColumns({
         "start_ms": F.col("position") * F.col("duration_ms"),
         "end_ms": (F.col("position") + 1) * F.col("duration_ms"),
     })
 
 
-def frame_at_time(probes: DataFrame, selected: DataFrame, stats: DataFrame) -> DataFrame:
-    """The frame a looping playback shows ``at_ms`` after its start, by computed position."""
-    lasting = stats.select("video_id", "frame_count", S.playback_ms(F.col("effective_fps")).alias("duration_ms"))
-    keys = [c for c in probes.columns]
-    shown = lookup_join(probes, lasting, ["video_id"], keys, "inner").withColumn(
-        "position", F.pmod(F.floor(F.col("at_ms") / F.col("duration_ms")), F.col("frame_count")).cast("bigint")
-    ).drop("frame_count", "duration_ms")
-    return lookup_join(shown, selected.select("video_id", "position", "frame_index"), ["video_id", "position"], keys, "inner", store=False)
+def frame_at_time(probes: DataFrame, stats: DataFrame) -> DataFrame:
+    """The frame a looping playback shows ``at_ms`` after its start.
+
+    Position and index follow from the video's progression, so the frames themselves are not read.
+    """
+    shown = lookup_join(probes, _lasting(stats, "first_index", "combined_step"), ["video_id"], probes.columns, "inner")
+    position = F.pmod(F.floor(F.col("at_ms") / F.col("duration_ms")), F.col("frame_count")).cast("bigint")
+    return shown.withColumn("position", position).select(
+        *probes.columns, "position", (F.col("first_index") + F.col("position") * F.col("combined_step")).alias("frame_index")
+    )
 
 
 def padded_frames(stats: DataFrame, col: str = "frame_count") -> DataFrame:

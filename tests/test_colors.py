@@ -14,6 +14,8 @@ EDGE = [
     ("16777216", INVALID), ("-1", INVALID), ("0x1F", INVALID), ("", INVALID), (None, INVALID), ("#", INVALID),
     ("\t #abc  ", (2748, "#000ABC", "0, 10, 188")), ("00000000255", (255, "#0000FF", "0, 0, 255")),
     ("99999999999999999999", INVALID), ("-0", (0, "#000000", "0, 0, 0")), ("##12", INVALID), ("12.5", INVALID),
+    ("\u3000255\u00a0", (597, "#000255", "0, 2, 85")), ("\x1c 1000000\n", (1000000, "#0F4240", "15, 66, 64")),
+    ("\u20281_000_000\v", (1000000, "#0F4240", "15, 66, 64")), ("1 2", INVALID), ("+ 5", INVALID), ("_1000000", INVALID),
 ]
 
 

@@ -316,7 +316,7 @@ def frame_timeline(spark, d):
 
 @query
 def frame_at_time(spark, d):
-    return V.frame_at_time(X.playback_probes(spark, d), _selected(spark, d), _stats(spark, d)).select(
+    return V.frame_at_time(X.playback_probes(spark, d), _stats(spark, d)).select(
         "probe_id", "video_id", "position", "frame_index"
     )
 
