@@ -17,9 +17,8 @@ Distances are whole numbers, so both cuts are exact and ties survive them. All j
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from frameops.functions.color import is_muted
 from frameops.session import cut_lineage, wide
@@ -27,75 +26,73 @@ from frameops.session import cut_lineage, wide
 CUBE = 8        # level of the single cell holding the whole colour cube
 ROOT = 6        # first level of pairs: at most 64 cells a side and batch
 CHANNELS = (16, 8, 0)
+FARTHEST_SQUARE = 3 * 255 * 255
 
+# Expressions over packed colours, as SQL text: there are many, and text is read in one go.
 
-def _part(value: Column, shift: int) -> Column:
-    return F.shiftright(value, shift).bitwiseAND(F.lit(255))
 
+def _part(value: str, shift: int) -> str:
+    return f"(shiftright({value}, {shift}) & 255)"
 
-def _packed(parts: list[Column]) -> Column:
+
+def _packed(parts: list[str]) -> str:
     r, g, b = parts
-    return F.shiftleft(r, 16).bitwiseOR(F.shiftleft(g, 8)).bitwiseOR(b)
+    return f"(shiftleft({r}, 16) | shiftleft({g}, 8) | {b})"
 
 
-def _cell(value: Column, levels: int, at: int) -> Column:
+def _cell(value: str, levels: int, at: int) -> str:
     """Cell at level ``at`` of a cell ``levels`` below it; a colour is its own cell at level 0."""
     mask = 255 >> at
-    return F.shiftright(value, levels).bitwiseAND(F.lit(mask << 16 | mask << 8 | mask))
+    return f"(shiftright({value}, {levels}) & {mask << 16 | mask << 8 | mask})"
+
+
+def _squares(lengths: list[str]) -> str:
+    return "(" + " + ".join(f"{length} * {length}" for length in lengths) + ")"
 
 
-def _least(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+def _least(lo1: str, hi1: str, lo2: str, hi2: str) -> str:
     """Squared least distance between two boxes."""
-    gaps = [
-        F.greatest(F.lit(0), _part(lo2, s) - _part(hi1, s), _part(lo1, s) - _part(hi2, s)) for s in CHANNELS
-    ]
-    return reduce(Column.__add__, [gap * gap for gap in gaps])
+    return _squares([
+        f"greatest(0, {_part(lo2, s)} - {_part(hi1, s)}, {_part(lo1, s)} - {_part(hi2, s)})" for s in CHANNELS
+    ])
 
 
-def _largest(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+def _largest(lo1: str, hi1: str, lo2: str, hi2: str) -> str:
     """Squared largest distance between two boxes."""
-    gaps = [F.greatest(_part(hi2, s) - _part(lo1, s), _part(hi1, s) - _part(lo2, s)) for s in CHANNELS]
-    return reduce(Column.__add__, [gap * gap for gap in gaps])
+    return _squares([f"greatest({_part(hi2, s)} - {_part(lo1, s)}, {_part(hi1, s)} - {_part(lo2, s)})" for s in CHANNELS])
 
 
-def _never_null(name: str) -> Column:
-    """``name``, known to be present: spares the generated code a null check per operation."""
-    return F.coalesce(F.col(name), F.lit(0)).alias(name)
+def _never_null(*names: str) -> list[str]:
+    """Columns known to be present: spares the generated code a null check per operation."""
+    return [f"coalesce({name}, 0) AS {name}" for name in names]
 
 
-def _boxes() -> list[Column]:
-    lo = _packed([F.min(_part(F.col("lo"), s)) for s in CHANNELS]).alias("lo")
-    hi = _packed([F.max(_part(F.col("hi"), s)) for s in CHANNELS]).alias("hi")
-    return [lo, hi]
+def _boxes() -> list:
+    lo = _packed([f"min({_part('lo', s)})" for s in CHANNELS])
+    hi = _packed([f"max({_part('hi', s)})" for s in CHANNELS])
+    return [F.expr(lo).alias("lo"), F.expr(hi).alias("hi")]
 
 
 def _cells(colors: DataFrame, level: int, parent: int, prefix: str) -> DataFrame:
     """Cells of ``(batch_id, value)`` colours at ``level``, with their cell at level ``parent``."""
-    if level == 0:
-        cells = colors.select("batch_id", F.col("value").alias("cell"), F.col("value").alias("lo"), F.col("value").alias("hi"))
-    else:
-        cells = (
-            colors.select("batch_id", _cell(F.col("value"), level, level).alias("cell"),
-                          F.col("value").alias("lo"), F.col("value").alias("hi"))
-            .groupBy("batch_id", "cell").agg(*_boxes())
-        )
-    cells = cells.select("batch_id", *(_never_null(c) for c in ("cell", "lo", "hi")))
-    return cells.select(
-        "batch_id", _cell(F.col("cell"), parent - level, parent).alias(f"{prefix}_up"),
-        F.col("cell").alias(prefix), F.col("lo").alias(f"{prefix}_lo"), F.col("hi").alias(f"{prefix}_hi"),
+    cells = colors.selectExpr("batch_id", f"{_cell('value', level, level)} AS cell", "value AS lo", "value AS hi")
+    if level:
+        cells = cells.groupBy("batch_id", "cell").agg(*_boxes())
+    return cells.selectExpr("batch_id", *_never_null("cell", "lo", "hi")).selectExpr(
+        "batch_id", f"{_cell('cell', parent - level, parent)} AS {prefix}_up",
+        f"cell AS {prefix}", f"lo AS {prefix}_lo", f"hi AS {prefix}_hi",
     )
 
 
 def _refine(pairs: DataFrame, q_cells: DataFrame, q_on: list[str], p_cells: DataFrame) -> DataFrame:
     """Replace both cells of each pair by their children that may still belong together."""
-    pairs = pairs.select("batch_id", *(_never_null(c) for c in ("q", "p", "upper")))
-    left = pairs.select("batch_id", F.col("q").alias("q_up"), F.col("p").alias("p_up"), F.col("upper").alias("limit"))
-    box = [F.col(c) for c in ("q_lo", "q_hi", "p_lo", "p_hi")]
+    left = pairs.selectExpr("batch_id", *_never_null("q", "p", "upper")).selectExpr(
+        "batch_id", "q AS q_up", "p AS p_up", "upper AS limit"
+    )
     return (
         left.join(q_cells, q_on).join(p_cells, ["batch_id", "p_up"])
-        .withColumn("least", _least(*box))
-        .filter(F.col("least") <= F.col("limit"))
-        .drop("q_up", "p_up", "limit")
+        .withColumn("least", F.expr(_least("q_lo", "q_hi", "p_lo", "p_hi")))
+        .filter("least <= limit").drop("q_up", "p_up", "limit")
     )
 
 
@@ -104,18 +101,15 @@ def _prune(pairs: DataFrame) -> DataFrame:
 
     The pairs left are few, but the next joins multiply them where they lie, so they stay spread wide.
     """
+    upper = f"min({_largest('q_lo', 'q_hi', 'p_lo', 'p_hi')}) OVER (PARTITION BY batch_id, q)"
     pairs = pairs.repartition(wide(pairs.sparkSession), "batch_id", "q")
-    box = [F.col(c) for c in ("q_lo", "q_hi", "p_lo", "p_hi")]
-    same_query = Window.partitionBy("batch_id", "q")
-    return pairs.withColumn("upper", F.min(_largest(*box)).over(same_query)).filter(F.col("least") <= F.col("upper"))
+    return pairs.withColumn("upper", F.expr(upper)).filter("least <= upper")
 
 
 def _whole_cube(palette: DataFrame) -> DataFrame:
     """One pair per batch: the whole cube against the whole palette."""
     batches = palette.select("batch_id").distinct().repartition(wide(palette.sparkSession), "batch_id")
-    return batches.select(
-        "batch_id", F.lit(0).alias("q"), F.lit(0).alias("p"), F.lit(3 * 255 * 255).alias("upper")
-    )
+    return batches.selectExpr("batch_id", "0 AS q", "0 AS p", f"{FARTHEST_SQUARE} AS upper")
 
 
 def _levels(palette: DataFrame) -> list[int]:
@@ -140,49 +134,54 @@ def nearest(queries: DataFrame, palette: DataFrame) -> DataFrame:
         if level:
             pairs = _prune(pairs)
         above = level
-    best = F.min(F.struct(F.col("least").alias("dist2"), F.col("p").alias("near")))
-    return pairs.groupBy("batch_id", F.col("q").alias("value")).agg(best.alias("best")).select(
-        "batch_id", "value", F.col("best.near").alias("near"), F.col("best.dist2").alias("dist2")
+    return (
+        pairs.groupBy("batch_id", F.col("q").alias("value"))
+        .agg(F.expr("min(struct(least AS dist2, p AS near))").alias("best"))
+        .selectExpr("batch_id", "value", "best.near", "best.dist2")
     )
 
 
 def _allowed(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: float) -> DataFrame:
     """Allowed colours of the cube, from the limits alone: at most 256 cubed rows."""
     side = max_brightness + 1
-    code = F.col("id")
-    channels = [
-        F.expr(f"cast(id div {side * side} as int)").alias("r"),
-        F.expr(f"cast(id div {side} % {side} as int)").alias("g"),
-        (code % side).cast("int").alias("b"),
-    ]
-    return (
-        palette.sparkSession.range(side ** 3).select(*channels)
-        .filter(is_muted(F.col("r"), F.col("g"), F.col("b"), max_brightness, min_sat, max_sat))
-        .select(_packed([F.col("r"), F.col("g"), F.col("b")]).alias("value"))
+    cube = palette.sparkSession.range(side ** 3).selectExpr(
+        f"CAST(id DIV {side * side} AS INT) AS r", f"CAST(id DIV {side} % {side} AS INT) AS g", f"CAST(id % {side} AS INT) AS b"
     )
+    allowed = cube.filter(is_muted(F.col("r"), F.col("g"), F.col("b"), max_brightness, min_sat, max_sat))
+    return allowed.selectExpr(f"{_packed(['r', 'g', 'b'])} AS value")
 
 
 def _allowed_cells(cells: DataFrame, level: int, step: int) -> DataFrame:
     """Cells ``step`` levels up, each with its box and the allowed colour nearest to its centre."""
-    up = _cell(F.col("cell"), step, level)
     middle = (1 << level) // 2
-    offsets = [_part(F.col("pick"), s) - F.shiftleft(_part(F.col("up"), s), level) - middle for s in CHANNELS]
-    away = reduce(Column.__add__, [o * o for o in offsets])
+    away = _squares([f"({_part('pick', s)} - shiftleft({_part('up', s)}, {level}) - {middle})" for s in CHANNELS])
     return (
-        cells.withColumn("up", up).groupBy(F.col("up").alias("cell"))
-        .agg(*_boxes(), F.min(F.struct(away.alias("away"), F.col("pick"))).alias("nearest"))
-        .select("cell", "lo", "hi", F.col("nearest.pick").alias("pick"))
+        cells.withColumn("up", F.expr(_cell("cell", step, level))).groupBy(F.col("up").alias("cell"))
+        .agg(*_boxes(), F.expr(f"min(struct({away} AS away, pick))").alias("nearest"))
+        .selectExpr("cell", "lo", "hi", "nearest.pick")
     )
 
 
 def _as_query_cells(cells: DataFrame, level: int, parent: int) -> DataFrame:
-    cells = cells.select(*(_never_null(c) for c in ("cell", "lo", "hi", "pick")))
-    return cells.select(
-        _cell(F.col("cell"), parent - level, parent).alias("q_up"), F.col("cell").alias("q"),
-        F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), "pick",
+    return cells.selectExpr(*_never_null("cell", "lo", "hi", "pick")).selectExpr(
+        f"{_cell('cell', parent - level, parent)} AS q_up", "cell AS q", "lo AS q_lo", "hi AS q_hi", "pick"
     )
 
 
+def _drop_near(pairs: DataFrame) -> DataFrame:
+    """Drop query cells that cannot hold the farthest colour of their batch.
+
+    The pairs are read twice, for the bound and for the cut, so they are stored once. A batch has
+    at most 128,000 query cells here, whatever its share of the pixels.
+    """
+    pairs = cut_lineage(pairs.withColumn("sure", F.expr(_least("pick", "pick", "p_lo", "p_hi"))))
+    bound = (
+        pairs.groupBy("batch_id", "q").agg(F.min("sure").alias("sure"))
+        .groupBy("batch_id").agg(F.max("sure").alias("bound"))
+    )
+    return pairs.join(bound, "batch_id").filter("upper >= bound").drop("bound", "sure")
+
+
 def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: float) -> DataFrame:
     """``(batch_id, value, dist2)``: per batch the allowed colour farthest from its palette.
 
@@ -190,9 +189,7 @@ def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: f
     """
     palette = cut_lineage(palette)
     limits = (max_brightness, min_sat, max_sat)
-    colors = _allowed(palette, *limits).select(
-        F.col("value").alias("cell"), F.col("value").alias("lo"), F.col("value").alias("hi"), F.col("value").alias("pick")
-    )
+    colors = _allowed(palette, *limits).selectExpr("value AS cell", "value AS lo", "value AS hi", "value AS pick")
     fine = 2
     cells = {fine: cut_lineage(_allowed_cells(colors, fine, fine))}
     for level in range(fine + 1, ROOT + 1):
@@ -208,38 +205,20 @@ def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: f
             pairs = _drop_near(pairs)
         above = level
 
-    spots = [
-        F.shiftleft(_part(F.col("q"), s), fine) + F.shiftright(F.col("spot"), 2 * i).bitwiseAND(F.lit(3))
-        for i, s in enumerate(CHANNELS)
-    ]
+    # single colours: the 64 of each cell left
+    spots = [f"shiftleft({_part('q', s)}, {fine}) + (shiftright(spot, {2 * i}) & 3) AS {c}" for i, (s, c) in enumerate(zip(CHANNELS, "rgb"))]
     points = (
-        pairs.select("batch_id", *(_never_null(c) for c in ("q", "p", "upper"))).withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        .withColumns(dict(zip("rgb", spots)))
+        pairs.selectExpr("batch_id", *_never_null("q", "p", "upper"))
+        .withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        .selectExpr("batch_id", "p AS p_up", "upper", *spots)
         .filter((F.greatest("r", "g", "b") <= max_brightness) & is_muted(F.col("r"), F.col("g"), F.col("b"), *limits))
-        .select("batch_id", _packed([F.col("r"), F.col("g"), F.col("b")]).alias("value"),
-                F.col("p").alias("p_up"), "upper")
+        .selectExpr("batch_id", f"{_packed(['r', 'g', 'b'])} AS value", "p_up", "upper")
     )
-    value = F.col("value")
     return (
         points.join(_cells(palette, 0, fine, "p"), ["batch_id", "p_up"])
-        .withColumn("dist2", _least(value, value, F.col("p"), F.col("p")))
-        .filter(F.col("dist2") <= F.col("upper"))
+        .withColumn("dist2", F.expr(_least("value", "value", "p", "p")))
+        .filter("dist2 <= upper")
         .groupBy("batch_id", "value").agg(F.min("dist2").alias("dist2"))
-        .groupBy("batch_id").agg(F.max(F.struct(F.col("dist2"), (-value).alias("order"))).alias("best"))
-        .select("batch_id", (-F.col("best.order")).alias("value"), F.col("best.dist2").alias("dist2"))
-    )
-
-
-def _drop_near(pairs: DataFrame) -> DataFrame:
-    """Drop query cells that cannot hold the farthest colour of their batch.
-
-    The pairs are read twice, for the bound and for the cut, so they are stored once. A batch has
-    at most 128,000 query cells here, whatever its share of the pixels.
-    """
-    pick = F.col("pick")
-    pairs = cut_lineage(pairs.withColumn("sure", _least(pick, pick, F.col("p_lo"), F.col("p_hi"))))
-    bound = (
-        pairs.groupBy("batch_id", "q").agg(F.min("sure").alias("sure"))
-        .groupBy("batch_id").agg(F.max("sure").alias("bound"))
+        .groupBy("batch_id").agg(F.expr("max(struct(dist2, -value AS opposite))").alias("best"))
+        .selectExpr("batch_id", "-best.opposite AS value", "best.dist2")
     )
-    return pairs.join(bound, "batch_id").filter(F.col("upper") >= F.col("bound")).drop("bound", "sure")
