@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from frameops.functions import color as C
-from frameops.operators.spacing import farthest, nearest
+from frameops.operators.spacing import allowed_colors, farthest, nearest
 
 # Stride, brightness and saturation limits by default, colour when nothing is allowed.
 SAMPLE_RATE = 10
@@ -48,44 +48,40 @@ def nearest_palette_color(queries: DataFrame, palette: DataFrame) -> DataFrame:
     )
 
 
-def _choices(pixels: DataFrame, rate: int, max_brightness: int, min_sat: float, max_sat: float) -> DataFrame:
-    """``(batch_id, value, dist2)``; the last two are null where no colour is allowed."""
-    palette = _values(pixel_grid_sample(pixels, rate))
-    best = farthest(palette, max_brightness, min_sat, max_sat)
-    # position (0, 0) is always sampled, so every batch is in the palette
-    return palette.select("batch_id").distinct().join(best, "batch_id", "left")
+def _measured_choices(pixels: DataFrame, rate: int, limits: tuple, measure: bool) -> DataFrame:
+    """``(batch_id, value, dist2)`` of the chosen colour; ``dist2`` of a fallback only on ``measure``.
 
-
-def _fallback_value() -> int:
+    Whether any colour is allowed depends on the limits alone, so it is asked once and not per batch.
+    """
+    palette = _values(pixel_grid_sample(pixels, rate))
+    if not allowed_colors(pixels.sparkSession, *limits).isEmpty():
+        return farthest(palette, *limits)
     r, g, b = FALLBACK_RGB
-    return r << 16 | g << 8 | b
+    # position (0, 0) is always sampled, so every batch is in the palette
+    fallback = palette.select("batch_id").distinct().withColumn("value", F.lit(r << 16 | g << 8 | b))
+    return nearest(fallback, palette) if measure else fallback
 
 
 def farthest_color(pixels: DataFrame, rate: int = SAMPLE_RATE, max_brightness: int = MAX_BRIGHTNESS,
                    min_sat: float = MIN_SATURATION, max_sat: float = MAX_SATURATION) -> DataFrame:
     """Per batch the allowed colour farthest from every sampled pixel, as value, hex and rgb.
 
-    The maximum is exact over whole-number colours; ties go to the smallest value. A batch
-    whose limits allow no colour gets the fallback colour, even though it breaks the limits.
+    The maximum is exact over whole-number colours; ties go to the smallest value. If the limits
+    allow no colour, every batch gets the fallback colour, even though it breaks them.
     """
-    chosen = _choices(pixels, rate, max_brightness, min_sat, max_sat)
-    value = F.coalesce(F.col("value"), F.lit(_fallback_value())).cast("bigint")
-    return chosen.select("batch_id", value.alias("value")).select(
-        "batch_id", "value", C.hex_text(F.col("value")).alias("hex"), C.rgb_text(F.col("value")).alias("rgb")
-    )
+    chosen = _measured_choices(pixels, rate, (max_brightness, min_sat, max_sat), measure=False)
+    return chosen.select("batch_id", F.col("value").cast("bigint").alias("value")).withColumns({
+        "hex": C.hex_text(F.col("value")), "rgb": C.rgb_text(F.col("value")),
+    })
 
 
 def farthest_color_summary(pixels: DataFrame, rate: int = SAMPLE_RATE, max_brightness: int = MAX_BRIGHTNESS,
                            min_sat: float = MIN_SATURATION, max_sat: float = MAX_SATURATION) -> DataFrame:
     """Chosen colour per batch with its hue, saturation, value and distance to the palette."""
-    chosen = _choices(pixels, rate, max_brightness, min_sat, max_sat)
-    picked = chosen.select(
-        "batch_id", F.coalesce(F.col("value"), F.lit(_fallback_value())).alias("value"),
-    )
-    measured = nearest(picked, _values(pixel_grid_sample(pixels, rate)))
+    chosen = _measured_choices(pixels, rate, (max_brightness, min_sat, max_sat), measure=True)
     channels = {c: C.channel(F.col("value"), c) for c in "rgb"}
     h, s, v = C.hsv(F.col("r"), F.col("g"), F.col("b"))
-    return measured.select("batch_id", "value", "dist2").withColumns(channels).select(
+    return chosen.select("batch_id", "value", "dist2").withColumns(channels).select(
         "batch_id", "r", "g", "b", h.alias("h"), s.alias("s"), v.alias("v"),
         F.sqrt(F.col("dist2")).alias("distance"),
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameops.functions.color import is_muted
 from frameops.session import cut_lineage, wide
@@ -141,10 +141,10 @@ def nearest(queries: DataFrame, palette: DataFrame) -> DataFrame:
     )
 
 
-def _allowed(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: float) -> DataFrame:
+def allowed_colors(spark: SparkSession, max_brightness: int, min_sat: float, max_sat: float) -> DataFrame:
     """Allowed colours of the cube, from the limits alone: at most 256 cubed rows."""
     side = max_brightness + 1
-    cube = palette.sparkSession.range(side ** 3).selectExpr(
+    cube = spark.range(side ** 3).selectExpr(
         f"CAST(id DIV {side * side} AS INT) AS r", f"CAST(id DIV {side} % {side} AS INT) AS g", f"CAST(id % {side} AS INT) AS b"
     )
     allowed = cube.filter(is_muted(F.col("r"), F.col("g"), F.col("b"), max_brightness, min_sat, max_sat))
@@ -189,7 +189,7 @@ def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: f
     """
     palette = cut_lineage(palette)
     limits = (max_brightness, min_sat, max_sat)
-    colors = _allowed(palette, *limits).selectExpr("value AS cell", "value AS lo", "value AS hi", "value AS pick")
+    colors = allowed_colors(palette.sparkSession, *limits).selectExpr("value AS cell", "value AS lo", "value AS hi", "value AS pick")
     fine = 2
     cells = {fine: cut_lineage(_allowed_cells(colors, fine, fine))}
     for level in range(fine + 1, ROOT + 1):

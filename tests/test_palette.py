@@ -59,4 +59,6 @@ def test_farthest_is_exact(spark, palettes, limits):
 def test_farthest_with_nothing_allowed(spark, palettes):
     assert S.farthest(frame(spark, palettes), 140, 0.5, 0.3).count() == 0
     pixels = spark.createDataFrame([(9, 1, 0, 0, 1, 2, 3)], "batch_id long, image_id long, y int, x int, r int, g int, b int")
+    (summary,) = P.farthest_color_summary(pixels, min_sat=0.5, max_sat=0.3).collect()
+    assert (summary.r, summary.g, summary.b, summary.distance ** 2) == (80, 100, 90, pytest.approx(79 ** 2 + 98 ** 2 + 87 ** 2))
     assert [tuple(r) for r in P.farthest_color(pixels, min_sat=0.5, max_sat=0.3).collect()] == [(9, 5268570, "#50645A", "80, 100, 90")]
