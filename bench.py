@@ -1,4 +1,4 @@
-"""Times the headline queries: one JSON line with seconds per query."""
+"""Times the headline queries: one JSON line with seconds per query, the faster of two runs each."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from frameops import build_session  # noqa: E402
 from workload.queries import QUERIES  # noqa: E402
 
+RUNS = 2
 HEADLINE = [
     "color_standardize", "rgb_to_hsv", "distinct_palette", "nearest_palette_color", "farthest_color", "rotate_pixels",
     "fit_to_size", "mask_union", "pose_crop_fill", "pose_only_fill", "resize_pixels", "lasso_mask", "readable_prefix",
@@ -33,12 +34,15 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/events.parquet").count()
     seconds = {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(RUNS):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(min(runs), 3)
     print(json.dumps({
         "metric": "total time of headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf"), "cpus": int(cpus),
+        "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf"), "cpus": int(cpus), "runs": RUNS,
     }))
     spark.stop()
 

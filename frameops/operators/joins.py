@@ -9,17 +9,19 @@ from frameops.session import cut_lineage
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
 WAYS = 64
+MULTIPLYING = ("Generate ", "Expand ", "MapIn", "FlatMap")
 
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimiser's size estimate of ``df`` is within its own broadcast limit.
 
-    Estimates of joins and aggregates are too high at worst, but exploded rows are counted as if there
-    was one each, so plans with an explode are not trusted.
+    Estimates of joins and aggregates are too high at worst, but operators that make several rows of one
+    are counted as if they did not, so plans with one of them are not trusted.
     """
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     plan = df._jdf.queryExecution().optimizedPlan()
-    return int(plan.stats().sizeInBytes()) <= limit and "Generate " not in plan.toString()
+    text = plan.toString()
+    return int(plan.stats().sizeInBytes()) <= limit and not any(name in text for name in MULTIPLYING)
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "left",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from frameops.functions import sampling as S
 from frameops.operators import frames as V
-from frameops.operators.joins import lookup_join
+from frameops.operators.joins import fits_broadcast, lookup_join
 
 VIDEOS = "video_id long, total_frames long, original_fps double, width int, height int"
 PARAMS = ("video_id long, framerate int, custom_width int, custom_height int, frame_load_cap long, "
@@ -109,3 +109,10 @@ def test_hot_keys_are_dealt_and_nothing_is_lost(no_broadcast, rows, how):
     plain = facts.join(lookup, "k", how)
     key = lambda df: sorted((r.id, -1 if r.k is None else r.k, -1 if r.v is None else r.v) for r in df.collect())
     assert key(joined) == key(plain)
+
+
+def test_estimates_of_multiplied_rows_are_not_trusted(spark):
+    small = spark.range(10)
+    assert fits_broadcast(small)
+    assert not fits_broadcast(small.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("id") * 1000))))
+    assert not fits_broadcast(small.mapInArrow(lambda batches: batches, small.schema))
