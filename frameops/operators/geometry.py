@@ -1,9 +1,8 @@
 """Moving pixels: rotate, fit, crop and fill, masks.
 
-A pixel table is dense: every position of every image is a row. So output positions that
-come from a pixel are computed from that pixel, output positions that come from nowhere are
-computed from the image size alone, and the two are united. No operator here joins a position table to a pixel table
-on coordinates, except where a mask decides pixel by pixel.
+A pixel table is dense: every position of every image is a row. So output positions that come from a pixel are
+computed from that pixel, output positions that come from nowhere are computed from the image size alone, and
+the two are united. Nothing joins a position table to a pixel table; masks are looked up as bits, 64 positions at once.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from frameops.functions.color import parse_hex_literal
 from frameops.operators.joins import lookup_join
 from frameops.operators.lattice import lattice
-from frameops.session import cut_lineage
+from frameops.session import cut_lineage, wide
 
 PIXEL = ["batch_id", "image_id", "y", "x", "r", "g", "b"]
 Fill = str | tuple[int, int, int]
@@ -212,20 +211,47 @@ def pose_setup(pixels: DataFrame, images: DataFrame, mask_pixels: DataFrame, fil
     if not only_fill:
         return _place(pixels, placed, *size, fill).unionByName(untouched)
 
-    masked = cut_lineage(_or_full(united, images).filter("selected").select("batch_id", "y", "x"))
-    spots = lattice(placed, *size, y="dy", x="dx").select(
-        "batch_id", "image_id", "dy", "dx", (F.col("dy") - F.col("top")).alias("y"), (F.col("dx") - F.col("left")).alias("x")
+    words = cut_lineage(mask_words(_or_full(united, images)))
+    return (
+        _masked_pixels(pixels, placed, words)
+        .unionByName(_unmasked_spots(placed, words, fill)).unionByName(untouched)
     )
-    gaps = spots.join(masked, ["batch_id", "y", "x"], "left_anti").select(
-        "batch_id", "image_id", F.col("dy").alias("y"), F.col("dx").alias("x"), *_fill(fill)
+
+
+def mask_words(mask: DataFrame) -> DataFrame:
+    """Selected positions as bits: one row per 64 positions of a line that holds any."""
+    return mask.filter("selected").groupBy("batch_id", "y", F.shiftright("x", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, x & 63)")).alias("bits")
     )
+
+
+def _is_set() -> Column:
+    return F.expr("coalesce(shiftright(bits, x & 63) & 1, 0) = 1")
+
+
+def _masked_pixels(pixels: DataFrame, placed: DataFrame, words: DataFrame) -> DataFrame:
+    """Masked pixels inside the window, moved to it."""
     y, x = F.col("y") + F.col("top"), F.col("x") + F.col("left")
-    copied = (
-        with_image(pixels, placed).filter((x >= 0) & (x < size[0]) & (y >= 0) & (y < size[1]))
-        .join(masked, ["batch_id", "y", "x"], "left_semi")
-        .select("batch_id", "image_id", y.alias("y"), x.alias("x"), "r", "g", "b")
+    inside = (x >= 0) & (x < F.col("win_width")) & (y >= 0) & (y < F.col("win_height"))
+    shown = with_image(pixels, placed).filter(inside).withColumn("word", F.shiftright("x", 6))
+    marked = lookup_join(shown, words, ["batch_id", "y", "word"], ["image_id", "x"], "inner")
+    return marked.filter(_is_set()).select("batch_id", "image_id", y.alias("y"), x.alias("x"), "r", "g", "b")
+
+
+def _unmasked_spots(placed: DataFrame, words: DataFrame, fill: Fill) -> DataFrame:
+    """Window positions no masked pixel lands on; bits are looked up per 64 positions, before they expand."""
+    first, last = -F.col("left"), F.col("win_width") - F.col("left") - 1
+    runs = (
+        placed.withColumn("dy", F.explode(F.sequence(F.lit(0), F.col("win_height") - 1)))
+        .repartition(wide(placed.sparkSession), "image_id", "dy")
+        .withColumn("y", F.col("dy") - F.col("top"))
+        .withColumn("word", F.explode(F.sequence(F.shiftright(first, 6), F.shiftright(last, 6))))
+    )
+    start, end = F.greatest(first, F.col("word") * 64), F.least(last, F.col("word") * 64 + 63)
+    spots = lookup_join(runs, words, ["batch_id", "y", "word"], ["image_id"]).withColumn("x", F.explode(F.sequence(start, end)))
+    return spots.filter(~_is_set()).select(
+        "batch_id", "image_id", F.col("dy").alias("y"), (F.col("x") + F.col("left")).alias("x"), *_fill(fill)
     )
-    return copied.unionByName(gaps).unionByName(untouched)
 
 
 # Channels ------------------------------------------------------------------------------------

@@ -118,6 +118,18 @@ def test_pose(spark, only, change):
     assert got[2].shape == got[1].shape
 
 
+@pytest.mark.parametrize("change", [(0, 0, 0, 0), (40, 3, 70, -1)])
+def test_pose_across_words(no_broadcast, change):
+    source = picture(150, 3)
+    mask = (np.random.default_rng(3).random((3, 150)) > 0.6).astype(float)
+    pixels, images = tables(no_broadcast, {1: source, 2: source[:, ::-1]})
+    masks = no_broadcast.createDataFrame([(1, 0, y, x, float(mask[y, x])) for y in range(3) for x in range(150)],
+                                         "batch_id long, mask_idx long, y int, x int, m double")
+    got = arrays(G.pose_setup(pixels, images, masks, "#070809", *change, only_fill=True))
+    assert (got[1] == posed(source, mask > 0.5, (7, 8, 9), *change, True)).all()
+    assert (got[2] == posed(source[:, ::-1], mask > 0.5, (7, 8, 9), *change, True)).all()
+
+
 def test_pose_without_and_with_empty_mask(spark):
     source = picture(4, 3)
     pixels, images = tables(spark, {1: source})
