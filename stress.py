@@ -16,6 +16,7 @@ from frameops import build_session
 from frameops.operators import frames as V, geometry as G, masklog as E, palette as P
 from frameops.operators.joins import lookup_join
 from frameops.operators.lattice import lattice
+from frameops.operators.resize import resize_pixels
 from workload import fixtures as X
 
 PARTITIONS = 32
@@ -60,6 +61,10 @@ def main(sf_dir: str = "/root/testdata/sf0.1", copies: int = 20) -> None:
         "debounce_changes": lambda: E.debounce_changes(log.filter("op = 'param'"), "100 milliseconds"),
         "latest_region": lambda: E.latest_region(log),
         "rotate_pixels, one image with half of the pixels": lambda: G.rotate_pixels(scene, huge, 30),
+        "resize_pixels, the same image": lambda: resize_pixels(scene, huge, huge.selectExpr(
+            "image_id", "CAST(width / 2 AS INT) AS target_width", "CAST(height / 2 AS INT) AS target_height")),
+        "pose_only_fill, hot batch": lambda: G.pose_setup(
+            X.pixels(spark, folder), images, X.mask_pixels(spark, folder), "#102030", 5, -3, 4, -2, only_fill=True),
         "distinct_palette, hot batch": lambda: P.distinct_palette(X.pixels(spark, folder)),
         "nearest_palette_color, hot batch": lambda: P.nearest_palette_color(X.pixels(spark, folder), P.pixel_grid_sample(X.pixels(spark, folder))),
         "fit_to_size": lambda: G.fit_to_size(X.pixels(spark, folder), images, 31, 13),
