@@ -186,10 +186,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("id", "n_shingles", "signature", "shingles"))
 
     # a bucket is dealt over blocks of bounded size; first each block looks at itself, with the bucket's smallest id
-    sizes = posted.join(described.select("id", "n_shingles"), "id")
+    sizes = posted.join(classes.select("id", "n_shingles"), "id")
     whole = sizes.groupBy("coordinate", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"),
-        F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter("n > 1")
+        F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"),
+        F.sum(F.xxhash64("id") % (1 << 40)).alias("members"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("folded"),
+    ).filter("n > 1")
+    # of buckets with the same members one is enough
+    whole = whole.groupBy("n", "pivot", "blocks", "members", "folded").agg(
+        F.min(F.struct("coordinate", "value")).alias("bucket")).select("bucket.*", "n", "pivot", "blocks")
     placed = posted.join(whole, ["coordinate", "value"]).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     everywhere = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(

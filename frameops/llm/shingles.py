@@ -36,22 +36,22 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _tables = {"up": _powers(BASE, SLICE_BYTES), "down": _powers(UNBASE, SLICE_BYTES)}
 
 
-def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of a buffer that ends with a space.
-
-    A word's hash is a polynomial of its bytes, taken from running sums over the buffer.
-    """
-    n = len(buffer)
+def hashed_spans(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every span of a buffer: a polynomial of its codes, taken from running sums over the buffer."""
+    n = len(codes)
     if n > len(_tables["up"]):
         _tables.update(up=_powers(BASE, n), down=_powers(UNBASE, n))
+    sums = np.cumsum(codes * _tables["up"][:n])
+    before = np.where(first > 0, sums[first - 1], np.uint64(0))
+    return (sums[end - 1] - before) * _tables["down"][first] + (end - first).astype(np.uint64) * LENGTH_FACTOR
+
+
+def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of a buffer that ends with a space."""
     codes = np.frombuffer(buffer.translate(LOWER), dtype=np.uint8)
-    space = SPACES[codes]
-    edges = np.flatnonzero(np.diff(space, prepend=True))
+    edges = np.flatnonzero(np.diff(SPACES[codes], prepend=True))
     first, end = edges[::2], edges[1::2]
-    sums = np.cumsum(BYTE_CODES[codes] * _tables["up"][:n])
-    before = np.where(first > 0, sums[first - 1], np.uint64(0))
-    hashes = (sums[end - 1] - before) * _tables["down"][first] + (end - first).astype(np.uint64) * LENGTH_FACTOR
-    return hashes, first
+    return hashed_spans(BYTE_CODES[codes], first, end), first
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:

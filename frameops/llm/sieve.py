@@ -29,4 +29,5 @@ def sieved(facts: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
         .filter("shiftright(_byte, cast(_bit % 8 as int)) % 2 = 1")
         .select(*facts.columns)
     )
-    return near.join(wanted.select(id_col).distinct(), id_col, "left_semi").select(*facts.columns)
+    # not a semi-join: the optimiser would move that below the bitmaps and shuffle all rows
+    return near.join(wanted.select(id_col).distinct(), id_col).select(*facts.columns)
