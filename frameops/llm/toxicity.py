@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,11 @@ from frameops.llm.store import stored
 
 #: Labelled documents the model is fitted on at most, picked by a hash of their ids.
 MAX_LABELLED = 10_000
-MAX_FEATURES = 800
+MAX_FEATURES = 1500
 MAX_VOTERS = 96
 #: Least likelihood-ratio statistic of a word or stem that may vote.
 EVIDENCE = 25.0
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 SEED = 3
 WORDS = re.compile(r"\w+")
 REMEMBERED = 300_000
@@ -30,15 +31,32 @@ LEXICON = ("bastard", "clown", "crap", "disgusting", "dumb", "filth", "fool", "f
            "loser", "moron", "pathetic", "pig", "scum", "shit", "stupid", "trash", "ugly", "vermin", "worthless")
 
 
-def features_of(word: str) -> list[str]:
-    """A word's features: the word itself and its stems. A stem catches forms that no label shows."""
+def stems_of(word: str) -> list[str]:
+    """A word itself and its stems. A stem catches forms that no label shows."""
     return [f"{word} ", *(word[:k] for k in STEMS if len(word) >= k)]
 
 
+def levels(stem: str, count: int, size: int) -> Iterator[str]:
+    """Features of a text of ``size`` distinct words, ``count`` of them with the stem: one, some, or many for its length."""
+    yield stem
+    if count > 1:
+        yield f"{stem}#2"
+    if count > 2:
+        yield f"{stem}#3"
+    if count > 1 and count * 100 >= size:
+        yield f"{stem}#%"
+
+
 def words_of(text: str | None) -> set[str]:
     return set(WORDS.findall(text.lower())) if text else set()
 
 
+def features_of(text: str | None) -> Iterator[str]:
+    words = words_of(text)
+    for stem, n in Counter(chain.from_iterable(map(stems_of, words))).items():
+        yield from levels(stem, n, len(words))
+
+
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with and without the label, per feature, summed within a task."""
     def flush(tally: dict[int, Counter]) -> pa.RecordBatch:
@@ -50,7 +68,7 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-            tally[label].update({f for w in words_of(text.as_py()) for f in features_of(w)})
+            tally[label].update(features_of(text.as_py()))
             if len(tally[0]) + len(tally[1]) > 400_000:
                 yield flush(tally)
                 tally = {0: Counter(), 1: Counter()}
@@ -58,26 +76,25 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Hits(dict):
-    """Ids of the known features of a word."""
+    """Stems of a word that have a feature."""
 
     def __init__(self, features: list[str]):
         super().__init__()
         self.ids = {f: i for i, f in enumerate(features)}
+        self.stems = {f.split("#")[0] for f in features}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = tuple(self.ids[f] for f in features_of(word) if f in self.ids)
+        found = self[word] = tuple(s for s in stems_of(word) if s in self.stems)
         return found
 
     def of(self, text: str | None) -> tuple[set[int], int]:
-        """Features of a text, and how many of its distinct words have one."""
-        ids, words = set(), 0
-        for word in words_of(text):
-            if found := self[word]:
-                ids.update(found)
-                words += 1
-        return ids, words
+        """Features of a text, and how many of its distinct words have a stem with one."""
+        words = words_of(text)
+        found = [x for x in map(self.__getitem__, words) if x]
+        counts = Counter(chain.from_iterable(found))
+        return {self.ids[f] for s, n in counts.items() for f in levels(s, n, len(words)) if f in self.ids}, len(found)
 
 
 @dataclass
@@ -189,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = rows.mapInArrow(partial(_matched, features=features), "label int, ids array<int>, words int").collect()
     ids = [set(r["ids"]) for r in found]
     labelled = np.array([r["label"] for r in found], dtype=float)
-    posterior, _, _ = label_model(votes(ids, [r["words"] for r in found], features), 0.05 + 0.9 * labelled)
+    cast = votes(ids, [r["words"] for r in found], features)
+    # the label is one more voter, and the start
+    posterior, _, _ = label_model(np.column_stack([cast, labelled]), 0.05 + 0.9 * labelled)
     x = np.zeros((len(ids), len(features)), dtype=np.float32)
     for i, own in enumerate(ids):
         x[i, list(own)] = 1
