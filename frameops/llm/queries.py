@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameops.llm import decontaminate, embedding_dedup, minhash_dedup, packing, pii, token_counts, toxicity
+from frameops.llm import decontaminate, embedding_dedup, minhash_dedup, packing, pii, secrets_scan, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.find(_table(spark, sf_dir, "documents")))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_minhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_embedding_near_dedup,
+        op2_minhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_toxicity, op6_embedding_near_dedup,
         op7_best_fit_packing, op8_pii, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
