@@ -7,13 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameops.llm import decontaminate, embedding_dedup, minhash_dedup, packing, pii, secrets_scan, token_counts, toxicity
+from frameops.llm import (
+    decontaminate, embedding_dedup, licence_scan, minhash_dedup, packing, pii, secrets_scan, token_counts, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licence_scan.documents(docs, licence_scan.fit(docs))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_minhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_toxicity, op6_embedding_near_dedup,
+        op1_licence_scan, op2_minhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_toxicity, op6_embedding_near_dedup,
         op7_best_fit_packing, op8_pii, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
