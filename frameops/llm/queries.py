@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from frameops.llm import (
-    decontaminate, embedding_dedup, licence_scan, minhash_dedup, packing, pii, secrets_scan, token_counts, toxicity,
+    decontaminate, embedding_dedup, importance, licence_scan, minhash_dedup, packing, pii, secrets_scan, token_counts, toxicity,
 )
 
 
@@ -50,6 +50,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return importance.resample(docs, importance.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,6 +62,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_licence_scan, op2_minhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_toxicity, op6_embedding_near_dedup,
-        op7_best_fit_packing, op8_pii, op10_token_counts)
+        op7_best_fit_packing, op8_pii, op9_importance_resampling, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
