@@ -199,13 +199,34 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     whole. Repeated rows give repeated results, equal items one row each. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    wanted = items.filter(F.length(F.trim(item_text_col)) > 0).select(
-        F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text"))
-    blocks = 1 + wanted.count() // index_items
     out = None
-    for block in range(blocks):
-        rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        index = Index([(r["item_id"], bytes(r["text"])) for r in rows])
+    for index in indexes(items, item_col, item_text_col, index_items):
         found = texts.mapInArrow(partial(_searched, index=index), FOUND)
         out = found if out is None else out.union(found)
     return out
+
+
+def indexes(items: DataFrame, item_col: str, text_col: str, index_items: int) -> Iterator[Index]:
+    """An index for every block of about ``index_items`` items, one at least."""
+    wanted = items.filter(F.length(F.trim(text_col)) > 0).select(
+        F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("binary").alias("text"))
+    blocks = 1 + wanted.count() // index_items
+    for block in range(blocks):
+        rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id").collect()
+        yield Index([(r["item_id"], bytes(r["text"])) for r in rows])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], index: Index, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            hashed = S.word_hashes(part.column(text_col).cast(pa.binary()).to_pylist())
+            yield part.filter(pa.array([not index.leaks(h) for h in hashed], pa.bool_()))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                   item_text_col: str = "text", index_items: int = INDEX_ITEMS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item; see :func:`leaks`."""
+    for index in indexes(items, item_col, item_text_col, index_items):
+        docs = docs.mapInArrow(partial(_clean, index=index, text_col=text_col), docs.schema)
+    return docs

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from frameops.llm import shingles as S
 from frameops.llm.components import components
-from frameops.llm.sieve import sieved
+from frameops.llm.sieve import left_out, sieved
 from frameops.llm.store import stored
 
 WIDTH = 5
@@ -224,3 +224,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those that are near-duplicates of a kept one.
+
+    Of rows that share an id one stays if the id is kept. Rows without an id stay.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, similarity).filter("doc_id is not null"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+    repeated = found.groupBy(F.col("doc_id").alias(id_col)).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept")).filter("n > 1")
+    if repeated.isEmpty():
+        return left_out(docs, gone, id_col)
+    again = sieved(docs, repeated.filter("kept"), id_col).dropDuplicates([id_col])
+    return left_out(docs, gone.union(repeated.select(id_col)), id_col).union(again)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from frameops.llm.sieve import parted
 from frameops.llm.spans import SPAN, count_of, digits, keyed, located, passes_luhn, written
 from frameops.llm.store import stored
 
@@ -121,11 +122,12 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans that touch one another become one mark, named after the first. Null texts stay null; other columns stay.
     """
-    found = find(docs, id_col, text_col).filter(F.size("spans") > 0).select("key", "check", "spans").dropDuplicates(
-        ["key", "check"]).select(F.col("key").alias("_key"), F.col("check").alias("_check"), F.col("spans").alias("_spans"))
+    found = stored(find(docs, id_col, text_col).filter(F.size("spans") > 0).dropDuplicates(["key", "check"])).select(
+        F.col("key").alias("_key"), F.col("check").alias("_check"), F.col("spans").alias("_spans"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumns({"_key": F.xxhash64(F.col(id_col).cast("long"), text), "_check": F.hash(text)}).join(
-        found, ["_key", "_check"], "left")
+    keyed_docs = docs.withColumns({"_key": F.xxhash64(F.col(id_col).cast("long"), text), "_check": F.hash(text)})
+    maybe, others = parted(keyed_docs, found, "_key")
+    marked = maybe.join(found, ["_key", "_check"], "left")
     by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
@@ -141,4 +143,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step,
         lambda state: F.concat(state["text"], F.substring(F.col(text_col), state["at"] + 1, F.lit(2**31 - 1))))
     clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(whole)
-    return marked.withColumn(text_col, clean).select(*docs.columns)
+    return others.select(*docs.columns).union(marked.withColumn(text_col, clean).select(*docs.columns))

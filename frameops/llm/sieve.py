@@ -1,4 +1,4 @@
-"""Keep the rows of a large table whose id is wanted, without shuffling the rest."""
+"""Find the rows of a large table whose id is in another table, without shuffling the rest."""
 
 from __future__ import annotations
 
@@ -8,26 +8,34 @@ from pyspark.sql import DataFrame, functions as F
 BITS = 25
 
 
-def sieved(facts: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``facts`` whose ``id_col`` is in ``wanted``; null matches nothing.
+def parted(facts: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``facts`` whose ``id_col`` may be in ``ids``, and rows whose isn't; a null is not.
 
-    A bitmap of hashed ids of fixed size goes to every executor and drops most unwanted rows where they
-    are read. The rest is joined exactly, so with more ids than bits only the saving shrinks.
+    A bitmap of hashed ids of fixed size goes to every executor and tells them apart where they are read. With
+    more ids than bits only the saving shrinks.
     """
     bit = F.pmod(F.xxhash64(id_col), F.lit(1 << BITS))
     placed = {"_word": F.shiftright(bit, 15), "_bit": bit.bitwiseAND(F.lit(32767))}
     maps = (
-        wanted.select(id_col).withColumns(placed)
+        ids.select(id_col).filter(F.col(id_col).isNotNull()).withColumns(placed)
         .groupBy("_word").agg(F.expr("bitmap_construct_agg(_bit)").alias("_map"))
     )
     byte = F.expr("cast(conv(hex(substring(_map, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    near = (
-        facts.withColumns(placed)
-        # proven bound: 2**BITS bits
-        .join(F.broadcast(maps), "_word")
-        .withColumn("_byte", byte)
-        .filter("shiftright(_byte, cast(_bit % 8 as int)) % 2 = 1")
-        .select(*facts.columns)
-    )
+    # proven bound: 2**BITS bits
+    marked = facts.withColumns(placed).join(F.broadcast(maps), "_word", "left").withColumn("_byte", byte)
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) % 2 = 1"), F.lit(False)) & F.col(id_col).isNotNull()
+    return marked.filter(hit).select(*facts.columns), marked.filter(~hit).select(*facts.columns)
+
+
+def sieved(facts: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``facts`` whose ``id_col`` is in ``wanted``; null matches nothing."""
+    maybe, _ = parted(facts, wanted, id_col)
     # not a semi-join: the optimiser would move that below the bitmaps and shuffle all rows
-    return near.join(wanted.select(id_col).distinct(), id_col).select(*facts.columns)
+    return maybe.join(wanted.select(id_col).distinct(), id_col).select(*facts.columns)
+
+
+def left_out(facts: DataFrame, unwanted: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``facts`` whose ``id_col`` is not in ``unwanted``; rows without an id stay."""
+    maybe, others = parted(facts, unwanted, id_col)
+    marked = unwanted.select(id_col).distinct().withColumn("_gone", F.lit(True))
+    return others.union(maybe.join(marked, id_col, "left").filter("_gone is null").select(*facts.columns))

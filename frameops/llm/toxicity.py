@@ -239,3 +239,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         .select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
                 (F.col("score") >= 0.5).cast("int").alias("predicted"))
     )
+
+
+def _accepted(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:
+    hits = Hits(model.features)
+    for batch in batches:
+        fine = [model.score(hits.of(t.as_py())[0]) < 0.5 for t in batch.column(text_col)]
+        yield batch.filter(pa.array(fine, pa.bool_()))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below one half."""
+    return docs.mapInArrow(partial(_accepted, model=model, text_col=text_col), docs.schema)
