@@ -18,7 +18,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IDENTIFIER = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
 LEFT = r"(\S+\s+\S+)\s+$"
 RIGHT = r"^\s+(\S+)"
-CONTEXT = 120
+#: Characters of a cell in which base spans and identifiers meet.
+CELL = 64
 ROUNDS = 3
 #: Different seeds that a pattern has to have met, and the share of its instances that has to be known.
 SUPPORT = 3
@@ -51,18 +52,25 @@ def _bare(word: Column) -> Column:
 def _found(docs: DataFrame) -> DataFrame:
     """One row per document, without its text: base spans, and identifiers with their contexts."""
     text = F.col("text")
-    words = located(text, IDENTIFIER, "context", F.rlike(text, F.lit("[0-9@]")))
+    words = located(text, IDENTIFIER, "context", F.rlike(text, F.lit("[0-9@]")), context=True)
 
     def described(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        seed = F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
         return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), _bare(s["value"]).alias("instance"), seed.alias("seed"),
-            F.lower(F.regexp_extract(before, LEFT, 1)).alias("left"), F.lower(F.regexp_extract(after, RIGHT, 1)).alias("right"))
+            s["start"].alias("start"), s["end"].alias("end"), _bare(s["value"]).alias("instance"),
+            F.lower(F.regexp_extract(s["before"], LEFT, 1)).alias("left"), F.lower(F.regexp_extract(s["after"], RIGHT, 1)).alias("right"))
 
-    return docs.withColumn("base", base_spans(text)).withColumn("words", words).select(
-        "doc_id", "key", "check", "base", F.transform("words", described).alias("words"))
+    return docs.select("doc_id", "key", "check", base_spans(text).alias("base"), F.transform(words, described).alias("words"))
+
+
+def seeded(rows: DataFrame) -> DataFrame:
+    """All identifiers, a row each, with ``seed``: whether a base span touches it. Both meet in the cells of the text they lie in."""
+    cell = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)))
+    words = rows.select("key", "check", F.explode("words").alias("w")).select("key", "check", "w.*").distinct()
+    base = rows.select("key", "check", F.explode("base").alias("b")).select("key", "check", "b.start", "b.end").distinct()
+    base = base.withColumn("cell", cell).withColumnsRenamed({"start": "from", "end": "to"})
+    touched = words.select("key", "check", "start", "end").withColumn("cell", cell).join(base, ["key", "check", "cell"]).filter(
+        "start < to and `from` < `end`").select("key", "check", "start", F.lit(True).alias("touched")).distinct()
+    return words.join(touched, ["key", "check", "start"], "left").withColumn("seed", F.col("touched").isNotNull()).drop("touched")
 
 
 def patterns(occurrences: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     that are equal have equal spans. Other columns are ignored, an empty table gives an empty result.
     """
     rows = stored(_found(keyed(docs, id_col, text_col)))
-    seen = rows.select("key", "check", F.explode("words").alias("w")).select("key", "check", "w.*")
+    seen = stored(seeded(rows))
     scored = patterns(seen)
     unseen = scored.filter((F.col("seed") == 0) & (F.col("trust") >= CONFIDENCE) & (F.length("instance") >= LEAST_LENGTH)) \
         .select("instance").distinct()

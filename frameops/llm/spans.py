@@ -8,25 +8,61 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str, kind: str, needs: Column) -> Column:
+#: Matches whose places are summed up in one go; the work for n matches grows with n times this, not with n squared.
+RUN = 256
+#: Characters of the text around a match that are kept if asked for.
+CONTEXT = 120
+
+
+def located(text: Column, pattern: str, kind: str, needs: Column, context: bool = False) -> Column:
     """All leftmost matches of ``pattern`` as an array of spans; texts without ``needs`` are not searched.
 
-    The parts between matches and the matches give the places: a running sum of their lengths.
+    The parts between matches and the matches give the places: a running sum of their lengths, over runs of matches.
+    With ``context`` a span also has the text before and after it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("before"), found.alias("value"))
-    empty = F.array().cast(f"array<{SPAN}>")
+    kinds = SPAN[:-1] + ",before:string,after:string>" if context else SPAN
+    empty = F.array().cast(f"array<{kinds}>")
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.split(text, pattern, -1)
+    zipped = F.arrays_zip(parts.alias("before"), values.alias("value"), F.slice(parts, 2, 2**30).alias("after"),
+                          F.slice(values, 2, 2**30).alias("next")) if context else F.arrays_zip(
+        parts.alias("before"), values.alias("value"))
+
+    def length(pair: Column) -> Column:
+        return F.length(pair["before"]) + F.length(F.coalesce(pair["value"], F.lit("")))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["before"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(pair["value"])).alias("end"),
-                        pair["value"].alias("value"))
-        return F.struct((start + F.length(pair["value"])).alias("at"), F.array_append(state["spans"], span).alias("spans"))
-
-    spans = F.aggregate(
-        F.slice(pairs, F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step,
-        lambda state: state["spans"])
-    return F.when(needs & F.rlike(text, F.lit(pattern)), spans).otherwise(empty)
+        end = start + F.length(pair["value"])
+        fields = [F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value")]
+        rest = []
+        if context:
+            before = F.right(F.concat(state["tail"], pair["before"]), F.lit(CONTEXT))
+            after = F.left(F.concat(F.left(pair["after"], F.lit(CONTEXT)), F.coalesce(pair["next"], F.lit(""))), F.lit(CONTEXT))
+            fields += [before.alias("before"), after.alias("after")]
+            rest = [F.right(F.concat(before, pair["value"]), F.lit(CONTEXT)).alias("tail")]
+        return F.struct(end.alias("at"), F.array_append(state["spans"], F.struct(*fields)).alias("spans"), *rest)
+
+    def spans(pairs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")),
+                           lambda r: F.slice(pairs, r * RUN + 1, F.lit(RUN)))
+
+        def summed(state: Column, run: Column) -> Column:
+            size = F.aggregate(run, F.lit(0), lambda n, pair: n + length(pair))
+            return F.struct((state["at"] + size).alias("at"), F.array_append(
+                state["runs"], F.struct(state["at"].alias("at"), run.alias("run"))).alias("runs"))
+
+        start = F.struct(F.lit(0).alias("at"), F.filter(F.transform(F.slice(runs, 1, 1), lambda r: F.struct(
+            F.lit(0).alias("at"), r.alias("run"))), lambda _: F.lit(False)).alias("runs"))
+        placed = F.aggregate(runs, start, summed, lambda state: state["runs"])
+        tail = [F.lit("").alias("tail")] if context else []
+        return F.flatten(F.transform(placed, lambda r: F.aggregate(
+            F.filter(r["run"], lambda pair: pair["value"].isNotNull()),
+            F.struct(r["at"].alias("at"), empty.alias("spans"), *tail), step, lambda state: state["spans"])))
+
+    # bound to a variable, the pairs are made once and not for every run
+    found = F.element_at(F.transform(F.array(zipped), spans), 1)
+    return F.when(needs & F.rlike(text, F.lit(pattern)), found).otherwise(empty)
 
 
 def written(spans: Column) -> Column:
