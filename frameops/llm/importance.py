@@ -14,6 +14,8 @@ from frameops.llm import shingles as S
 from frameops.llm.sieve import sieved
 from frameops.llm.store import stored
 
+#: Documents labelled good that the target model is counted on at most, the first by a hash of their id.
+MAX_LABELLED = 20_000
 #: Buckets of hashed words and word pairs.
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -58,15 +60,20 @@ class Ratio:
     share: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ratio:
-    """Target: all documents labelled 1; raw: all documents. Without labelled documents all weights are 0, the share 1."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+        max_labelled: int = MAX_LABELLED) -> Ratio:
+    """Target: documents labelled 1, at most ``max_labelled``; raw: all documents, counted whole.
+
+    The share of good documents is that of all labels. Without documents labelled 1 all weights are 0, the share 1.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     judged = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
         F.max(label_col).alias("label"))
     sizes = {r["label"]: r["count"] for r in judged.groupBy("label").count().collect()}
     if not sizes.get(1):
         return Ratio(np.zeros(BUCKETS), 1.0)
-    target = model(sieved(texts, judged.filter("label = 1").select("id"), "id").select("text"))
+    good = stored(judged.filter("label = 1").select("id").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(max_labelled))
+    target = model(sieved(texts, good, "id").select("text"))
     return Ratio(target - model(texts.select("text")), sizes[1] / sum(sizes.values()))
 
 
