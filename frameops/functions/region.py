@@ -51,7 +51,7 @@ def empty_region() -> Column:
 
 
 def clamp_region(region: Column, max_width: Column, max_height: Column) -> Column:
-    """Region inside a frame: the corner moves first, then the size shrinks, nothing below 0."""
+    """Region inside a frame: the corner moves first, then the size shrinks, nothing below 0; null where a size is unknown."""
     zero = F.lit(0).cast("bigint")
     w, h = max_width.cast("bigint"), max_height.cast("bigint")
     x = F.greatest(zero, F.least(region["x"], w - 1))
@@ -59,4 +59,4 @@ def clamp_region(region: Column, max_width: Column, max_height: Column) -> Colum
     width = F.greatest(zero, F.least(region["width"], w - x))
     height = F.greatest(zero, F.least(region["height"], h - y))
     clamped = F.struct(x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height"))
-    return F.when(region.isNotNull(), clamped)
+    return F.when(region.isNotNull() & w.isNotNull() & h.isNotNull(), clamped)

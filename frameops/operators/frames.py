@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions import sampling as S
 from frameops.functions.text import int_param
-from frameops.operators.joins import fits_broadcast, lookup_join
 
 
 def _per_video(frames: DataFrame, videos: DataFrame, how: str = "inner") -> DataFrame:
-    return lookup_join(frames, videos, ["video_id"], ["frame_index"], how)
+    return frames.join(videos, "video_id", how)
 
 
 def first_unreadable(frames: DataFrame) -> DataFrame:
@@ -24,10 +23,16 @@ def readable_prefix(frames: DataFrame) -> DataFrame:
     return marked.filter(F.col("first_bad").isNull() | (F.col("frame_index") < F.col("first_bad"))).drop("first_bad")
 
 
+def with_params(videos: DataFrame, params: DataFrame) -> DataFrame:
+    """Videos with their load parameters; a video without a row, or with a null in it, has the defaults."""
+    defaults = {name: F.coalesce(F.col(name), F.lit(default)) for name, (default, _, _) in LOAD_PARAMS.items() if name in params.columns}
+    return videos.join(params, "video_id", "left").withColumns(defaults)
+
+
 def target_size(videos: DataFrame, params: DataFrame, multiple: int = S.SIZE_MULTIPLE) -> DataFrame:
-    """Output size per video; ``vanished`` marks sizes that round to 0."""
+    """Output size per video; ``vanished`` marks sizes that round to 0. Unknown header sizes have to be probed before."""
     wide, high = S.target_size(*(F.col(c) for c in ("width", "height", "custom_width", "custom_height")), multiple)
-    joined = videos.join(params.select("video_id", "custom_width", "custom_height"), "video_id")
+    joined = with_params(videos, params.select("video_id", "custom_width", "custom_height"))
     return joined.select("video_id", wide.alias("target_width"), high.alias("target_height")).withColumn(
         "vanished", (F.col("target_width") == 0) | (F.col("target_height") == 0)
     )
@@ -56,7 +61,7 @@ def sampling_plan(videos: DataFrame, params: DataFrame) -> DataFrame:
     step, every = F.col("frame_step"), S.at_least_one(F.col("select_every_nth"))
     lead = F.when(step > 1, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     return (
-        videos.join(params, "video_id")
+        with_params(videos, params)
         .withColumn("frame_step", S.frame_step(F.col("original_fps"), F.col("framerate")))
         .select(
             "video_id", "total_frames", "original_fps", "framerate", "select_every_nth", "frame_load_cap", "frame_step",
@@ -99,8 +104,8 @@ def preview_limit(text: Column) -> Column:
 
 def preview_frames(frames: DataFrame, plan: DataFrame, params: DataFrame, limit_text: str = "max_preview_text") -> DataFrame:
     """The selection of each video, cut to its preview size as well."""
-    limits = params.select("video_id", preview_limit(F.col(limit_text)).alias("preview_limit"))
-    return select_frames(frames, plan.join(limits, "video_id"), limit=F.col("preview_limit"))
+    asked = plan.join(params.select("video_id", limit_text), "video_id", "left")
+    return select_frames(frames, asked, limit=preview_limit(F.col(limit_text)))
 
 
 def sequence_stats(selected: DataFrame, plan: DataFrame) -> DataFrame:
@@ -130,11 +135,7 @@ def frame_lookup(requests: DataFrame, frames: DataFrame) -> DataFrame:
     """One frame per request; numbers below 0 mean the first frame, unreadable or absent frames give null."""
     keys = ["video_id", "frame_index"]
     wanted = requests.withColumn("frame_index", F.greatest(F.lit(0).cast("bigint"), F.col("n")))
-    readable = frames.filter("readable").drop("readable")
-    asked = wanted.select(*keys).distinct()
-    if fits_broadcast(asked):
-        readable = readable.join(F.broadcast(asked), keys, "left_semi")
-    return lookup_join(wanted, readable, keys, requests.columns, store=False)
+    return wanted.join(frames.filter("readable").drop("readable"), keys, "left")
 
 
 def _lasting(stats: DataFrame, *cols: str) -> DataFrame:
@@ -154,7 +155,7 @@ def frame_at_time(probes: DataFrame, stats: DataFrame) -> DataFrame:
 
     Position and index follow from the video's progression, so the frames themselves are not read.
     """
-    shown = lookup_join(probes, _lasting(stats, "first_index", "combined_step"), ["video_id"], probes.columns, "inner")
+    shown = probes.join(_lasting(stats, "first_index", "combined_step"), "video_id")
     position = F.pmod(F.floor(F.col("at_ms") / F.col("duration_ms")), F.col("frame_count")).cast("bigint")
     return shown.withColumn("position", position).select(
         *probes.columns, "position", (F.col("first_index") + F.col("position") * F.col("combined_step")).alias("frame_index")

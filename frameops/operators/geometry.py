@@ -12,9 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions.color import parse_hex_literal
-from frameops.operators.joins import lookup_join
 from frameops.operators.lattice import lattice
-from frameops.session import cut_lineage, wide
+from frameops.session import wide
 
 PIXEL = ["batch_id", "image_id", "y", "x", "r", "g", "b"]
 Fill = str | tuple[int, int, int]
@@ -26,9 +25,17 @@ def _fill(color: Fill) -> list[Column]:
 
 
 def with_image(pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """Add the columns of ``images`` (one row per image) to its pixels."""
+    """Add the columns of ``images`` (one row per image) to its pixels; pixels that have them all stay where they are."""
     extra = [c for c in images.columns if c != "batch_id"]
-    return lookup_join(pixels, images.select(*extra), ["image_id"], ["y", "x"], "inner")
+    if set(extra) <= set(pixels.columns):
+        return pixels
+    return pixels.join(images.select(*extra), "image_id")
+
+
+def orphan_pixels(pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """How many pixels each image has that ``images`` does not list: they are in no result of :func:`with_image`."""
+    counts = pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pixels"))
+    return counts.join(images.select("image_id"), "image_id", "left_anti")
 
 
 def _rotation(degrees: int, width: Column, height: Column):
@@ -93,11 +100,13 @@ def rotate_pixels(pixels: DataFrame, images: DataFrame, degrees: int, background
 
 def fit_to_size(pixels: DataFrame, images: DataFrame, width: int, height: int, background: Fill = "#000000") -> DataFrame:
     """Centre each image on a canvas of the given size; larger images are cropped."""
-    left = F.floor((F.lit(width) - F.col("width")) / 2).cast("int")
-    top = F.floor((F.lit(height) - F.col("height")) / 2).cast("int")
-    placed = images.select(
-        "image_id", "batch_id", left.alias("left"), top.alias("top"), F.col("width").alias("w"), F.col("height").alias("h")
-    )
+    place = {
+        "left": F.floor((F.lit(width) - F.col("width")) / 2).cast("int"),
+        "top": F.floor((F.lit(height) - F.col("height")) / 2).cast("int"), "w": F.col("width"), "h": F.col("height"),
+    }
+    placed = images.select("image_id", "batch_id", *(c.alias(n) for n, c in place.items()))
+    if {"width", "height"} <= set(pixels.columns):
+        pixels = pixels.withColumns(place)
     return _place(pixels, placed, F.lit(width), F.lit(height), background)
 
 
@@ -184,7 +193,7 @@ def pose_window(bbox: DataFrame, width_change: int = 0, height_change: int = 0,
 def _untouched(pixels: DataFrame, united: DataFrame, images: DataFrame) -> DataFrame:
     nothing = united.groupBy("batch_id").agg(F.bool_or("selected").alias("any")).filter(~F.col("any"))
     unmoved = images.join(nothing.select("batch_id"), "batch_id", "left_semi").select("image_id")
-    return with_image(pixels, unmoved).select(*PIXEL)
+    return pixels.join(unmoved, "image_id", "left_semi").select(*PIXEL)
 
 
 def empty_mask_passthrough(pixels: DataFrame, mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
@@ -198,20 +207,20 @@ def pose_setup(pixels: DataFrame, images: DataFrame, mask_pixels: DataFrame, fil
     """Cut a window around the mask out of every image of a batch and fill what lies outside.
 
     With ``only_fill`` just the masked pixels are copied. Batches whose masks select nothing
-    come back unchanged. The united masks are stored, since every part of the result reads them.
+    come back unchanged.
     """
-    united = cut_lineage(mask_union(mask_pixels))
+    united = mask_union(mask_pixels)
     window = pose_window(_bbox_or_full(united, images), width_change, height_change, offset_x, offset_y)
-    placed = cut_lineage(images.join(window, "batch_id").select(
+    placed = images.join(window, "batch_id").select(
         "image_id", "batch_id", (-F.col("start_x")).alias("left"), (-F.col("start_y")).alias("top"),
         F.col("width").alias("w"), F.col("height").alias("h"), "win_width", "win_height",
-    ))
+    )
     untouched = _untouched(pixels, united, images)
     size = F.col("win_width"), F.col("win_height")
     if not only_fill:
         return _place(pixels, placed, *size, fill).unionByName(untouched)
 
-    words = cut_lineage(mask_words(_or_full(united, images)))
+    words = mask_words(_or_full(united, images))
     return (
         _masked_pixels(pixels, placed, words)
         .unionByName(_unmasked_spots(placed, words, fill)).unionByName(untouched)
@@ -234,7 +243,7 @@ def _masked_pixels(pixels: DataFrame, placed: DataFrame, words: DataFrame) -> Da
     y, x = F.col("y") + F.col("top"), F.col("x") + F.col("left")
     inside = (x >= 0) & (x < F.col("win_width")) & (y >= 0) & (y < F.col("win_height"))
     shown = with_image(pixels, placed).filter(inside).withColumn("word", F.shiftright("x", 6))
-    marked = lookup_join(shown, words, ["batch_id", "y", "word"], ["image_id", "x"], "inner")
+    marked = shown.join(words, ["batch_id", "y", "word"])
     return marked.filter(_is_set()).select("batch_id", "image_id", y.alias("y"), x.alias("x"), "r", "g", "b")
 
 
@@ -248,7 +257,7 @@ def _unmasked_spots(placed: DataFrame, words: DataFrame, fill: Fill) -> DataFram
         .withColumn("word", F.explode(F.sequence(F.shiftright(first, 6), F.shiftright(last, 6))))
     )
     start, end = F.greatest(first, F.col("word") * 64), F.least(last, F.col("word") * 64 + 63)
-    spots = lookup_join(runs, words, ["batch_id", "y", "word"], ["image_id"]).withColumn("x", F.explode(F.sequence(start, end)))
+    spots = runs.join(words, ["batch_id", "y", "word"], "left").withColumn("x", F.explode(F.sequence(start, end)))
     return spots.filter(~_is_set()).select(
         "batch_id", "image_id", F.col("dy").alias("y"), (F.col("x") + F.col("left")).alias("x"), *_fill(fill)
     )
@@ -264,11 +273,12 @@ def fill_channels(df: DataFrame, n_channels: str, rgb: str) -> DataFrame:
 
 
 def quantize_pixels(df: DataFrame, cols: list[str], clip: bool = False) -> DataFrame:
-    """0..1 to 0..255 in single precision, fractions cut off; ``clip`` bounds the product first."""
+    """0..1 to 0..255 in single precision, fractions cut off; ``clip`` bounds the product first. A null stays null."""
     def level(name: str) -> Column:
         scaled = F.col(name).cast("float") * F.lit(255.0).cast("float")
         if clip:
-            scaled = F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(255.0).cast("float"), scaled))
+            bounded = F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(255.0).cast("float"), scaled))
+            scaled = F.when(scaled.isNotNull(), bounded)
         return scaled.cast("int").bitwiseAND(F.lit(255))
 
     return df.withColumns({name: level(name) for name in cols})

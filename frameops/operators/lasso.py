@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from frameops.operators.joins import lookup_join
+
+#: Sequence numbers that are lined up together.
+RUN = 10_000
 
 
 def path_edges(polygons: DataFrame) -> DataFrame:
     """Directed edges of each path, the last point joined to the first.
 
-    ``seq`` counts a path's points without gaps, so the successor is an equi-join that spreads a long path.
+    A point's successor is the next larger ``seq``, whatever the gap. Points are lined up in runs of ``RUN`` numbers, so a
+    long path is no single sorted group; only the first point of every run is lined up per path.
     """
     point = F.struct("px", "py")
-    here = polygons.select("poly_id", (F.col("seq") + 1).alias("seq"), F.col("px").alias("x1"), F.col("py").alias("y1"))
-    there = polygons.select("poly_id", "seq", F.col("px").alias("x2"), F.col("py").alias("y2"))
-    along = here.join(there, ["poly_id", "seq"]).select("poly_id", "x1", "y1", "x2", "y2")
+    runs = polygons.withColumn("_run", F.floor(F.col("seq") / RUN))
+    firsts = runs.groupBy("poly_id", "_run").agg(F.min_by(point, "seq").alias("_first"))
+    line = Window.partitionBy("poly_id").orderBy("_run")
+    firsts = firsts.select("poly_id", "_run", F.lead("_first").over(line).alias("_after"))
+    within = Window.partitionBy("poly_id", "_run").orderBy("seq")
+    along = (
+        runs.withColumn("_next", F.lead(point).over(within)).join(firsts, ["poly_id", "_run"])
+        .withColumn("_next", F.coalesce("_next", "_after")).filter("_next is not null")
+        .select("poly_id", F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("_next.px").alias("x2"), F.col("_next.py").alias("y2"))
+    )
     closing = polygons.groupBy("poly_id").agg(
         F.max_by(point, "seq").alias("last"), F.min_by(point, "seq").alias("first")
     ).select("poly_id", F.col("last.px").alias("x1"), F.col("last.py").alias("y1"),
@@ -31,8 +41,7 @@ def lasso_runs(polygons: DataFrame, dims: DataFrame) -> DataFrame:
     testing a single pixel. Cuts beyond the frame count at its edge, so a line sums at most ``width + 1``
     places however long the path is. ``dims`` has ``poly_id``, ``width``, ``height``.
     """
-    edges = lookup_join(path_edges(polygons), dims.select("poly_id", "width", "height"), ["poly_id"],
-                        ["x1", "y1", "x2", "y2"], "inner")
+    edges = path_edges(polygons).join(dims.select("poly_id", "width", "height"), "poly_id")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     first = F.greatest(F.lit(0), F.ceil(low - 0.5).cast("int"))
     last = F.least(F.col("height") - 1, F.ceil(high - 0.5).cast("int") - 1)

@@ -6,10 +6,9 @@ aggregate that is combined before the shuffle: one node with most of the events
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions.region import with_region
-from frameops.operators.joins import lookup_join
 
 ORDER = ("ts", "event_id")
 
@@ -50,8 +49,8 @@ def change_fingerprint(videos: DataFrame, versions: DataFrame, files: DataFrame)
 
     ``videos`` has ``video_id, name, node_id``, ``files`` has ``name, mtime_ms``.
     """
-    known = lookup_join(videos, files.select("name", "mtime_ms"), ["name"], ["video_id"])
-    known = lookup_join(known, versions, ["node_id"], ["video_id"])
+    known = videos.join(files.select("name", "mtime_ms"), "name", "left")
+    known = known.join(versions, "node_id", "left")
     stamp = F.coalesce(mtime_text(F.col("mtime_ms")), F.lit("missing"))
     version = F.coalesce(F.col("version"), F.lit(0)).cast("string")
     return known.select("video_id", F.concat_ws("_", stamp, version).alias("fingerprint"))
@@ -66,19 +65,16 @@ def stale_videos(current: DataFrame, previous: DataFrame) -> DataFrame:
 def debounce_changes(events: DataFrame, gap: str = "250 milliseconds", key: str = "node_id") -> DataFrame:
     """Last event of each burst per key: the next one is at least ``gap`` later, or there is none.
 
-    The next event is the following one of the same hour or, for the last of an hour, the first of the
-    next hour with events. So a key with most of the events is spread over its hours, and only one
-    row per hour is lined up per key.
+    Time is cut into cells of the gap's length. Only the last event of a cell can end a burst, and only the first event
+    of the next cell can still prolong it. So cells are summed up, combined before the shuffle, and joined with the
+    next cell: nothing is sorted, and a key with all its events in one hour is no larger a group than any other.
     """
-    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
-    sliced = events.filter(F.col(key).isNotNull()).withColumn("_slice", hour)
-    firsts = sliced.groupBy(key, "_slice").agg(F.min("ts").alias("_first"))
-    line = Window.partitionBy(key).orderBy("_slice")
-    after = firsts.select(key, "_slice", F.lead("_first").over(line).alias("_after"))
-    within = Window.partitionBy(key, "_slice").orderBy(*ORDER)
-    follower = F.coalesce(F.col("_next"), F.col("_after"))
-    return (
-        sliced.withColumn("_next", F.lead("ts").over(within)).join(after, [key, "_slice"])
-        .filter(follower.isNull() | (follower >= F.col("ts") + F.expr(f"INTERVAL '{gap}'")))
-        .drop("_slice", "_next", "_after")
-    )
+    width = F.expr(f"INTERVAL '{gap}'")
+    micros = F.unix_micros(F.lit(0).cast("timestamp") + width)
+    cell = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / micros)
+    row = F.struct(*(c for c in events.columns if c != key))
+    cells = events.filter(F.col(key).isNotNull()).groupBy(F.col(key), cell.alias("_cell")).agg(
+        F.max_by(row, F.struct(*ORDER)).alias("_last"), F.min("ts").alias("_first"))
+    following = cells.select(key, (F.col("_cell") - 1).alias("_cell"), F.col("_first").alias("_next"))
+    ends = cells.join(following, [key, "_cell"], "left").filter(F.col("_next").isNull() | (F.col("_next") >= F.col("_last.ts") + width))
+    return ends.select(key, "_last.*").select(*events.columns)

@@ -51,15 +51,20 @@ def nearest_palette_color(queries: DataFrame, palette: DataFrame) -> DataFrame:
 def _measured_choices(pixels: DataFrame, rate: int, limits: tuple, measure: bool) -> DataFrame:
     """``(batch_id, value, dist2)`` of the chosen colour; ``dist2`` of a fallback only on ``measure``.
 
-    Whether any colour is allowed depends on the limits alone, so it is asked once and not per batch.
+    Whether any colour is allowed depends on the limits alone: if one is, no batch is left for the fallback.
     """
     palette = _values(pixel_grid_sample(pixels, rate))
-    if not allowed_colors(pixels.sparkSession, *limits).isEmpty():
-        return farthest(palette, *limits)
+    allowed = allowed_colors(pixels.sparkSession, *limits).limit(1).select((F.col("value") % 1).cast("int").alias("_any"))
     r, g, b = FALLBACK_RGB
     # position (0, 0) is always sampled, so every batch is in the palette
-    fallback = palette.select("batch_id").distinct().withColumn("value", F.lit(r << 16 | g << 8 | b))
-    return nearest(fallback, palette) if measure else fallback
+    fallback = (
+        palette.withColumn("_any", F.expr("CAST(coalesce(batch_id % 1, 0) AS INT)")).join(F.broadcast(allowed), "_any", "left_anti")
+        .select("batch_id").distinct().withColumn("value", F.lit(r << 16 | g << 8 | b))
+    )
+    far = farthest(palette, *limits)
+    if not measure:
+        return far.select("batch_id", "value").unionByName(fallback)
+    return far.unionByName(nearest(fallback, palette).select("batch_id", "value", "dist2"))
 
 
 def farthest_color(pixels: DataFrame, rate: int = SAMPLE_RATE, max_brightness: int = MAX_BRIGHTNESS,

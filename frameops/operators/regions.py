@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions.region import SIDES, clamp_region, with_region
-from frameops.operators.joins import lookup_join
 
 
 def region_from_json(df: DataFrame, col: str) -> DataFrame:
@@ -24,19 +23,22 @@ def _usable() -> Column:
     return F.coalesce((F.col("region.width") > 0) & (F.col("region.height") > 0), F.lit(False))
 
 
-def region_mask(frames: DataFrame, regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Mask of each selected frame, as its size and the rectangle of ones.
+def video_masks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Mask of each video, as its size and the rectangle of ones.
 
     Without a region, or with an empty one, the rectangle is empty and the mask all zeros. ``regions`` has
-    ``video_id, region``; ``sizes`` has ``video_id, target_width, target_height``. A mask is the same for all frames
-    of a video, so its positions are only spelled out on demand.
+    ``video_id, region``; ``sizes`` has ``video_id, target_width, target_height``.
     """
-    rectangle = (
+    return (
         clamp_regions(sizes.join(regions, "video_id", "left"), "target_width", "target_height")
         .select("video_id", "target_width", "target_height",
                 *(F.when(_usable(), F.col(f"region.{s}")).otherwise(F.lit(0)).cast("int").alias(f"mask_{s}") for s in SIDES))
     )
-    return lookup_join(frames, rectangle, ["video_id"], ["frame_index"], "inner")
+
+
+def region_mask(frames: DataFrame, regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Mask of each selected frame. It is the same for all frames of a video, so its positions are spelled out on demand only."""
+    return frames.join(video_masks(regions, sizes), "video_id")
 
 
 def mask_lines(masks: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def region_crop(pixels: DataFrame, images: DataFrame, regions: DataFrame) -> Dat
     clamped = clamp_regions(images.join(regions, "image_id"), "width", "height").filter(_usable()).select(
         "image_id", *(F.col(f"region.{s}").cast("int").alias(f"_{s}") for s in SIDES)
     )
-    joined = lookup_join(pixels, clamped, ["image_id"], ["y", "x"])
+    joined = pixels.join(clamped, "image_id", "left")
     x, y = F.col("x") - F.coalesce(F.col("_x"), F.lit(0)), F.col("y") - F.coalesce(F.col("_y"), F.lit(0))
     inside = (x >= 0) & (x < F.col("_width")) & (y >= 0) & (y < F.col("_height"))
     return joined.filter(F.col("_x").isNull() | inside).select(

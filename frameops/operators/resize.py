@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from frameops.operators.joins import lookup_join
-from frameops.session import cut_lineage
-
 # Taps per axis and weight scale of the 8-bit resampling this reproduces.
 TAPS = 8
 SCALE_BITS = 11
@@ -49,7 +46,7 @@ def tap_table(sizes: DataFrame) -> DataFrame:
 def _weigh(df: DataFrame, taps: DataFrame, src: str, dst: str, axis: str, keys: list[str]) -> DataFrame:
     """One pass: every row contributes its channels, weighted, to the output positions of its taps."""
     table = taps.select(F.col("src").alias(src), F.col("dst").alias(dst), F.col("at").alias(axis), "taps")
-    spread = lookup_join(df, table, [src, dst, axis], [c for c in keys if c not in (src, dst)], "inner")
+    spread = df.join(table, [src, dst, axis])
     rows = spread.withColumn("tap", F.explode("taps")).withColumn(axis, F.col("tap.to"))
     sums = [F.sum(F.col(c) * F.col("tap.weight")).alias(c) for c in "rgb"]
     return rows.groupBy(*keys, axis).agg(*sums)
@@ -61,18 +58,18 @@ def resize_pixels(pixels: DataFrame, images: DataFrame, targets: DataFrame) -> D
     ``targets`` has one row per image. The horizontal pass is combined on the map side; its rows are then
     dealt by output column, which serves the vertical pass without a further exchange.
     """
-    sizes = cut_lineage(images.join(targets, "image_id").select(
+    sizes = images.join(targets, "image_id").select(
         "image_id", F.col("width").alias("sw"), F.col("height").alias("sh"),
         F.col("target_width").cast("int").alias("tw"), F.col("target_height").cast("int").alias("th"),
-    ))
-    rows = lookup_join(pixels, sizes, ["image_id"], ["y", "x"], "inner")
+    )
+    rows = pixels.join(sizes, "image_id")
     same = (F.col("sw") == F.col("tw")) & (F.col("sh") == F.col("th"))
     untouched = rows.filter(same).select("batch_id", "image_id", "y", "x", "r", "g", "b")
     changed = sizes.filter(~same & (F.col("tw") > 0) & (F.col("th") > 0))
     both = changed.select(F.explode(F.array(
         F.struct(F.col("sw").alias("src"), F.col("tw").alias("dst")), F.struct(F.col("sh").alias("src"), F.col("th").alias("dst")),
     )).alias("size")).select("size.*")
-    taps = cut_lineage(tap_table(both))
+    taps = tap_table(both)
     keys = ["batch_id", "image_id", "sh", "th"]
     wide = _weigh(
         rows.filter(~same & (F.col("tw") > 0) & (F.col("th") > 0)), taps, "sw", "tw", "x", [*keys, "y"]

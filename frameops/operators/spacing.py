@@ -16,15 +16,15 @@ Distances are whole numbers, so both cuts are exact and ties survive them. All j
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameops.functions.color import is_muted
-from frameops.session import cut_lineage, wide
+from frameops.session import wide
 
 CUBE = 8        # level of the single cell holding the whole colour cube
 ROOT = 6        # first level of pairs: at most 64 cells a side and batch
+#: Levels of pairs before single colours, the same for every palette; each halves the cells' sides.
+LEVELS = (6, 5, 4, 3, 2)
 CHANNELS = (16, 8, 0)
 FARTHEST_SQUARE = 3 * 255 * 255
 
@@ -109,25 +109,15 @@ def _prune(pairs: DataFrame) -> DataFrame:
 def _whole_cube(palette: DataFrame) -> DataFrame:
     """One pair per batch: the whole cube against the whole palette."""
     batches = palette.select("batch_id").distinct().repartition(wide(palette.sparkSession), "batch_id")
-    return batches.selectExpr("batch_id", "0 AS q", "0 AS p", f"{FARTHEST_SQUARE} AS upper")
-
-
-def _levels(palette: DataFrame) -> list[int]:
-    """Levels of pairs to go through before single colours, from the size of the largest palette.
-
-    One level below the one where cells hold about one colour each, the tight boxes are as good as the
-    colours, so finer levels would cost a round each and drop little.
-    """
-    largest = palette.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    eighths = math.ceil(math.log(max(largest, 2), 8))
-    return list(range(ROOT, min(ROOT, max(1, CUBE - 1 - eighths)) - 1, -1))
+    # a constant here would turn the joins on cells into joins without a key
+    zero = "CAST(coalesce(batch_id % 1, 0) AS INT)"
+    return batches.selectExpr("batch_id", f"{zero} AS q", f"{zero} AS p", f"{FARTHEST_SQUARE} AS upper")
 
 
 def nearest(queries: DataFrame, palette: DataFrame) -> DataFrame:
     """``(batch_id, value, near, dist2)`` for distinct ``(batch_id, value)`` queries."""
-    queries, palette = cut_lineage(queries), cut_lineage(palette)
     pairs, above = _whole_cube(palette), CUBE
-    for level in (*_levels(palette), 0):
+    for level in (*LEVELS, 0):
         pairs = _refine(
             pairs, _cells(queries, level, above, "q"), ["batch_id", "q_up"], _cells(palette, level, above, "p")
         )
@@ -171,10 +161,10 @@ def _as_query_cells(cells: DataFrame, level: int, parent: int) -> DataFrame:
 def _drop_near(pairs: DataFrame) -> DataFrame:
     """Drop query cells that cannot hold the farthest colour of their batch.
 
-    The pairs are read twice, for the bound and for the cut, so they are stored once. A batch has
-    at most 128,000 query cells here, whatever its share of the pixels.
+    The pairs come from one exchange, which both the bound and the cut read. A batch has at most 128,000
+    query cells here, whatever its share of the pixels.
     """
-    pairs = cut_lineage(pairs.withColumn("sure", F.expr(_least("pick", "pick", "p_lo", "p_hi"))))
+    pairs = pairs.withColumn("sure", F.expr(_least("pick", "pick", "p_lo", "p_hi")))
     bound = (
         pairs.groupBy("batch_id", "q").agg(F.min("sure").alias("sure"))
         .groupBy("batch_id").agg(F.max("sure").alias("bound"))
@@ -187,19 +177,17 @@ def farthest(palette: DataFrame, max_brightness: int, min_sat: float, max_sat: f
 
     ``palette`` holds distinct ``(batch_id, value)`` rows. No rows come back when nothing is allowed.
     """
-    palette = cut_lineage(palette)
     limits = (max_brightness, min_sat, max_sat)
     colors = allowed_colors(palette.sparkSession, *limits).selectExpr("value AS cell", "value AS lo", "value AS hi", "value AS pick")
     fine = 2
-    cells = {fine: cut_lineage(_allowed_cells(colors, fine, fine))}
+    cells = {fine: _allowed_cells(colors, fine, fine)}
     for level in range(fine + 1, ROOT + 1):
         cells[level] = _allowed_cells(cells[level - 1], level, 1)
 
     pairs, above = _whole_cube(palette), CUBE
     for level in range(ROOT, fine - 1, -1):
-        q_cells = _as_query_cells(cells[level], level, above)
-        if level == ROOT:
-            q_cells = F.broadcast(q_cells)  # proven bound: 64 rows
+        # proven bound: 262,144 rows at the finest level, 64 at the first
+        q_cells = F.broadcast(_as_query_cells(cells[level], level, above))
         pairs = _prune(_refine(pairs, q_cells, ["q_up"], _cells(palette, level, above, "p")))
         if level <= fine + 1:
             pairs = _drop_near(pairs)

@@ -7,9 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from frameops.operators import frames as FR, masklog as L, regions as R
-from frameops.operators.joins import lookup_join
 from frameops.operators.resize import resize_pixels
-from frameops.session import cut_lineage
 from frameops.sources import sinks
 
 
@@ -46,9 +44,9 @@ def load_pixels(loaded: LoadedVideos, pixels: DataFrame, frame_images: DataFrame
     frame_index``. Frames without a rectangle are never cut. Images of other frames are left out first.
     """
     masks = loaded.masks.select("video_id", "frame_index", "target_width", "target_height", *(f"mask_{s}" for s in R.SIDES))
-    chosen = cut_lineage(frame_images.join(masks, ["video_id", "frame_index"]))
+    chosen = frame_images.join(masks, ["video_id", "frame_index"])
     images = chosen.select("image_id", "batch_id", "width", "height")
-    wanted = lookup_join(pixels, images.select("image_id"), ["image_id"], ["y", "x"], "left_semi")
+    wanted = pixels.join(images.select("image_id"), "image_id", "left_semi")
     resized = resize_pixels(wanted, images, chosen.select("image_id", "target_width", "target_height"))
     if not crop_to_mask:
         return resized

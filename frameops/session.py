@@ -1,10 +1,7 @@
-"""Session settings and the shared folder used to cut lineage."""
+"""Session settings and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -33,19 +30,9 @@ def build_session(app_name: str = "frameops", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, from ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a folder of its own: on a cluster a
-    machine-local folder would lose its files together with an executor.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="frameops-")
-        context.setCheckpointDir(root)
-    return root
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return root or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def drop_at_exit(spark: SparkSession, path: str) -> None:
@@ -54,19 +41,6 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the stored table.
-
-    Unlike a checkpointed plan, a stored table tells the optimiser its size, so joins with it are
-    planned by what it really holds. The table is removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/frameops/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def wide(spark: SparkSession) -> int:
     """Partition count for rows that are few now and explode into many later.
 

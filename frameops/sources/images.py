@@ -49,13 +49,23 @@ def unpack_images(packed: DataFrame) -> DataFrame:
 
 
 def read_packed_images(spark: SparkSession, directory: str, batch_id: int = 0) -> DataFrame:
-    """Image files of a directory, decoded by Spark's image source. The id is a hash of the file name."""
+    """Image files of a directory, decoded by Spark's image source. The id is a hash of the whole path.
+
+    Files that cannot be decoded are listed by :func:`undecodable_images`.
+    """
     image = spark.read.format("image").option("dropInvalid", "true").load(directory).select("image.*")
     return image.select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), F.xxhash64(F.substring_index("origin", "/", -1)).alias("image_id"),
+        F.lit(batch_id).cast("bigint").alias("batch_id"), F.xxhash64("origin").alias("image_id"),
         F.substring_index("origin", "/", -1).alias("name"), "height", "width", "nChannels", "data",
     )
 
 
+def undecodable_images(spark: SparkSession, directory: str) -> DataFrame:
+    """Names of the files of a directory that hold no image, with a message."""
+    image = spark.read.format("image").load(directory).select("image.*")
+    return image.filter("height < 0").select(
+        F.substring_index("origin", "/", -1).alias("name"), F.lit("Could not decode image").alias("error"))
+
+
 def read_image_pixels(spark: SparkSession, directory: str, batch_id: int = 0) -> DataFrame:
     return unpack_images(read_packed_images(spark, directory, batch_id))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameops.operators.joins import lookup_join
 
 # File suffixes that count as video.
 VIDEO_EXTENSIONS = ("webm", "mp4", "mkv", "gif", "mov")
@@ -21,7 +20,7 @@ def media_catalog(files: DataFrame, exts: tuple[str, ...] = VIDEO_EXTENSIONS) ->
 
 def missing_media(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Requested names that no file has, with the message for them."""
-    missing = lookup_join(requests, files.select("name").distinct(), ["name"], requests.columns, "left_anti")
+    missing = requests.join(files.select("name").distinct(), "name", "left_anti").select(*requests.columns)
     return missing.withColumn("message", F.concat(F.lit("Invalid video file: "), F.col("name")))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from frameops.functions import sampling as S
-from frameops.operators.joins import lookup_join
 
 # Fixed value: name of a written frame, from the node and the position in the selection.
 FRAME_NAME = "vme_frame_%s_%04d.png"
@@ -38,7 +37,7 @@ def preview_manifest(preview: DataFrame, stats: DataFrame, sizes: DataFrame, dat
     ``frame_count`` is the container's total, not the number of frames in the preview. ``preview`` holds
     at most the preview limit per video, which bounds the list.
     """
-    sized = lookup_join(preview, sizes.select("video_id", "target_width", "target_height"), ["video_id"], ["frame_index"], "inner")
+    sized = preview.join(sizes.select("video_id", "target_width", "target_height"), "video_id")
     frame = F.struct(
         F.col("position").alias("index"), F.base64(F.col(data).cast("binary")).alias("data"),
         F.col("target_width").alias("width"), F.col("target_height").alias("height"),

@@ -9,14 +9,14 @@ from frameops.operators.masklog import ORDER, writes
 
 
 def mask_state_changes(events: DataFrame) -> DataFrame:
-    """Running last write and write count per node; emit in update mode.
+    """Running last write and write count per node; emit in update mode. A node without a name has no versions: 0.
 
     State is one row per node. Order comes from ``(ts, event_id)``, so late rows need no watermark: an old
     write never replaces a newer one.
     """
     return (
         writes(events).groupBy("node_id")
-        .agg(F.max_by(F.struct("op", "payload"), F.struct(*ORDER)).alias("last"), F.count(F.lit(1)).alias("version"))
+        .agg(F.max_by(F.struct("op", "payload"), F.struct(*ORDER)).alias("last"), F.count_if(F.col("node_id") != "").alias("version"))
     )
 
 

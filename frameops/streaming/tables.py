@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from frameops.session import drop_at_exit, shared_dir
 
@@ -13,16 +13,29 @@ class StreamTable:
     """A table in the shared folder that one streaming query writes.
 
     Each micro-batch writes its own folder and overwrites it when it is repeated after a failure, so
-    every batch counts once. A ``temporary`` table is removed when the application ends.
+    every batch counts once. Table and checkpoint are found again by ``name``, so a stopped query goes on where it
+    was. A ``temporary`` table has a folder of its own, which is removed when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str, root: str | None = None, temporary: bool = False):
         self.spark = spark
-        self.base = f"{(root or shared_dir(spark)).rstrip('/')}/frameops/{name}-{uuid.uuid4().hex}"
+        own = f"{name}-{uuid.uuid4().hex}" if temporary else name
+        self.base = f"{(root or shared_dir(spark)).rstrip('/')}/frameops/{own}"
         self.path, self.checkpoint = f"{self.base}/table", f"{self.base}/checkpoint"
         if temporary:
             drop_at_exit(spark, self.base)
 
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batches(self) -> list[int]:
+        """Batches that are written completely."""
+        folder, files = self._folder(self.path)
+        names = [s.getPath() for s in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(int(n.getName().split("=")[1]) for n in names if n.getName().startswith("batch=")
+                      and files.exists(self._folder(f"{n}/_SUCCESS")[0]))
+
     def _write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
@@ -39,5 +52,39 @@ class StreamTable:
         return self.read(stream)
 
     def read(self, stream: DataFrame) -> DataFrame:
+        """What was written, with its ``batch``; empty before the first batch."""
         schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+        if not self._batches():
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
+
+
+class StateTable(StreamTable):
+    """The newest row per key of a query in update mode, folded batch by batch: it is as large as its keys.
+
+    A batch is merged with the state before it into a folder of its own; older states go. A repeated
+    batch starts from the state before it again.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str, root: str | None = None, temporary: bool = False):
+        super().__init__(spark, name, root, temporary)
+        self.key = key
+
+    def _write(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_at", F.lit(batch_id).cast("long"))
+        before = [b for b in self._batches() if b < batch_id]
+        if before:
+            rows = rows.unionByName(self.spark.read.schema(rows.schema).parquet(f"{self.path}/batch={before[-1]}"))
+        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), "_at").alias("row")).select("row.*")
+        newest.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        for old in before[:-1]:
+            folder, files = self._folder(f"{self.path}/batch={old}")
+            files.delete(folder, True)
+
+    def read(self, stream: DataFrame) -> DataFrame:
+        """The state after the last batch, with the ``batch`` that last changed a row."""
+        schema = T.StructType([*stream.schema.fields, T.StructField("_at", T.LongType())])
+        done = self._batches()
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/batch={done[-1]}") if done else \
+            self.spark.createDataFrame([], schema)
+        return rows.withColumnRenamed("_at", "batch")

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from frameops import build_session
 from frameops.operators import frames as V, geometry as G, masklog as E, palette as P
-from frameops.operators.joins import lookup_join
 from frameops.operators.lattice import lattice
 from frameops.operators.resize import resize_pixels
 from workload import fixtures as X
@@ -56,7 +55,7 @@ def main(sf_dir: str = "/root/testdata/sf0.1", copies: int = 20) -> None:
         "batch_id", "image_id", "y", "x", "CAST((x*7 + y) % 256 AS INT) r", "CAST((x + y*3) % 256 AS INT) g", "CAST((x*y) % 256 AS INT) b")
     plan = V.sampling_plan(videos, params)
     jobs = {
-        "lookup_join": lambda: lookup_join(frames, videos, ["video_id"], ["frame_index"], "inner"),
+        "skewed join": lambda: frames.join(videos, "video_id"),
         "select_frames": lambda: V.select_frames(frames, plan, use_cap=False),
         "debounce_changes": lambda: E.debounce_changes(log.filter("op = 'param'"), "100 milliseconds"),
         "latest_region": lambda: E.latest_region(log),

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from frameops.functions import sampling as S
 from frameops.operators import frames as V
-from frameops.operators.joins import fits_broadcast, lookup_join
 
 VIDEOS = "video_id long, total_frames long, original_fps double, width int, height int"
 PARAMS = ("video_id long, framerate int, custom_width int, custom_height int, frame_load_cap long, "
@@ -98,21 +97,14 @@ def test_frame_lookup(spark, rows):
     assert got == {10: "a", 11: None, 12: "c", 13: None}
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_hot_keys_are_dealt_and_nothing_is_lost(no_broadcast, rows, how):
-    spark = no_broadcast
-    facts = spark.range(3000).select(
-        F.col("id"), F.when(F.col("id") % 10 == 9, F.lit(None)).when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("k"))
-    lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    joined = lookup_join(facts, lookup, ["k"], ["id"], how, hot_rows=100)
-    assert "_salt" in joined._jdf.queryExecution().toString()
-    plain = facts.join(lookup, "k", how)
-    key = lambda df: sorted((r.id, -1 if r.k is None else r.k, -1 if r.v is None else r.v) for r in df.collect())
-    assert key(joined) == key(plain)
-
-
-def test_estimates_of_multiplied_rows_are_not_trusted(spark):
-    small = spark.range(10)
-    assert fits_broadcast(small)
-    assert not fits_broadcast(small.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("id") * 1000))))
-    assert not fits_broadcast(small.mapInArrow(lambda batches: batches, small.schema))
+def test_videos_without_params_have_the_defaults(spark):
+    videos = spark.createDataFrame([(1, 9, 30.0, 640, 480), (2, 9, 30.0, 640, 480)], VIDEOS)
+    params = spark.createDataFrame([(2, 10, 0, 0, 2, 1, 2, "7")], PARAMS)
+    plans = {r.video_id: (r.combined_step, r.start_index, r.frame_load_cap) for r in V.sampling_plan(videos, params).collect()}
+    assert plans == {1: (1, 0, 0), 2: (6, 2, 2)}
+    sizes = {r.video_id: (r.target_width, r.target_height) for r in V.target_size(videos, params).collect()}
+    assert sizes == {1: (640, 480), 2: (640, 480)}
+    frames = spark.createDataFrame([(v, i, True) for v in (1, 2) for i in range(60)], "video_id long, frame_index long, readable boolean")
+    shown = V.preview_frames(frames, V.sampling_plan(videos, params), params).groupBy("video_id").count()
+    assert {r.video_id: r["count"] for r in shown.collect()} == {1: 48, 2: 2}
+

@@ -27,8 +27,26 @@ def test_scans_read_only_what_is_used(spark):
     assert "ReadSchema: struct<c_custkey:bigint>" in plan
 
 
-def test_turning_and_fitting_do_not_shuffle_pixels(spark):
+def test_turning_and_fitting_do_not_shuffle_pixels(no_broadcast):
     for name in ("rotate_pixels", "fit_to_size"):
-        plan = plan_of(QUERIES[name](spark, SF))
+        plan = plan_of(QUERIES[name](no_broadcast, SF))
         # the only exchanges deal lines of images, before they expand into pixels
         assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+        assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("stream_mask_state", "stream_new_media", "debounce_stream")])
+def test_building_a_query_starts_no_job(spark, name):
+    QUERIES[name](spark, SF)  # looks schemas up
+    tracker, group = spark.sparkContext.statusTracker(), f"building {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        QUERIES[name](spark, SF)
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_debouncing_sorts_nothing(spark):
+    plan = plan_of(QUERIES["debounce_changes"](spark, SF))
+    assert "Window" not in plan

@@ -134,8 +134,14 @@ def videos(spark, sf_dir):
     )
 
 
+def sized_pixels(spark, sf_dir):
+    """Pixels that carry the size of their image, as a decoder gives them."""
+    return pixels(spark, sf_dir).selectExpr("*", "24 AS width", "20 AS height")
+
+
 def video_params(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("user_id").distinct().selectExpr(
+    """Load parameters of most videos; the others are loaded with defaults."""
+    return read(spark, sf_dir, "events").filter("user_id % 17 <> 3").select("user_id").distinct().selectExpr(
         "user_id AS video_id", "CAST(CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 12 WHEN 2 THEN 24 ELSE 10 END AS INT) AS framerate",
         "CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE 250 END AS INT) AS custom_width",
         "CAST(CASE WHEN user_id % 2 = 0 THEN 0 ELSE 131 END AS INT) AS custom_height",
@@ -173,7 +179,7 @@ def playback_probes(spark, sf_dir):
 
 def polygons(spark, sf_dir):
     return read(spark, sf_dir, "supplier").withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(4)))).selectExpr(
-        "s_suppkey AS poly_id", "seq",
+        "s_suppkey AS poly_id", "seq * seq * (1 + s_suppkey % 3) AS seq",
         "CAST(CASE seq WHEN 0 THEN 12 WHEN 1 THEN 18 WHEN 2 THEN 2 WHEN 3 THEN 22 ELSE 6 END + s_suppkey % 3 AS DOUBLE) + 0.3125D AS px",
         "CAST(CASE seq WHEN 0 THEN 1 WHEN 1 THEN 17 WHEN 2 THEN 7 WHEN 3 THEN 6 ELSE 18 END AS DOUBLE) + 0.1875D AS py",
     )
@@ -185,7 +191,7 @@ def polygon_frames(spark, sf_dir):
 
 def mask_events_of(events: DataFrame) -> DataFrame:
     return events.selectExpr(
-        "event_id", "ts", "CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS STRING) ELSE CAST(user_id AS STRING) END AS node_id",
+        "event_id", "ts", "CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 89 = 0 THEN '' ELSE CAST(user_id AS STRING) END AS node_id",
         "CASE WHEN event_id % 6 = 0 THEN CAST(NULL AS STRING) ELSE concat('clip_', CAST(user_id % 40 AS STRING), '.mp4') END AS video",
         "CASE event_type WHEN 'error' THEN 'clear' WHEN 'click' THEN 'set' WHEN 'purchase' THEN 'set' ELSE 'param' END AS op",
         """CASE WHEN event_type NOT IN ('click','purchase') THEN CAST(NULL AS STRING) WHEN event_id % 19 = 0 THEN '{}'

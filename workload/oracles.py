@@ -65,7 +65,7 @@ SELECT user_id AS video_id, count(*) AS total_frames,
 SELECT DISTINCT user_id AS video_id, CAST(CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 12 WHEN 2 THEN 24 ELSE 10 END AS INT) AS framerate,
  CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE 250 END AS INT) AS custom_width, CAST(CASE WHEN user_id % 2 = 0 THEN 0 ELSE 131 END AS INT) AS custom_height,
  (user_id % 4)*5 AS frame_load_cap, user_id % 7 AS skip_first_frames, 1 + user_id % 3 AS select_every_nth,
- CASE user_id % 5 WHEN 0 THEN 'abc' WHEN 1 THEN '-4' WHEN 2 THEN '500' WHEN 3 THEN CAST(NULL AS STRING) ELSE '32' END AS max_preview_text FROM events""",
+ CASE user_id % 5 WHEN 0 THEN 'abc' WHEN 1 THEN '-4' WHEN 2 THEN '500' WHEN 3 THEN CAST(NULL AS STRING) ELSE '32' END AS max_preview_text FROM events WHERE user_id % 17 <> 3""",
     "raw_params": """
 SELECT event_id AS request_id,
  CASE event_id % 5 WHEN 0 THEN ' 24 ' WHEN 1 THEN '+12' WHEN 2 THEN '2.5' WHEN 3 THEN '-3' END AS framerate,
@@ -78,9 +78,17 @@ SELECT * FROM (SELECT *, bool_and(readable) OVER (PARTITION BY video_id ORDER BY
     "plans": """
 SELECT *, greatest(1, select_every_nth) * frame_step AS combined_step, CAST(CASE WHEN frame_step > 1 THEN 1 ELSE 0 END AS BIGINT) AS lead_in,
  skip_first_frames + CASE WHEN frame_step > 1 THEN 1 ELSE 0 END AS start_index
- FROM (SELECT v.*, p.* EXCLUDE (video_id), CASE WHEN framerate <> 0 AND original_fps > 0
+ FROM (SELECT *, CASE WHEN framerate <> 0 AND original_fps > 0
   THEN greatest(1, CAST(round_even(original_fps / framerate, 0) AS BIGINT)) ELSE CAST(1 AS BIGINT) END AS frame_step
-  FROM videos v JOIN video_params p USING (video_id))""",
+  FROM loads)""",
+    "loads": """
+SELECT v.*, coalesce(p.framerate, 0) AS framerate, coalesce(p.custom_width, 0) AS custom_width, coalesce(p.custom_height, 0) AS custom_height,
+ coalesce(p.frame_load_cap, 0) AS frame_load_cap, coalesce(p.skip_first_frames, 0) AS skip_first_frames, coalesce(p.select_every_nth, 1) AS select_every_nth,
+ p.max_preview_text FROM videos v LEFT JOIN video_params p USING (video_id)""",
+    "probed": """
+SELECT v.video_id, CAST(CASE WHEN v.width > 0 AND v.height > 0 THEN v.width ELSE f.probe_width END AS INT) AS width,
+ CAST(CASE WHEN v.width > 0 AND v.height > 0 THEN v.height ELSE f.probe_height END AS INT) AS height
+ FROM videos v LEFT JOIN frames f ON f.video_id = v.video_id AND f.frame_index = 0 WHERE v.width > 0 AND v.height > 0 OR f.readable""",
     "picked": """
 SELECT f.video_id, f.frame_index, f.payload_text, p.frame_load_cap, p.max_preview_text,
  row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_index) - 1 AS position
@@ -101,13 +109,13 @@ SELECT video_id, CAST(floor(tw / 8.0::DOUBLE + 0.5) * 8 AS INT) AS target_width,
    WHEN custom_width = 0 THEN trunc(width * (custom_height::DOUBLE / nullif(height, 0)::DOUBLE)) ELSE custom_width END AS tw,
   CASE WHEN custom_width = 0 AND custom_height = 0 THEN height WHEN custom_width = 0 THEN custom_height
    WHEN custom_height = 0 THEN trunc(height * (custom_width::DOUBLE / nullif(width, 0)::DOUBLE)) ELSE custom_height END AS th
-  FROM videos JOIN video_params USING (video_id))""",
+  FROM probed JOIN (SELECT video_id, custom_width, custom_height FROM loads) USING (video_id))""",
     "polygons": """
-SELECT s_suppkey AS poly_id, r_regionkey AS seq,
+SELECT s_suppkey AS poly_id, r_regionkey AS nth,
  CAST(CASE r_regionkey WHEN 0 THEN 12 WHEN 1 THEN 18 WHEN 2 THEN 2 WHEN 3 THEN 22 ELSE 6 END + s_suppkey % 3 AS DOUBLE) + 0.3125 AS px,
  CAST(CASE r_regionkey WHEN 0 THEN 1 WHEN 1 THEN 17 WHEN 2 THEN 7 WHEN 3 THEN 6 ELSE 18 END AS DOUBLE) + 0.1875 AS py FROM supplier CROSS JOIN region""",
     "mask_events": """
-SELECT event_id, ts, CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS STRING) ELSE CAST(user_id AS STRING) END AS node_id,
+SELECT event_id, ts, CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 89 = 0 THEN '' ELSE CAST(user_id AS STRING) END AS node_id,
  CASE WHEN event_id % 6 = 0 THEN CAST(NULL AS STRING) ELSE concat('clip_', CAST(user_id % 40 AS STRING), '.mp4') END AS video,
  CASE event_type WHEN 'error' THEN 'clear' WHEN 'click' THEN 'set' WHEN 'purchase' THEN 'set' ELSE 'param' END AS op,
  CASE WHEN event_type NOT IN ('click','purchase') THEN CAST(NULL AS STRING) WHEN event_id % 19 = 0 THEN '{}' WHEN event_id % 19 = 1 THEN '{"x":5,"width":40}'
@@ -174,8 +182,8 @@ SELECT batch_id, CAST(min(value) AS BIGINT) AS value, any_value(d) AS d FROM dis
 NEEDS = {
     "color_parts": ["color_strings"], "color_values": ["color_parts"], "united": ["mask_pixels"],
     "full_masks": ["pixels", "united"], "boxes": ["full_masks"], "windows": ["boxes"], "canvases": ["images", "windows"],
-    "good_frames": ["frames"], "plans": ["videos", "video_params"], "picked": ["good_frames", "plans"], "capped": ["picked"],
-    "previewed": ["capped"], "speeds": ["plans"], "stats": ["speeds", "capped"], "sizes": ["videos", "video_params"],
+    "good_frames": ["frames"], "plans": ["loads"], "loads": ["videos", "video_params"], "probed": ["videos", "frames"], "picked": ["good_frames", "plans"], "capped": ["picked"],
+    "previewed": ["capped"], "speeds": ["plans"], "stats": ["speeds", "capped"], "sizes": ["probed", "loads"],
     "sets": ["mask_events"], "last_writes": ["mask_events"], "node_regions": ["last_writes", "sets"], "versions": ["mask_events"],
     "stamps": ["named_videos", "media_files"], "prints": ["stamps", "versions"], "video_masks": ["sizes", "node_regions"],
     "frame_masks": ["capped", "video_masks"], "sampled": ["pixels"], "palettes": ["sampled"],
@@ -205,15 +213,24 @@ def _hsv(names: str, rgbs: str, body: str) -> str:
     return _with(names, "SELECT 1").removesuffix("\nSELECT 1") + ",\n" + inner
 
 
+def _color(channel: str, image: str, x: str, y: str) -> str:
+    """Channel of a pixel, straight from its place."""
+    return "CAST((" + {
+        "r": f"{image}*37 + ({x})*11 + ({y})*5", "g": f"{image}*53 + ({x})*3 + ({y})*({y})", "b": f"{image}*71 + ({x})*({y})"}[channel] + ") % 256 AS INT)"
+
+
 def _copied(only_masked: bool) -> str:
-    """Output of cropping around the mask: every canvas position looks its source pixel up."""
-    source = "c.y + c.start_y = p.y AND c.x + c.start_x = p.x AND c.image_id = p.image_id"
-    keep = "k.selected" if only_masked else "p.image_id IS NOT NULL"
-    mask = "LEFT JOIN full_masks k ON k.batch_id = c.batch_id AND k.y = c.y + c.start_y AND k.x = c.x + c.start_x" if only_masked else ""
+    """Output of cropping around the mask: every canvas position has the colour of its source position, if there is one."""
+    inside = "sx BETWEEN 0 AND 23 AND sy BETWEEN 0 AND 19"
+    fill = {"r": 16, "g": 32, "b": 48}
+    if only_masked:
+        source = """(SELECT c.batch_id, c.image_id, c.y, c.x, c.sx, c.sy, coalesce(k.selected, false) AS keep FROM
+ (SELECT *, x + start_x AS sx, y + start_y AS sy FROM canvases) c LEFT JOIN full_masks k ON k.batch_id = c.batch_id AND k.y = c.sy AND k.x = c.sx)"""
+    else:
+        source = f"(SELECT *, {inside} AS keep FROM (SELECT *, x + start_x AS sx, y + start_y AS sy FROM canvases))"
+    channels = ", ".join(f"CASE WHEN keep THEN {_color(c, 'image_id', 'sx', 'sy')} ELSE {fill[c]} END AS {c}" for c in "rgb")
     return _with("canvases pixels full_masks", f"""
-SELECT c.batch_id, c.image_id, c.y, c.x, CAST(CASE WHEN {keep} THEN p.r ELSE 16 END AS INT) AS r,
- CAST(CASE WHEN {keep} THEN p.g ELSE 32 END AS INT) AS g, CAST(CASE WHEN {keep} THEN p.b ELSE 48 END AS INT) AS b
- FROM canvases c LEFT JOIN pixels p ON {source} {mask}
+SELECT batch_id, image_id, y, x, {channels} FROM {source}
 UNION ALL
 SELECT batch_id, image_id, y, x, r, g, b FROM pixels
  WHERE batch_id NOT IN (SELECT batch_id FROM full_masks WHERE selected)""")
@@ -238,13 +255,15 @@ def _axis(name: str, src: str, dst: str) -> str:
 def _rotated(cos: float, sin: float) -> str:
     fixed = lambda v: f"CAST(floor({v!r}::DOUBLE * 65536 + 0.5) AS BIGINT)"
     start = lambda a, b, mid: (
-        f"CAST(floor(({a!r}::DOUBLE * (-width/2.0::DOUBLE) + {b!r}::DOUBLE * (-height/2.0::DOUBLE) + {mid}/2.0::DOUBLE"
+        f"CAST(floor(({a!r}::DOUBLE * (-24/2.0::DOUBLE) + {b!r}::DOUBLE * (-20/2.0::DOUBLE) + {mid}/2.0::DOUBLE"
         f" + {a * 0.5!r}::DOUBLE + {b * 0.5!r}::DOUBLE) * 65536 + 0.5) AS BIGINT)")
-    return _with("pixels images", f"""
-SELECT t.batch_id, t.image_id, t.y, t.x, CAST(coalesce(p.r, 32) AS INT) AS r, CAST(coalesce(p.g, 64) AS INT) AS g, CAST(coalesce(p.b, 96) AS INT) AS b
- FROM (SELECT batch_id, image_id, y, x, ({start(cos, sin, 'width')} + x*{fixed(cos)} + y*{fixed(sin)}) >> 16 AS sx,
-  ({start(-sin, cos, 'height')} + x*{fixed(-sin)} + y*{fixed(cos)}) >> 16 AS sy FROM pixels JOIN images USING (batch_id, image_id)) t
- LEFT JOIN pixels p ON p.image_id = t.image_id AND p.x = t.sx AND p.y = t.sy""")
+    fill = {"r": 32, "g": 64, "b": 96}
+    channels = ", ".join(
+        f"CASE WHEN sx BETWEEN 0 AND 23 AND sy BETWEEN 0 AND 19 THEN {_color(c, 'image_id', 'sx', 'sy')} ELSE {fill[c]} END AS {c}" for c in "rgb")
+    return _with("pixels", f"""
+SELECT batch_id, image_id, y, x, {channels}
+ FROM (SELECT batch_id, image_id, y, x, ({start(cos, sin, '24')} + x*{fixed(cos)} + y*{fixed(sin)}) >> 16 AS sx,
+  ({start(-sin, cos, '20')} + x*{fixed(-sin)} + y*{fixed(cos)}) >> 16 AS sy FROM pixels) t""")
 
 
 def _param(name: str, default: int, low: int, high: int | None = None) -> str:
@@ -328,20 +347,21 @@ SELECT image_id, y, x, n AS n_channels, CASE n WHEN 1 THEN r::STRING WHEN 2 THEN
 SELECT batch_id, mask_idx, y, x, level, round(CAST(CAST(level AS REAL) / 255::REAL AS DOUBLE), 6) AS back FROM
  (SELECT *, CAST(trunc(CAST(m AS REAL) * 255::REAL) AS INT) AS level FROM mask_pixels)"""),
     "resize_pixels": _with("images pixels", "SELECT 1").removesuffix("\nSELECT 1") + """,
-targets AS (SELECT batch_id, image_id, width AS sw, height AS sh, CASE image_id % 4 WHEN 0 THEN 24 WHEN 1 THEN 16 WHEN 2 THEN 32 ELSE 24 END AS tw,
- CASE image_id % 4 WHEN 0 THEN 20 WHEN 1 THEN 16 WHEN 2 THEN 24 ELSE 8 END AS th FROM images),""" + _axis("across", "sw", "tw") + "," + _axis("down", "sh", "th") + """
-SELECT t.batch_id, t.image_id, d.o AS y, a.o AS x,
- CAST(least(255, greatest(0, (sum(p.r*a.w*d.w) + 2097152) >> 22)) AS INT) AS r, CAST(least(255, greatest(0, (sum(p.g*a.w*d.w) + 2097152) >> 22)) AS INT) AS g,
- CAST(least(255, greatest(0, (sum(p.b*a.w*d.w) + 2097152) >> 22)) AS INT) AS b
- FROM targets t JOIN across a ON a.src = t.sw AND a.dst = t.tw JOIN down d ON d.src = t.sh AND d.dst = t.th
- JOIN pixels p ON p.image_id = t.image_id AND p.x = a.at AND p.y = d.at WHERE t.sw <> t.tw OR t.sh <> t.th GROUP BY ALL
+targets AS MATERIALIZED (SELECT batch_id, image_id, width AS sw, height AS sh, CASE image_id % 4 WHEN 0 THEN 24 WHEN 1 THEN 16 WHEN 2 THEN 32 ELSE 24 END AS tw,
+ CASE image_id % 4 WHEN 0 THEN 20 WHEN 1 THEN 16 WHEN 2 THEN 24 ELSE 8 END AS th FROM images),""" + _axis("across", "sw", "tw") + "," + _axis("down", "sh", "th") + """,
+wide AS MATERIALIZED (SELECT t.batch_id, t.image_id, t.sh, t.th, p.y, a.o AS x, sum(p.r*a.w) AS r, sum(p.g*a.w) AS g, sum(p.b*a.w) AS b
+ FROM pixels p JOIN targets t ON t.image_id = p.image_id AND (t.sw <> t.tw OR t.sh <> t.th) JOIN across a ON a.src = t.sw AND a.dst = t.tw AND a.at = p.x GROUP BY ALL)
+SELECT w.batch_id, w.image_id, d.o AS y, w.x,
+ CAST(least(255, greatest(0, (sum(w.r*d.w) + 2097152) >> 22)) AS INT) AS r, CAST(least(255, greatest(0, (sum(w.g*d.w) + 2097152) >> 22)) AS INT) AS g,
+ CAST(least(255, greatest(0, (sum(w.b*d.w) + 2097152) >> 22)) AS INT) AS b
+ FROM wide w JOIN down d ON d.src = w.sh AND d.dst = w.th AND d.at = w.y GROUP BY ALL
 UNION ALL SELECT p.batch_id, p.image_id, p.y, p.x, p.r, p.g, p.b FROM pixels p JOIN targets t USING (image_id) WHERE t.sw = t.tw AND t.sh = t.th""",
     "lasso_mask": _with("polygons", """
 SELECT poly_id, y, x FROM
  (SELECT e.poly_id, CAST(a.v AS INT) AS y, CAST(c.v AS INT) AS x,
    sum(CASE WHEN y1 <= a.v + 0.5 AND a.v + 0.5 < y2 AND (x2-x1)*(a.v + 0.5 - y1) - (c.v + 0.5 - x1)*(y2-y1) > 0 THEN 1
             WHEN y2 <= a.v + 0.5 AND a.v + 0.5 < y1 AND (x2-x1)*(a.v + 0.5 - y1) - (c.v + 0.5 - x1)*(y2-y1) < 0 THEN -1 ELSE 0 END) AS winding
-  FROM (SELECT p.poly_id, p.px AS x1, p.py AS y1, q.px AS x2, q.py AS y2 FROM polygons p JOIN polygons q ON q.poly_id = p.poly_id AND q.seq = (p.seq + 1) % 5) e,
+  FROM (SELECT p.poly_id, p.px AS x1, p.py AS y1, q.px AS x2, q.py AS y2 FROM polygons p JOIN polygons q ON q.poly_id = p.poly_id AND q.nth = (p.nth + 1) % 5) e,
    range(0, 20) a(v), range(0, 24) c(v) GROUP BY ALL) WHERE winding <> 0"""),
     # frame sequences
     "readable_prefix": _with("good_frames", "SELECT video_id, frame_index, payload_text FROM good_frames"),
@@ -380,25 +400,30 @@ SELECT video_id, frame_count, wan_frames, wan_frames - frame_count AS pad_frames
     ]) + " FROM raw_params"),
     # region masks
     "region_from_json": _with("sets", "SELECT event_id, x, y, width, height FROM sets"),
-    "clamp_region": _with("sets videos", """
+    "clamp_region": _with("sets probed", """
 SELECT event_id, frame_width, frame_height, CAST(cx AS BIGINT) AS x, CAST(cy AS BIGINT) AS y,
  CASE WHEN cx IS NOT NULL THEN CAST(greatest(0, least(w, frame_width - cx)) AS BIGINT) END AS width,
  CASE WHEN cx IS NOT NULL THEN CAST(greatest(0, least(h, frame_height - cy)) AS BIGINT) END AS height FROM
  (SELECT event_id, v.width AS frame_width, v.height AS frame_height, s.width AS w, s.height AS h,
   CASE WHEN s.x IS NOT NULL THEN greatest(0, least(s.x, v.width - 1)) END AS cx, CASE WHEN s.y IS NOT NULL THEN greatest(0, least(s.y, v.height - 1)) END AS cy
-  FROM sets s JOIN videos v ON CAST(v.video_id AS STRING) = s.node_id)"""),
+  FROM sets s JOIN probed v ON CAST(v.video_id AS STRING) = s.node_id)"""),
     "region_mask": _with("frame_masks", """
 SELECT video_id, frame_index, target_width, target_height, mask_x, mask_y, mask_width, mask_height FROM frame_masks"""),
-    "region_mask_lines": _with("frame_masks", """
+    "region_mask_lines": _with("video_masks", """
 SELECT video_id, CAST(t.v AS INT) AS y, CASE WHEN t.v >= mask_y AND t.v < mask_y + mask_height THEN mask_x ELSE 0 END AS x_from,
  CASE WHEN t.v >= mask_y AND t.v < mask_y + mask_height THEN mask_x + mask_width ELSE 0 END AS x_to, target_width
- FROM frame_masks, range(0, 8192) t(v) WHERE position = 0 AND t.v < target_height"""),
+ FROM video_masks, range(0, 8192) t(v) WHERE t.v < target_height"""),
     "region_crop": _with("pixels images node_regions", """
 SELECT p.batch_id, p.image_id, CAST(p.y - coalesce(k.cy, 0) AS INT) AS y, CAST(p.x - coalesce(k.cx, 0) AS INT) AS x, p.r, p.g, p.b FROM pixels p LEFT JOIN
  (SELECT * FROM (SELECT image_id, cx, cy, least(w, 24 - cx) AS cw, least(h, 20 - cy) AS ch FROM
   (SELECT i.image_id, n.width AS w, n.height AS h, greatest(0, least(n.x, 23)) AS cx, greatest(0, least(n.y, 19)) AS cy
    FROM images i JOIN node_regions n ON n.node_id = CAST(i.image_id AS STRING))) WHERE cw > 0 AND ch > 0) k USING (image_id)
  WHERE k.cx IS NULL OR (p.x >= k.cx AND p.x < k.cx + k.cw AND p.y >= k.cy AND p.y < k.cy + k.ch)"""),
+    "crop_mask": _with("images node_regions", """
+SELECT image_id, CAST(cw AS INT) AS target_width, CAST(ch AS INT) AS target_height, 0 AS mask_x, 0 AS mask_y, CAST(cw AS INT) AS mask_width,
+ CAST(ch AS INT) AS mask_height FROM (SELECT image_id, least(w, 24 - cx) AS cw, least(h, 20 - cy) AS ch FROM
+  (SELECT i.image_id, n.width AS w, n.height AS h, greatest(0, least(n.x, 23)) AS cx, greatest(0, least(n.y, 19)) AS cy
+   FROM images i JOIN node_regions n ON n.node_id = CAST(i.image_id AS STRING))) WHERE cw > 0 AND ch > 0"""),
     "mask_coverage": _with("frame_masks", """
 SELECT video_id, count(*) AS n_frames, CAST(sum(CAST(mask_width AS BIGINT) * mask_height) AS BIGINT) AS ones,
  round(coalesce(sum(mask_width * mask_height)::DOUBLE / nullif(sum(target_width * target_height), 0)::DOUBLE, 0), 6) AS coverage FROM frame_masks GROUP BY 1"""),
@@ -415,10 +440,14 @@ SELECT video_id, fingerprint, previous FROM prints JOIN
   (SELECT node_id, count(*) AS n FROM mask_events WHERE op IN ('set', 'clear') AND node_id <> '' AND ts < TIMESTAMP '2024-01-16' GROUP BY 1) USING (node_id))
  USING (video_id) WHERE fingerprint <> previous"""),
     "stream_mask_state": _with("last_writes sets versions", """
-SELECT node_id, l.op, version, CASE WHEN l.op = 'set' THEN coalesce(s.x, 0) END AS x, CASE WHEN l.op = 'set' THEN coalesce(s.y, 0) END AS y,
+SELECT node_id, l.op, coalesce(version, 0) AS version, CASE WHEN l.op = 'set' THEN coalesce(s.x, 0) END AS x, CASE WHEN l.op = 'set' THEN coalesce(s.y, 0) END AS y,
  CASE WHEN l.op = 'set' THEN coalesce(s.width, 0) END AS width, CASE WHEN l.op = 'set' THEN coalesce(s.height, 0) END AS height
- FROM last_writes l JOIN versions USING (node_id) LEFT JOIN sets s USING (event_id, node_id)"""),
+ FROM last_writes l LEFT JOIN versions USING (node_id) LEFT JOIN sets s USING (event_id, node_id)"""),
     "debounce_changes": _with("mask_events", """
+SELECT node_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, video FROM
+ (SELECT *, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS next_ts FROM mask_events WHERE op = 'param' AND node_id IS NOT NULL)
+ WHERE next_ts IS NULL OR next_ts >= ts + INTERVAL 6 HOURS"""),
+    "debounce_stream": _with("mask_events", """
 SELECT node_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, video FROM
  (SELECT *, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS next_ts FROM mask_events WHERE op = 'param' AND node_id IS NOT NULL)
  WHERE next_ts IS NULL OR next_ts >= ts + INTERVAL 6 HOURS"""),
