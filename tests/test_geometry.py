@@ -243,3 +243,23 @@ def test_lasso_matches_winding(spark, paths):
         got[r.poly_id].add((r.y, r.x))
     for i, path in enumerate(paths):
         assert got.get(i, set()) == winding_fill(path, 12, 10)
+
+
+def test_a_null_level_stays_null(spark):
+    df = spark.createDataFrame([(None,), (0.5,), (2.0,), (-1.0,)], "m double")
+    assert [r.m for r in G.quantize_pixels(df, ["m"], clip=True).collect()] == [None, 127, 255, 0]
+
+
+def test_gaps_in_a_path_lose_no_edge(spark):
+    corners = [(10.0, 1.0), (18.0, 9.0), (10.0, 17.0), (2.0, 9.0)]
+    dims = spark.createDataFrame([(1, 24, 20), (2, 24, 20)], "poly_id long, width int, height int")
+    rows = [(1, i, *c) for i, c in enumerate(corners)] + [(2, i * i * 7000, *c) for i, c in enumerate(corners)]
+    got = lasso_mask(spark.createDataFrame(rows, "poly_id long, seq int, px double, py double"), dims)
+    one, two = ({(r.y, r.x) for r in got.filter(f"poly_id = {p}").collect()} for p in (1, 2))
+    assert one == two and len(one) == 128
+
+
+def test_pixels_of_unknown_images_are_reported(spark):
+    pixels = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "image_id long, x int")
+    images = spark.createDataFrame([(2,)], "image_id long")
+    assert [tuple(r) for r in G.orphan_pixels(pixels, images).collect()] == [(1, 2)]

@@ -10,7 +10,7 @@ from frameops.plans import video as plans
 from frameops.sources import images, media
 from frameops.streaming.masklog import current_state, debounce_stream, mask_state_changes
 from frameops.streaming.media import stream_new_media
-from frameops.streaming.tables import StreamTable
+from frameops.streaming.tables import StateTable, StreamTable
 from workload import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -78,11 +78,40 @@ def test_stream_state_equals_batch_in_any_arrival_order(spark, tmp_path):
     changes = StreamTable(spark, "state", str(tmp_path)).drain(mask_state_changes(stream), "update")
     assert changes.select("batch").distinct().count() >= 3
     state = current_state(changes)
-    assert {r.node_id: r.version for r in state.collect()} == {r.node_id: r.version for r in E.mask_version(events).collect()}
+    assert {r.node_id: r.version for r in state.filter("version > 0").collect()} == versions(events)
+    assert [r.version for r in state.filter("node_id = ''").collect()] in ([], [0])
     held = {r.node_id: tuple(r.region) for r in state.filter("op = 'set'").collect()}
     assert held == {r.node_id: tuple(r.region) for r in E.latest_region(events).collect()}
 
 
+def versions(events):
+    return {r.node_id: r.version for r in E.mask_version(events).collect()}
+
+
+def test_a_stopped_stream_goes_on_and_stays_small(spark, tmp_path):
+    folder = tmp_path / "events"
+    events, stream = event_files(spark, folder)
+    late = tmp_path / "late"
+    (folder / "part2").rename(late)
+    first = StateTable(spark, "state", "node_id", str(tmp_path))
+    assert first.read(mask_state_changes(stream)).collect() == []
+    first.drain(mask_state_changes(stream), "update")
+    late.rename(folder / "part2")
+    # another object of the same name finds table and checkpoint
+    again = StateTable(spark, "state", "node_id", str(tmp_path))
+    state = current_state(again.drain(mask_state_changes(stream), "update"))
+    assert {r.node_id: r.version for r in state.filter("version > 0").collect()} == versions(events)
+    held = {r.node_id: tuple(r.region) for r in state.filter("op = 'set'").collect()}
+    assert held == {r.node_id: tuple(r.region) for r in E.latest_region(events).collect()}
+    assert len(list((tmp_path / "frameops" / "state" / "table").glob("batch=*"))) <= 2
+
+
+def test_files_without_an_image_are_listed(spark, tmp_path):
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    got = images.undecodable_images(spark, str(tmp_path)).collect()
+    assert [(r.name, r.error) for r in got] == [("bad.png", "Could not decode image")]
+
+
 def test_stream_debounce_equals_batch(spark, tmp_path):
     events = X.mask_events(spark, SF).filter("op = 'param'")
     # one much later event per node moves the watermark past every burst
