@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import tiktoken
@@ -27,15 +27,20 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.vocabulary = vocabulary
         with open(vocabulary, encoding="utf-8") as file:
-            vocab = json.load(file)["model"]["vocab"]
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The slow way, loaded by the first text that needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.vocabulary)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")

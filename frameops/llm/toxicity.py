@@ -25,7 +25,7 @@ EVIDENCE = 25.0
 STEMS = (3, 4, 5, 6, 7, 8)
 SEED = 3
 WORDS = re.compile(r"\w+")
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 # fixed values: insults that are toxic without any label
 LEXICON = ("bastard", "clown", "crap", "disgusting", "dumb", "filth", "fool", "freak", "garbage", "idiot", "imbecile", "jerk",
            "loser", "moron", "pathetic", "pig", "scum", "shit", "stupid", "trash", "ugly", "vermin", "worthless")
@@ -69,7 +69,7 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
             tally[label].update(features_of(text.as_py()))
-            if len(tally[0]) + len(tally[1]) > 400_000:
+            if len(tally[0]) + len(tally[1]) > 150_000:
                 yield flush(tally)
                 tally = {0: Counter(), 1: Counter()}
     yield flush(tally)
