@@ -11,11 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from frameops.llm import shingles as S
-from frameops.llm.sieve import sieved
+from frameops.llm.sieve import told
 from frameops.llm.store import stored
 
-#: Documents labelled good that the target model is counted on at most, the first by a hash of their id.
-MAX_LABELLED = 20_000
 #: Buckets of hashed words and word pairs.
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -33,25 +31,41 @@ def ngrams(hashes: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            for hashes in S.word_hashes(batch.column("text").slice(at, 500).to_pylist()):
+            part = batch.slice(at, 500)
+            for hashes, good in zip(S.word_hashes(part.column("text").to_pylist()), part.column("good").to_pylist()):
                 buckets, n = np.unique(ngrams(hashes), return_counts=True)
-                total[buckets] += n
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+                raw[buckets] += n
+                if good:
+                    target[buckets] += n
+    used = np.flatnonzero(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
 
-def model(texts: DataFrame) -> np.ndarray:
-    """Smoothed log-probabilities of all buckets over all of ``texts``; tasks send their sums, at most one per bucket."""
-    rows = texts.mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BUCKETS)
-    for r in rows:
-        counts[r["bucket"]] = r["n"]
+def _smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTHING) / (counts.sum() + SMOOTHING * BUCKETS))
 
 
+def models(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log-probabilities of all buckets over all of ``texts`` and over those that are ``good``, from one pass.
+
+    Tasks send their sums, at most two per bucket.
+    """
+    rows = texts.mapInArrow(_counted, "bucket long, raw long, target long").groupBy("bucket").agg(
+        F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    counts = np.zeros((2, BUCKETS))
+    for r in rows:
+        counts[:, r["bucket"]] = r["raw"], r["target"]
+    return _smoothed(counts[0]), _smoothed(counts[1])
+
+
+def model(texts: DataFrame) -> np.ndarray:
+    """Smoothed log-probabilities of all buckets over all of ``texts``."""
+    return models(texts.select("text", F.lit(False).alias("good")))[0]
+
+
 @dataclass
 class Ratio:
     """Log-ratio of every bucket, target to raw, and the share of good documents among those with a label."""
@@ -60,21 +74,19 @@ class Ratio:
     share: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        max_labelled: int = MAX_LABELLED) -> Ratio:
-    """Target: documents labelled 1, at most ``max_labelled``; raw: all documents, counted whole.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ratio:
+    """Target: all documents labelled 1; raw: all documents.
 
     The share of good documents is that of all labels. Without documents labelled 1 all weights are 0, the share 1.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    judged = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
-        F.max(label_col).alias("label"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    judged = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(
+        F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
     sizes = {r["label"]: r["count"] for r in judged.groupBy("label").count().collect()}
     if not sizes.get(1):
         return Ratio(np.zeros(BUCKETS), 1.0)
-    good = stored(judged.filter("label = 1").select("id").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(max_labelled))
-    target = model(sieved(texts, good, "id").select("text"))
-    return Ratio(target - model(texts.select("text")), sizes[1] / sum(sizes.values()))
+    raw, target = models(told(texts, stored(judged.filter("label = 1").select("id")), "id", "good").select("text", "good"))
+    return Ratio(target - raw, sizes[1] / sum(sizes.values()))
 
 
 def _weighed(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:

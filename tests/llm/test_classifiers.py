@@ -98,6 +98,18 @@ def test_importance_models_are_exact(documents, document_rows):
     assert np.allclose(importance.model(documents.selectExpr("cast(text as binary) as text")), want)
 
 
+@pytest.mark.parametrize("bits", [25, 16])
+def test_importance_counts_all_good_documents(spark, monkeypatch, bits):
+    from frameops.llm import sieve
+    monkeypatch.setattr(sieve, "BITS", bits)
+    docs = spark.range(31_000).selectExpr("id as doc_id", "concat('w', id, ' v', id % 7) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 21000 as int) as quality")
+    ratio = importance.fit(docs, labels)
+    good = importance.model(docs.filter("doc_id < 21000").selectExpr("cast(text as binary) as text"))
+    raw = importance.model(docs.selectExpr("cast(text as binary) as text"))
+    assert np.allclose(ratio.weights, good - raw, rtol=0, atol=1e-12) and ratio.share == 21 / 31
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(2)
     for values in (rng.normal(size=3000), np.round(rng.normal(size=3000), 1), np.zeros(50), np.array([1.0, 1.0, 5e-324, 0.0])):
