@@ -78,23 +78,68 @@ def build(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([forward, back], axis=1)
 
 
-def search(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) at or above ``threshold - SLACK``, found from the medoid.
+def _reached(graph: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Which vectors the edges lead to from ``entries``."""
+    reached = np.zeros(len(graph), dtype=bool)
+    while len(entries):
+        reached[entries] = True
+        near = graph[entries]
+        near = np.unique(near[near >= 0])
+        entries = near[~reached[near]]
+    return reached
+
+
+def _medoids(vectors: np.ndarray, members: np.ndarray, root: np.ndarray, least: int = 1) -> np.ndarray:
+    """Of every piece, the ``members`` with the same root, of ``least`` vectors or more: the one nearest to their mean."""
+    _, piece, sizes = np.unique(root[members], return_inverse=True, return_counts=True)
+    sums = np.zeros((len(sizes), vectors.shape[1]))
+    np.add.at(sums, piece, vectors[members])
+    order = np.lexsort((-np.einsum("ed,ed->e", vectors[members], sums[piece]), piece))
+    return members[order[np.searchsorted(piece[order], np.flatnonzero(sizes >= least))]]
+
+
+def entries_of(vectors: np.ndarray, graph: np.ndarray, threshold: float) -> np.ndarray:
+    """Vectors that searches start from: every vector is reached from one of them.
+
+    They are the medoids of the graph's connected pieces, and of the groups within the range of more than ``DEGREE``
+    vectors, whose edges may all stay inside; then of the pieces that edges lead out of but not into.
+    """
+    n = len(vectors)
+    source, target = np.repeat(np.arange(n), graph.shape[1]), graph.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    tight = np.concatenate([
+        np.einsum("ed,ed->e", vectors[source[i: i + 50_000]], vectors[target[i: i + 50_000]]) >= threshold - SLACK
+        for i in range(0, len(source), 50_000)]) if len(source) else np.zeros(0, dtype=bool)
+    out = np.union1d(_medoids(vectors, np.arange(n), _forest(n, source, target)),
+                     _medoids(vectors, np.arange(n), _forest(n, source[tight], target[tight]), DEGREE + 1))
+    while not (reached := _reached(graph, out)).all():
+        among = ~reached[source] & ~reached[target]
+        out = np.union1d(out, _medoids(vectors, np.flatnonzero(~reached), _forest(n, source[among], target[among])))
+    return out
+
+
+def search(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, threshold: float, entries: np.ndarray,
+           own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) at or above ``threshold - SLACK``, found from ``entries`` and from ``own``.
 
-    First a greedy search with a beam walks from the medoid to each query, the whole batch step by step. Then the
-    range grows: neighbours of all vectors within the range are looked at until none is new.
+    First a greedy search with a beam walks from the nearest entries to each query, the whole batch step by step. Then the
+    range grows from what it found and from the query itself, where ``own`` is its number and not -1: neighbours of all
+    vectors within the range are looked at until none is new.
     """
     n, q = len(vectors), len(queries)
-    medoid = int(np.argmax(vectors @ unit(vectors.mean(0, keepdims=True) + 1e-12)[0]))
     rows = np.arange(q)
     width = min(BEAM, n)
-    beam = np.full((q, width), medoid, dtype=np.int64)
+    dots = queries @ vectors[entries].T
+    best = np.argsort(-dots, axis=1, kind="stable")[:, :width]
+    some = best.shape[1]
+    beam = np.full((q, width), entries[0], dtype=np.int64)
+    beam[:, :some] = entries[best]
     scores = np.full((q, width), -2.0)
-    scores[:, 0] = queries @ vectors[medoid]
+    scores[:, :some] = np.take_along_axis(dots, best, 1)
     seen = np.zeros((q, n), dtype=bool)
-    seen[:, medoid] = True
+    seen[rows[:, None], beam[:, :some]] = True
     opened = np.zeros((q, width), dtype=bool)
-    opened[:, 1:] = True
+    opened[:, some:] = True
     while not opened.all():
         # every query opens its best closed vector
         at = np.argmax(np.where(opened, -3.0, scores), axis=1)
@@ -124,10 +169,11 @@ def search(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, threshol
         fresh_open = np.concatenate([opened[active], new <= -2.0], axis=1)
         opened[active] = np.take_along_axis(fresh_open, best, 1)
     reached = scores >= threshold - SLACK
-    a, v = np.nonzero(reached)[0], beam[reached]
     inside = np.zeros((q, n), dtype=bool)
-    looked = np.zeros((q, n), dtype=bool)
-    inside[a, v] = looked[a, v] = True
+    inside[np.nonzero(reached)[0], beam[reached]] = True
+    inside[rows[own >= 0], own[own >= 0]] = True
+    looked = inside.copy()
+    a, v = np.nonzero(inside)
     while len(a):
         following = np.zeros((q, n), dtype=bool)
         for at in range(0, len(a), 20_000):
@@ -227,9 +273,10 @@ def _found(rows: pa.Table, threshold: float) -> pa.Table:
         at = at[at >= 0]
         graph[i, :len(at)] = at
     totals = np.zeros(len(ids), dtype=np.int64)
+    entries = entries_of(vectors[members], graph, threshold) if len(members) else members
     from_, to = [], []
-    for at in range(0, len(ids), QUERIES_AT_ONCE):
-        q, v = search(vectors[at: at + QUERIES_AT_ONCE], vectors[members], graph, threshold)
+    for at in range(0, len(ids) if len(members) else 0, QUERIES_AT_ONCE):
+        q, v = search(vectors[at: at + QUERIES_AT_ONCE], vectors[members], graph, threshold, entries, number[at: at + QUERIES_AT_ONCE])
         q, v = q + at, members[v]
         other = q != v
         q, v = q[other], v[other]
@@ -238,7 +285,7 @@ def _found(rows: pa.Table, threshold: float) -> pa.Table:
             for i in range(0, len(q), 50_000)]) if len(q) else np.zeros(0, dtype=bool)
         from_.append(q[exact])
         to.append(v[exact])
-    q, v = np.concatenate(from_), np.concatenate(to)
+    q, v = np.concatenate([members[:0], *from_]), np.concatenate([members[:0], *to])
     # what one end found, the other has found too
     back = indexed[q]
     code = np.unique(np.concatenate([q * len(ids) + v, v[back] * len(ids) + q[back]]))
@@ -270,7 +317,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     Vectors with a cosine at or above ``threshold``, in double precision, are linked. Equal vectors are one class that
     counts as many links as it has rows. Classes belong to the ``OVERLAP`` shards with the nearest centres; every shard
     builds a robust-pruned graph, the adjacency lists of all shards are united, and every vector is searched for in its
-    shards from their medoid, then by range. Found pairs are verified. The search is approximate: see :func:`audit`.
+    shards from the medoids of their pieces, then by range, also from itself. Found pairs are verified. The search is approximate: see :func:`audit`.
 
     Null, zero and non-finite vectors, rows without an id, and vectors of another length than most link with
     nothing: no links, their own id (or null) as component, kept. Rows that repeat an id are vectors of their own.

@@ -41,6 +41,27 @@ def test_links_of_clusters(spark, monkeypatch):
         assert E.audit(table, result) >= 0.95
 
 
+def test_groups_that_no_edge_leaves(spark):
+    rng = np.random.default_rng(5)
+    centres = E.unit(rng.normal(size=(20, 64)))
+    vectors = E.unit(np.repeat(centres, 100, axis=0) + 0.02 * rng.normal(size=(2000, 64)))
+    want = plain(list(range(2000)), vectors)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(table).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    # vectors of other blocks have no place in the graph
+    graph = E.build(vectors[::2])
+    entries = E.entries_of(vectors[::2], graph, 0.95)
+    assert E._reached(graph, entries).all()
+    q, v = E.search(vectors[1::2], vectors[::2], graph, 0.95, entries, np.full(1000, -1))
+    found = np.zeros((1000, 1000), dtype=bool)
+    found[q, v] = True
+    true = vectors[1::2] @ vectors[::2].T >= 0.95
+    assert (found & true).sum() >= 0.99 * true.sum()
+
+
 def test_given_vectors(table):
     rows = table("embeddings").collect()
     want = plain([r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=float))
