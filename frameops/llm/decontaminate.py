@@ -21,8 +21,12 @@ K1, B = 1.2, 0.75
 BLOCK = 32
 #: Share of an item's own score that a passage has to reach.
 RETRIEVE = 0.5
-#: Share of an item's shingles that a passage has to hold.
+#: Share of an item, or of its question alone, that a passage has to hold.
 OVERLAP = 0.8
+#: The same of a question whose answer is there too.
+WEAK = 0.6
+#: Least words of a question that stands for its item without the answer.
+QUESTION = 8
 #: Least words of a passage; passages overlap by half.
 PASSAGE = 128
 #: Items of one index on average; more items are searched for block by block.
@@ -55,8 +59,21 @@ def halves(text: bytes) -> tuple[bytes, bytes]:
     return b" ".join(words[:cut]), b" ".join(words[cut:])
 
 
+def words_held(grams: np.ndarray, here: np.ndarray, width: int) -> float:
+    """Share of the words of a text, given by its runs of ``width`` words in order, that stand in a run found ``here``."""
+    edges = np.zeros(len(grams) + width, dtype=np.int64)
+    hit = np.flatnonzero(np.isin(grams, here))
+    np.add.at(edges, hit, 1)
+    np.add.at(edges, hit + width, -1)
+    return float((np.cumsum(edges)[:-1] > 0).mean())
+
+
 class Index:
-    """BM25 over word runs of test items; impacts are shares of the score an item gets from its own text."""
+    """BM25 over word runs of test items; impacts are shares of the score an item gets from its own text.
+
+    A question of ``QUESTION`` words or more has postings of its own, by the shares of its own score, under the number of
+    its item plus the number of items.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
@@ -68,9 +85,14 @@ class Index:
             for t in own:
                 frequency[t] = frequency.get(t, 0) + 1
         n, mean = len(items), np.mean([len(t) for t in terms]) if items else 1.0
+        parts = [halves(t) for _, t in items]
+        questions = S.word_hashes([q for q, _ in parts])
+        asked = [(n + item, S.grams(q, TERM)) for item, q in enumerate(questions) if QUESTION <= len(q) < len(hashes[item])]
+        entries = list(zip(range(n), terms, counted))
+        entries += [(e, t, dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True))))) for e, t in asked]
         postings: dict[int, Postings] = {}
-        for item, own in enumerate(counted):
-            norm = K1 * (1 - B + B * len(terms[item]) / mean)
+        for item, grams, own in entries:
+            norm = K1 * (1 - B + B * len(grams) / mean)
             score = {t: np.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * c * (K1 + 1) / (c + norm)
                      for t, c in own.items()}
             total = sum(score.values())
@@ -86,11 +108,11 @@ class Index:
         self.maybe[self.terms % np.uint64(PREFILTER)] = True
         #: Widths of the terms; below TERM only for items of fewer words.
         self.widths = sorted({min(TERM, len(h)) for h in hashes})
-        parts = [halves(t) for _, t in items]
-        #: Of the whole item, its question and its answer: words of a shingle, and the shingles.
+        #: Of the whole item, its question and its answer: words of a shingle and the shingles, words of a run and the runs.
         self.checks = [
-            [(min(WIDTH, len(h)), S.distinct(S.grams(h, WIDTH))) for h in three]
-            for three in zip(hashes, S.word_hashes([q for q, _ in parts]), S.word_hashes([a for _, a in parts]))]
+            [(min(WIDTH, len(h)), S.distinct(S.grams(h, WIDTH)), min(TERM, len(h)), S.grams(h, TERM)) for h in three]
+            for three in zip(hashes, questions, S.word_hashes([a for _, a in parts]))]
+        self.asks = [len(q) >= QUESTION for q in questions]
         longest = max((len(h) for h in hashes), default=0)
         self.passage = max(PASSAGE, 2 * longest)
 
@@ -145,6 +167,19 @@ class Index:
             lists = [x for x in lists if x[1] < len(x[0].items)]
         return out
 
+    def held(self, check: tuple, here: dict[int, np.ndarray]) -> float:
+        """The share of a text's five-word shingles, or of its words in runs of three, that a passage has; the larger."""
+        width, shingles, run, runs = check
+        whole = float(np.isin(shingles, here[width]).mean()) if width in here else 0.0
+        # a shorter text has to be there whole
+        return max(whole, words_held(runs, here[run], run)) if width == WIDTH and run in here else whole
+
+    def leaked(self, item: int, whole: float, question: float, answer: float) -> bool:
+        """Whether the whole passes, or the question on its own, or a weaker question with the answer to confirm it."""
+        if whole >= OVERLAP:
+            return True
+        return self.asks[item] and (question >= OVERLAP or question >= WEAK and answer >= OVERLAP)
+
     def leaks(self, hashes: np.ndarray) -> dict[int, tuple]:
         """Items that a text holds: score, overlaps of the whole, the question and the answer, first word."""
         at, number = self.found(hashes)
@@ -159,10 +194,15 @@ class Index:
             if not got:
                 continue
             words = hashes[low: low + self.passage]
-            here = {w: S.grams(words, w) for item, _ in got for w, _ in self.checks[item] if 0 < w <= len(words)}
-            for item, score in got:
-                share = [float(np.isin(x, here[w]).mean()) if w in here else 0.0 for w, x in self.checks[item]]
-                if share[0] >= OVERLAP and share[0] > out.get(item, (0, -1.0))[1]:
+            best: dict[int, float] = {}
+            for entry, score in got:
+                item = entry % len(self.ids)
+                best[item] = max(score, best.get(item, 0.0))
+            here = {w: S.grams(words, w) for w in {x for item in best for c in self.checks[item] for x in (c[0], c[2])}
+                    if 0 < w <= len(words)}
+            for item, score in best.items():
+                share = [self.held(c, here) for c in self.checks[item]]
+                if self.leaked(item, *share) and share[0] > out.get(item, (0, -1.0))[1]:
                     out[item] = (score, *share, low)
         return out
 
@@ -191,8 +231,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """A row for every document and test item that it holds.
 
     Every passage of every whole text, ``PASSAGE`` words or twice the longest item, is a query to a BM25 index of the
-    items. Items at or above ``RETRIEVE`` of their own score are checked: a leak holds at least ``OVERLAP`` of the
-    item's five-word shingles. The overlaps of its question and its answer are given too. Items are indexed in blocks of
+    items and their questions. Those at or above ``RETRIEVE`` of their own score are checked. An overlap is the share of
+    five-word shingles that the passage holds, or if larger that of the words in shared runs of three, which one changed
+    word leaves nearly whole. A leak has an overlap of ``OVERLAP`` of the item, or of its question if that has ``QUESTION``
+    words, or of ``WEAK`` of such a question and ``OVERLAP`` of the answer. Items are indexed in blocks of
     about ``index_items``, each small enough for every executor, and all documents are searched for every block.
 
     Null and empty texts hold nothing; empty items are in nothing; an item shorter than five words must be there

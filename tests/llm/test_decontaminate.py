@@ -50,6 +50,27 @@ def test_planted_passages(spark):
     assert all(r.overlap >= 0.8 and r.score >= 0.5 for r in got)
 
 
+def test_questions_alone_and_changed_words(spark):
+    items, rows, want = [], [], set()
+    for k, n in enumerate(range(16, 29)):
+        own = words(n, 700 + k, 100_000).split()
+        items.append((k, " ".join(own)))
+        question = D.halves(items[-1][1].encode())[0].decode()
+        changed = [own[:at] + ["changed"] + own[at + 1:] for at in (n // 2, 1, n - 3)]
+        for passage in (question, *(" ".join(c) for c in changed)):
+            want.add((len(rows), k))
+            rows.append((len(rows), f"{words(90, 2000 + len(rows))} {passage} {words(90, 4000 + len(rows))}"))
+        rows.append((len(rows), f"{words(90, 2000 + len(rows))} {' '.join(own[-n // 3:])} {words(90, 4000 + len(rows))}"))
+        rows.append((len(rows), f"{words(90, 2000 + len(rows))} {' '.join(sorted(own))} {words(90, 4000 + len(rows))}"))
+    # the answer is most of the item
+    items.append((99, f"{words(12, 801, 100_000)}? {words(60, 802, 100_000)}."))
+    want.add((len(rows), 99))
+    rows.append((len(rows), f"{words(90, 803)} {words(12, 801, 100_000)}? {words(90, 804)}"))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, table).collect()} == want
+    assert {r.doc_id for r in D.uncontaminated(docs, table).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_search_returns_all_above_the_threshold():
     rng = random.Random(7)
     items = [(i, " ".join(f"t{int(rng.paretovariate(0.6))}" for _ in range(30)).encode()) for i in range(400)]
