@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.llm.sieve import parted
-from frameops.llm.spans import SPAN, count_of, digits, keyed, located, passes_luhn, written
+from frameops.llm.spans import CONTEXT, SPAN, count_of, digits, keyed, located, passes_luhn, written
 from frameops.llm.store import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -17,7 +17,10 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A word with a digit or an at sign may be an identifier.
 IDENTIFIER = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
 LEFT = r"(\S+\s+\S+)\s+$"
+LAST = r"(\S+)\s+$"
 RIGHT = r"^\s+(\S+)"
+#: Context words of their own; those of a text are lower case.
+START, END = "START", "END"
 #: Characters of a cell in which base spans and identifiers meet.
 CELL = 64
 ROUNDS = 3
@@ -55,9 +58,13 @@ def _found(docs: DataFrame) -> DataFrame:
     words = located(text, IDENTIFIER, "context", F.rlike(text, F.lit("[0-9@]")), context=True)
 
     def described(s: Column) -> Column:
+        first = F.length(s["before"]) == s["start"]
+        before = F.concat(F.when(first, f"{START} ").otherwise(""), F.lower(s["before"]))
+        last = (F.length(s["after"]) < CONTEXT) & F.rlike(s["after"], F.lit(r"^\s*$"))
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), _bare(s["value"]).alias("instance"),
-            F.lower(F.regexp_extract(s["before"], LEFT, 1)).alias("left"), F.lower(F.regexp_extract(s["after"], RIGHT, 1)).alias("right"))
+            F.regexp_extract(before, LEFT, 1).alias("left"), F.regexp_extract(before, LAST, 1).alias("last"),
+            F.when(last, END).otherwise(F.lower(F.regexp_extract(s["after"], RIGHT, 1))).alias("right"))
 
     return docs.select("doc_id", "key", "check", base_spans(text).alias("base"), F.transform(words, described).alias("words"))
 
@@ -76,14 +83,15 @@ def seeded(rows: DataFrame) -> DataFrame:
 def patterns(occurrences: DataFrame) -> DataFrame:
     """Edges between contexts and identifiers with the contexts' confidence after the last round.
 
-    A context is two words before, or one before and one after. It is as sure as the share of its
+    A context is two words before, or one before and one after; the start and the end of a text count as words. It is as sure as the share of its
     instances that are known, an instance as sure as its best context; seeds stay sure. A context that a third of
     all rows share is only summed and joined, and sums are combined before the shuffle.
     """
-    last = F.regexp_extract("left", r"(\S+)$", 1)
-    contexts = F.array(F.concat_ws(" ", "left", F.lit("_")), F.concat_ws(" ", last, F.lit("_"), "right"))
+    contexts = F.array_compact(F.array(
+        F.when(F.col("left") != "", F.concat_ws(" ", "left", F.lit("_"))),
+        F.when((F.col("last") != "") & (F.col("right") != ""), F.concat_ws(" ", "last", F.lit("_"), "right"))))
     edges = stored(
-        occurrences.filter("left <> '' and right <> ''").withColumn("pattern", F.explode(contexts))
+        occurrences.withColumn("pattern", F.explode(contexts))
         .groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")))
     scored = edges.withColumn("sure", F.col("seed").cast("double"))
     for _ in range(ROUNDS):

@@ -77,6 +77,16 @@ def test_induced_contexts_find_unseen_identifiers(spark):
     assert got[100] == "context:16:31" and "context" not in got[101] and "context" not in got[3]
 
 
+def test_identifiers_at_both_ends_of_a_text(spark):
+    rows = [(i, f"please write to user{i}@mail.example.org") for i in range(20)]
+    rows += [(20 + i, f"contact who{i}@mail.example.org for more") for i in range(20)]
+    rows += [(40 + i, f"own{i}@mail.example.org wrote this") for i in range(20)]
+    rows += [(100, "please write to user100_at_mail"), (101, "contact who100_at_mail for less"), (102, "own100_at_mail wrote that"),
+             (103, "nobody would call it room1234x"), (104, "they contact who104_at_mail if need be")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [got[i] for i in range(100, 105)] == ["context:16:31", "context:8:22", "context:0:14", "", ""]
+
+
 def test_more_kinds_of_secrets(spark):
     rows = [(1, "x ghp_" + "a1B2" * 9 + " y"), (2, "-----BEGIN RSA PRIVATE KEY-----"), (3, "xoxb-123456789012 sk_live_" + "a" * 20), (4, "ghp_short")]
     got = {r.doc_id: r.spans for r in secrets_scan.digest(secrets_scan.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
