@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.llm.sieve import parted
 from frameops.llm.spans import CONTEXT, SPAN, count_of, digits, keyed, located, passes_luhn, written
-from frameops.llm.store import stored
+from frameops.llm.store import dropped, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Runs are entered at their start, or where the last match ended, so that long runs are read once.
@@ -23,8 +23,9 @@ RIGHT = r"^\s+(\S+)"
 START, END = "START", "END"
 #: Characters of a cell in which base spans and identifiers meet.
 CELL = 64
+#: Rounds of scores before sure identifiers become known.
 ROUNDS = 3
-#: Different seeds that a pattern has to have met, and the share of its instances that has to be known.
+#: Different known identifiers that a pattern has to have met, and the share of its instances that has to be known.
 SUPPORT = 3
 CONFIDENCE = 0.8
 LEAST_LENGTH = 5
@@ -84,7 +85,8 @@ def patterns(occurrences: DataFrame) -> DataFrame:
     """Edges between contexts and identifiers with the contexts' confidence after the last round.
 
     A context is two words before, or one before and one after; the start and the end of a text count as words. It is as sure as the share of its
-    instances that are known, an instance as sure as its best context; seeds stay sure. A context that a third of
+    instances that are known, an instance as sure as its best context; seeds stay sure. Identifiers that
+    became sure are known from then on and support contexts like seeds, until no context becomes sure. A context that a third of
     all rows share is only summed and joined, and sums are combined before the shuffle.
     """
     contexts = F.array_compact(F.array(
@@ -92,15 +94,32 @@ def patterns(occurrences: DataFrame) -> DataFrame:
         F.when((F.col("last") != "") & (F.col("right") != ""), F.concat_ws(" ", "last", F.lit("_"), "right"))))
     edges = stored(
         occurrences.withColumn("pattern", F.explode(contexts))
-        .groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")))
-    scored = edges.withColumn("sure", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
+        .groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")).withColumn("known", F.col("seed")))
+    sure = 0
+    while True:
+        scored = _scored(edges)
+        before, sure = sure, scored.filter(F.col("trust") >= CONFIDENCE).count()
+        if sure <= before:
+            return scored
+        found = (F.col("sure") >= CONFIDENCE) & (F.length("instance") >= LEAST_LENGTH)
+        following = stored(scored.select("pattern", "instance", "seed", F.greatest("known", found.cast("int")).alias("known")))
+        dropped(edges)
+        dropped(scored)
+        edges = following
+
+
+def _scored(edges: DataFrame) -> DataFrame:
+    """``edges`` with the confidence of contexts and identifiers after ``ROUNDS`` rounds from what is known."""
+    scored = edges.withColumn("sure", F.col("known").cast("double"))
+    for n in range(ROUNDS):
         trust = scored.groupBy("pattern").agg(
-            (F.sum("sure") / F.count(F.lit(1))).alias("trust"), F.sum("seed").alias("seeds"))
-        trust = trust.withColumn("trust", F.when(F.col("seeds") >= SUPPORT, F.col("trust")).otherwise(0.0))
+            (F.sum("sure") / F.count(F.lit(1))).alias("trust"), F.sum("known").alias("support"))
+        trust = trust.withColumn("trust", F.when(F.col("support") >= SUPPORT, F.col("trust")).otherwise(0.0))
         linked = edges.join(trust, "pattern")
-        best = linked.groupBy("instance").agg(F.greatest(F.max("trust"), F.max("seed").cast("double")).alias("sure"))
-        scored = stored(linked.join(best, "instance").select("pattern", "instance", "seed", "trust", "seeds", "sure"))
+        best = linked.groupBy("instance").agg(F.greatest(F.max("trust"), F.max("known").cast("double")).alias("sure"))
+        last, scored = scored, stored(linked.join(best, "instance").select("pattern", "instance", "seed", "known", "trust", "sure"))
+        if n:
+            dropped(last)
     return scored
 
 

@@ -87,6 +87,15 @@ def test_identifiers_at_both_ends_of_a_text(spark):
     assert [got[i] for i in range(100, 105)] == ["context:16:31", "context:8:22", "context:0:14", "", ""]
 
 
+def test_found_identifiers_support_further_contexts(spark):
+    rows = [(i, f"please write to user{i}@mail.example.org for more") for i in range(20)]
+    rows += [(20 + i, f"please write to handle{i}x for more") for i in range(4)]
+    rows += [(30 + i, f"the login name handle{i}x is taken") for i in range(4)]
+    rows += [(40, "the login name handle40x is taken"), (41, "that other thing handle41x has gone")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[20] == "context:16:24" and got[30] == "context:15:23" and got[40] == "context:15:24" and got[41] == ""
+
+
 def test_more_kinds_of_secrets(spark):
     rows = [(1, "x ghp_" + "a1B2" * 9 + " y"), (2, "-----BEGIN RSA PRIVATE KEY-----"), (3, "xoxb-123456789012 sk_live_" + "a" * 20), (4, "ghp_short")]
     got = {r.doc_id: r.spans for r in secrets_scan.digest(secrets_scan.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
