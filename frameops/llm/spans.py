@@ -47,18 +47,26 @@ def located(text: Column, pattern: str, kind: str, needs: Column, context: bool
         runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")),
                            lambda r: F.slice(pairs, r * RUN + 1, F.lit(RUN)))
 
+        # what goes from run to run: the place, and with context the last characters of the text before
         def summed(state: Column, run: Column) -> Column:
             size = F.aggregate(run, F.lit(0), lambda n, pair: n + length(pair))
-            return F.struct((state["at"] + size).alias("at"), F.array_append(
-                state["runs"], F.struct(state["at"].alias("at"), run.alias("run"))).alias("runs"))
+            held = [state["at"].alias("at"), *([state["tail"].alias("tail")] if context else [])]
+            return F.struct((state["at"] + size).alias("at"), *([ending(run).alias("tail")] if context else []), F.array_append(
+                state["runs"], F.struct(*held, run.alias("run"))).alias("runs"))
+
+        def ending(run: Column) -> Column:
+            # a match has a character at least; only a whole run is followed by another
+            last = F.transform(F.slice(run, RUN - CONTEXT + 1, F.lit(CONTEXT)), lambda pair: F.concat(
+                F.right(pair["before"], F.lit(CONTEXT)), F.coalesce(pair["value"], F.lit(""))))
+            return F.right(F.array_join(last, ""), F.lit(CONTEXT))
 
-        start = F.struct(F.lit(0).alias("at"), F.filter(F.transform(F.slice(runs, 1, 1), lambda r: F.struct(
-            F.lit(0).alias("at"), r.alias("run"))), lambda _: F.lit(False)).alias("runs"))
-        placed = F.aggregate(runs, start, summed, lambda state: state["runs"])
         tail = [F.lit("").alias("tail")] if context else []
+        start = F.struct(F.lit(0).alias("at"), *tail, F.filter(F.transform(F.slice(runs, 1, 1), lambda r: F.struct(
+            F.lit(0).alias("at"), *tail, r.alias("run"))), lambda _: F.lit(False)).alias("runs"))
+        placed = F.aggregate(runs, start, summed, lambda state: state["runs"])
         return F.flatten(F.transform(placed, lambda r: F.aggregate(
             F.filter(r["run"], lambda pair: pair["value"].isNotNull()),
-            F.struct(r["at"].alias("at"), empty.alias("spans"), *tail), step, lambda state: state["spans"])))
+            F.struct(r["at"].alias("at"), empty.alias("spans"), *([r["tail"].alias("tail")] if context else [])), step, lambda state: state["spans"])))
 
     # bound to a variable, the pairs are made once and not for every run
     found = F.element_at(F.transform(F.array(zipped), spans), 1)

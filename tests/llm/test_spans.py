@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from frameops.llm import pii, secrets_scan
+from frameops.llm import pii, secrets_scan, spans as L
 from frameops.llm.trigrams import query
 
 
@@ -96,6 +96,19 @@ def test_found_identifiers_support_further_contexts(spark):
     assert got[20] == "context:16:24" and got[30] == "context:15:23" and got[40] == "context:15:24" and got[41] == ""
 
 
+def test_contexts_go_on_over_runs_of_matches(spark):
+    texts = [" ".join(f"id{i}x" for i in range(600)), "see  " + "\n".join(f"a b é{i}" for i in range(900)) + " end"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = L.located(df.text, pii.IDENTIFIER, "context", df.text.rlike("[0-9@]"), context=True)
+    for text, (got,) in zip(texts, df.select(words).collect()):
+        want = [(m.start(), m.end(), text[max(0, m.start() - 120):m.start()]) for m in re.finditer(r"\S*[0-9@]\S*", text)]
+        assert [(s.start, s.end, s.before) for s in got] == want
+        # the text after a match goes as far as the next one
+        for at, s in enumerate(got):
+            until = got[at + 1].end if at + 1 < len(got) else len(text)
+            assert s.after == text[s.end:until][:120]
+
+
 def test_more_kinds_of_secrets(spark):
     rows = [(1, "x ghp_" + "a1B2" * 9 + " y"), (2, "-----BEGIN RSA PRIVATE KEY-----"), (3, "xoxb-123456789012 sk_live_" + "a" * 20), (4, "ghp_short")]
     got = {r.doc_id: r.spans for r in secrets_scan.digest(secrets_scan.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
