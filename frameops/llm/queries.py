@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from frameops.llm import (
-    decontaminate, embedding_dedup, importance, licence_scan, minhash_dedup, packing, pii, secrets_scan, token_counts, toxicity,
+    bpe, decontaminate, embedding_dedup, importance, licence_scan, minhash_dedup, packing, periodic_runs, pii, pretokenized_resampling,
+    secrets_scan, token_counts, toxicity,
 )
 
 
@@ -59,9 +60,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pretokenized_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_licence_scan, op2_minhash_near_dedup, op3_secret_scan, op4_benchmark_decontamination, op5_toxicity, op6_embedding_near_dedup,
-        op7_best_fit_packing, op8_pii, op9_importance_resampling, op10_token_counts)
+        op7_best_fit_packing, op8_pii, op9_importance_resampling, op10_token_counts, op11_bpe_codec, op12_periodic_runs,
+        op13_target_resampling)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_target_resampling": pretokenized_resampling.SQL}

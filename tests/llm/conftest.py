@@ -9,8 +9,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
 SF = "/root/testdata/sf0.001"
-EXTRA = "id long, key string, `check` int, spans string, value double, component string, signature string, label int, n long, shard int"
-CLASH = (1, "k", 2, "s", 0.5, "c", "x", 3, 4, 5)
+EXTRA = "id long, key string, `check` int, spans string, value double, component string, signature string, label int, n long, shard int, "
+EXTRA += "token_ids string, rank string, score string, place string, part string, row string, before string, weight string, n_words string, period string"
+CLASH = (1, "k", 2, "s", 0.5, "c", "x", 3, 4, 5, *"abcdefghij")
 
 
 def words(n, seed=0, stock=5000):
