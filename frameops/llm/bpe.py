@@ -4,23 +4,60 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache, partial
 from heapq import heapify, heappop, heappush
+from itertools import chain
+from unicodedata import category
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from frameops.llm.encoder import COMMON, SPLIT, byte_letters
+from frameops.llm.encoder import COMMON, byte_letters
 
-#: Encoded words that a Python worker remembers, each shorter than SHORT characters; a frequent one is merged once.
-REMEMBERED = 200_000
+#: Encoded words that a Python worker remembers in each of two generations, each shorter than SHORT characters.
+REMEMBERED = 300_000
 SHORT = 40
 ROWS = 200
 
 
+def _split(letters: str, digits: str) -> re.Pattern:
+    """How the byte-level pre-tokenizer parts texts whose letters and digits are all among the given ones."""
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+")
+
+
+def _common(kind: str) -> str:
+    """Letters (``L``) or digits (``N``) beyond ASCII that are common: on these all versions of Unicode agree."""
+    return "".join(c for c in map(chr, range(128, 0x2100)) if COMMON.fullmatch(c) and category(c)[0] == kind)
+
+
+ASCII_WORDS = _split("A-Za-z", "0-9")
+COMMON_WORDS = _split("A-Za-z" + _common("L"), "0-9" + _common("N"))
+
+
+class Remembered(dict):
+    """Ids of words. When one generation is full the one before it goes; a word in use moves to the newer one."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) < SHORT:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 def merged(symbols: list[int], ranks: dict[tuple[int, int], int], products: list[int]) -> list[int]:
     """Symbols after merging adjacent pairs, always the lowest rank first and the leftmost among equals.
 
@@ -49,6 +86,13 @@ def merged(symbols: list[int], ranks: dict[tuple[int, int], int], products: list
     return [s for s in symbols if s >= 0]
 
 
+class Spelt(dict):
+    """Bytes of ids; an unknown id has none."""
+
+    def __missing__(self, _: int) -> bytes:
+        return b""
+
+
 class Codec:
     """Ids of texts and texts of ids by a byte-level vocabulary file, as the ``tokenizers`` library gives them.
 
@@ -76,10 +120,9 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in added}
         self.skipped = {t["id"] for t in added if t["special"]}
         longest_first = sorted(filter(None, self.added), key=len, reverse=True)
-        self.boundaries = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.split = regex.compile(SPLIT)
-        self.strings = {i: self._spelt(token) for token, i in (ids | self.added).items()}
-        self.known: dict[str, list[int]] = {}
+        self.boundaries = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.strings = Spelt({i: self._spelt(token) for token, i in (ids | self.added).items()})
+        self.words = Remembered(self._word)
 
     @cached_property
     def pre_tokenizer(self):
@@ -93,36 +136,30 @@ class Codec:
         return token.encode() if None in found else bytes(found)
 
     def _word(self, word: str) -> list[int]:
-        ids = merged([self.first[b] for b in word.encode()], self.ranks, self.products)
-        if len(word) < SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        return merged([self.first[b] for b in word.encode()], self.ranks, self.products)
 
-    def _words(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> list[str]:
         if COMMON.fullmatch(text):
-            return self.split.findall(text)
+            return (ASCII_WORDS if text.isascii() else COMMON_WORDS).findall(text)
         return [text[start:end] for _, (start, end) in self.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         out: list[int] = []
-        known = self.known.get
         for part in self.boundaries.split(text) if self.boundaries else [text]:
             if (special := self.added.get(part)) is not None:
                 out.append(special)
             elif part:
-                for word in self._words(part):
-                    ids = known(word)
-                    out += self._word(word) if ids is None else ids
+                out += chain.from_iterable(map(self.words.__getitem__, self._parts(part)))
         return out
 
     def decode(self, ids: list[int] | None, skip_special: bool = False) -> str:
         """Vocabulary strings one after the other; unknown ids give nothing, bytes that are no UTF-8 a replacement mark."""
-        kept = (i for i in ids or () if not (skip_special and i in self.skipped))
-        return b"".join([self.strings.get(i, b"") for i in kept]).decode("utf-8", errors="replace")
+        ids = ids or []
+        if skip_special:
+            ids = [i for i in ids if i not in self.skipped]
+        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 @lru_cache(2)
@@ -135,7 +172,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            ids = pa.array([encode(t.as_py()) for t in part.column("text")], pa.list_(pa.int32()))
+            flat, ends = array("i"), [0]
+            for text in part.column("text"):
+                flat.extend(encode(text.as_py()))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "token_ids"])
 
 
@@ -155,7 +196,9 @@ def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: str, skip_special: b
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            texts = pa.array([decode(ids.as_py(), skip_special) for ids in part.column("token_ids")], pa.string())
+            # not as_py(), which makes a Python object of every id by itself
+            found = (ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else None for ids in part.column("token_ids"))
+            texts = pa.array([decode(ids, skip_special) for ids in found], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
 
 
