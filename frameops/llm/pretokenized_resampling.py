@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from zlib import crc32
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import PreTokenizer, Split
 
-from frameops.llm.store import stored
+from frameops.llm.store import dropped, stored
 
 #: Digits, small ASCII letters and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,32 +66,49 @@ class Buckets(dict):
         return bucket
 
 
-def _featured(batches: Iterator[pa.RecordBatch], longest: int, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
-    """Slices of batches with the buckets of every text's features and its number of words."""
-    bucket = Buckets(n)
+def _featured(batches: Iterator[pa.RecordBatch], longest: int, n: int) -> Iterator[pa.RecordBatch]:
+    bucket = Buckets(n).__getitem__
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            found, sizes = [], []
+            flat, ends, sizes = array("i"), [0], []
             for text in part.column("text"):
                 lowered, places = words(text.as_py())
-                found.append(np.array([bucket[f] for f in windows(lowered, places, longest)], dtype=np.int64))
+                flat.extend(map(bucket, windows(lowered, places, longest)))
+                ends.append(len(flat))
                 sizes.append(len(places))
-            yield part, found, sizes
+            buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), buckets], ["doc_id", "n_words", "buckets"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], longest: int, n: int) -> Iterator[pa.RecordBatch]:
+def features(docs: DataFrame, longest: int = LONGEST, n: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_words`` and ``buckets`` (one of every feature) of every row of ``docs``.
+
+    Null and empty texts, and those without words, have none. Repeated rows give theirs again; other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(partial(_featured, longest=longest, n=n), "doc_id long, n_words long, buckets array<int>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of a batch, and where those of each row begin and end."""
+    column = batch.column("buckets")
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy(), ends
+
+
+def _counted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(n, dtype=np.int64)
-    for _, found, _ in _featured(batches, longest, n):
-        counts += np.bincount(np.concatenate(found), minlength=n)
+    for batch in batches:
+        buckets, ends = _flat(batch)
+        counts += np.bincount(buckets[ends[0]: ends[-1]], minlength=n)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
 
 
-def histogram(docs: DataFrame, longest: int = LONGEST, n: int = BUCKETS, text_col: str = "text") -> np.ndarray:
-    """How many features of all texts fall into every bucket. Tasks send their sums, at most one per bucket."""
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    rows = texts.mapInArrow(partial(_counted, longest=longest, n=n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def histogram(featured: DataFrame, n: int = BUCKETS) -> np.ndarray:
+    """How many features of all rows fall into every bucket. Tasks send their sums, at most one per bucket."""
+    rows = featured.select("buckets").mapInArrow(partial(_counted, n=n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(n, dtype=np.int64)
     for row in rows.collect():
         counts[row["bucket"]] = row["n"]
@@ -105,26 +123,19 @@ def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
         for s, t in zip(raw.tolist(), target.tolist())], dtype=np.int64)
 
 
-def fit(docs: DataFrame, target: DataFrame, longest: int = LONGEST, n: int = BUCKETS, text_col: str = "text") -> np.ndarray:
-    """The gain of every bucket, from all texts of both tables. Empty tables count as no features."""
-    return gains(histogram(docs, longest, n, text_col), histogram(target, longest, n, text_col))
-
-
-def _weighed(batches: Iterator[pa.RecordBatch], longest: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for part, found, sizes in _featured(batches, longest, len(table)):
-        weights = [int(table[b].sum()) // len(b) if len(b) else 0 for b in found]
-        numbers = [pa.array(x, pa.int64()) for x in (map(len, found), sizes, weights)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *numbers], ["doc_id", "n_features", "n_words", "weight"])
-
+def _weighed(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buckets, ends = _flat(batch)
+        sums = np.concatenate([[0], np.cumsum(table[buckets])])
+        totals, sizes = sums[ends[1:]] - sums[ends[:-1]], np.diff(ends)
+        weights = np.where(sizes > 0, totals // np.maximum(sizes, 1), 0)
+        numbers = [pa.array(sizes, pa.int64()), batch.column("n_words"), pa.array(weights, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers], ["doc_id", "n_features", "n_words", "weight"])
 
-def weigh(docs: DataFrame, table: np.ndarray, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_features``, ``n_words`` and ``weight``, the floored mean gain of its features.
 
-    Null and empty texts, and those without words, have no features and weight 0. Repeated rows are weighed again; other
-    columns are ignored. No shuffle.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(partial(_weighed, longest=longest, table=table), "doc_id long, n_features long, n_words long, weight long")
+def weigh(featured: DataFrame, table: np.ndarray) -> DataFrame:
+    """Per row: ``doc_id``, ``n_features``, ``n_words`` and ``weight``, the floored mean gain of its features, 0 without any. No shuffle."""
+    return featured.mapInArrow(partial(_weighed, table=table), "doc_id long, n_features long, n_words long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
@@ -173,9 +184,17 @@ def draw(weighed: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
     return drawn.unionByName(scored.filter(~reaches).select("*", no_rank))
 
 
-def resample(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_features``, ``weight``, ``score`` and ``rank`` of every row of ``docs`` against all texts of ``target``."""
-    return draw(weigh(docs, fit(docs, target))).select("doc_id", "n_features", "weight", "score", "rank")
+def resample(docs: DataFrame, target: DataFrame, longest: int = LONGEST, n: int = BUCKETS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_features``, ``weight``, ``score`` and ``rank`` of every row of ``docs`` against all texts of ``target``.
+
+    Texts are split once: their buckets are stored, counted, and weighed. Empty tables count as no features.
+    """
+    featured = stored(features(docs, longest, n))
+    wanted = features(target.select("text", F.lit(None).alias("doc_id")), longest, n)
+    table = gains(histogram(featured, n), histogram(wanted, n))
+    drawn = draw(weigh(featured, table), percent).select("doc_id", "n_features", "weight", "score", "rank")
+    dropped(featured)
+    return drawn
 
 
 #: The same in SQL, with the checksum worked out byte by byte for every distinct word.

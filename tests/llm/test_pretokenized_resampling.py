@@ -74,8 +74,7 @@ def test_query_equals_plain_version_and_sql(spark):
 @pytest.mark.parametrize("longest", [1, 2, 3])
 def test_longer_features(spark, documents, document_rows, table, longest):
     target = table("benchmark")
-    fitted = R.fit(documents, target, longest)
-    got = R.draw(R.weigh(documents, fitted, longest)).select("doc_id", "n_features", "weight", "score", "rank").collect()
+    got = R.resample(documents, target, longest).collect()
     assert ordered(got) == ordered(plain(document_rows, [tuple(r) for r in target.collect()], longest))
 
 
@@ -95,7 +94,8 @@ def test_awkward_rows(spark, awkward, nothing, table):
     got = R.resample(awkward, target).collect()
     docs = [(r.doc_id, r.text) for r in awkward.collect()]
     assert ordered(got) == ordered(plain(docs, [tuple(r) for r in target.collect()]))
-    everyone = R.draw(R.weigh(awkward, R.fit(awkward, target)), percent=100)
+    featured = R.features(awkward)
+    everyone = R.draw(R.weigh(featured, R.gains(R.histogram(featured), R.histogram(featured))), percent=100)
     assert sorted(r["rank"] for r in everyone.collect() if r["rank"]) == list(range(1, 1 + everyone.filter("n_words >= 20").count()))
     assert R.resample(nothing, target).collect() == []
     assert R.resample(awkward, nothing).count() == len(docs)
