@@ -50,3 +50,11 @@ def test_building_a_query_starts_no_job(spark, name):
 def test_debouncing_sorts_nothing(spark):
     plan = plan_of(QUERIES["debounce_changes"](spark, SF))
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["nearest_palette_color", "farthest_color"])
+def test_colour_search_has_a_fixed_number_of_rounds(spark, name):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    final = plan_of(df).split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") <= 12 and "Window" not in final
