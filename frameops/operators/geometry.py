@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions.color import parse_hex_literal
+from frameops.operators import runs as R
 from frameops.operators.lattice import lattice
 from frameops.session import wide
 
@@ -143,17 +144,14 @@ def _without_mask(united: DataFrame, images: DataFrame) -> DataFrame:
     return _batch_frames(images).join(united.select("batch_id").distinct(), "batch_id", "left_anti")
 
 
-def _or_full(united: DataFrame, images: DataFrame) -> DataFrame:
+def mask_or_full(mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """United mask of each image batch; a batch without any mask selects its whole frame."""
+    united = mask_union(mask_pixels)
     given = united.join(images.select("batch_id").distinct(), "batch_id", "left_semi")
     whole = lattice(_without_mask(united, images), "width", "height")
     return given.unionByName(whole.select("batch_id", "y", "x", F.lit(True).alias("selected")))
 
 
-def mask_or_full(mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """United mask of each image batch; a batch without any mask selects its whole frame."""
-    return _or_full(mask_union(mask_pixels), images)
-
-
 def mask_bbox(mask: DataFrame) -> DataFrame:
     """Half-open bounding box of the selected positions; batches selecting nothing have no row."""
     return mask.filter("selected").groupBy("batch_id").agg(
@@ -162,18 +160,23 @@ def mask_bbox(mask: DataFrame) -> DataFrame:
     )
 
 
-def _bbox_or_full(united: DataFrame, images: DataFrame) -> DataFrame:
-    given = mask_bbox(united).join(images.select("batch_id").distinct(), "batch_id", "left_semi")
+def mask_summary(masks: DataFrame) -> DataFrame:
+    """One row per batch with a mask, from mask pixels or from runs: whether anything is selected, and the box around it."""
+    return R.run_summary(masks) if "x_from" in masks.columns else R.pixel_summary(masks)
+
+
+def _bbox_or_full(summary: DataFrame, images: DataFrame) -> DataFrame:
+    given = summary.filter("any").drop("any").join(images.select("batch_id").distinct(), "batch_id", "left_semi")
     zero = F.lit(0)
-    whole = _without_mask(united, images).select(
+    whole = _without_mask(summary, images).select(
         "batch_id", zero.alias("min_x"), F.col("width").alias("max_x"), zero.alias("min_y"), F.col("height").alias("max_y")
     )
     return given.unionByName(whole)
 
 
-def batch_bbox(mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """``mask_bbox`` of ``mask_or_full`` without spelling out full masks."""
-    return _bbox_or_full(mask_union(mask_pixels), images)
+def batch_bbox(masks: DataFrame, images: DataFrame) -> DataFrame:
+    """Box around each batch's united masks (pixels or runs); the whole frame without a mask, no row where masks select nothing."""
+    return _bbox_or_full(mask_summary(masks), images)
 
 
 def pose_window(bbox: DataFrame, width_change: int = 0, height_change: int = 0, offset_x: int = 0, offset_y: int = 0) -> DataFrame:
@@ -190,50 +193,48 @@ def pose_window(bbox: DataFrame, width_change: int = 0, height_change: int = 0,
     )
 
 
-def _untouched(pixels: DataFrame, united: DataFrame, images: DataFrame) -> DataFrame:
-    nothing = united.groupBy("batch_id").agg(F.bool_or("selected").alias("any")).filter(~F.col("any"))
-    unmoved = images.join(nothing.select("batch_id"), "batch_id", "left_semi").select("image_id")
+def _untouched(pixels: DataFrame, summary: DataFrame, images: DataFrame) -> DataFrame:
+    unmoved = images.join(summary.filter("NOT any").select("batch_id"), "batch_id", "left_semi").select("image_id")
     return pixels.join(unmoved, "image_id", "left_semi").select(*PIXEL)
 
 
-def empty_mask_passthrough(pixels: DataFrame, mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """Pixels of batches whose masks select nothing, unchanged."""
-    return _untouched(pixels, mask_union(mask_pixels), images)
+def empty_mask_passthrough(pixels: DataFrame, masks: DataFrame, images: DataFrame) -> DataFrame:
+    """Pixels of batches whose masks (pixels or runs) select nothing, unchanged."""
+    return _untouched(pixels, mask_summary(masks), images)
 
 
-def pose_setup(pixels: DataFrame, images: DataFrame, mask_pixels: DataFrame, fill: Fill = "#000000",
+def pose_placement(images: DataFrame, summary: DataFrame, **change: int) -> DataFrame:
+    """Per image of a batch with a window: where its corner goes, its size and the window's."""
+    window = pose_window(_bbox_or_full(summary, images), **change)
+    return images.join(window, "batch_id").select(
+        "image_id", "batch_id", (-F.col("start_x")).alias("left"), (-F.col("start_y")).alias("top"),
+        F.col("width").alias("w"), F.col("height").alias("h"), "win_width", "win_height",
+    )
+
+
+def pose_setup(pixels: DataFrame, images: DataFrame, masks: DataFrame, fill: Fill = "#000000",
                width_change: int = 0, height_change: int = 0, offset_x: int = 0, offset_y: int = 0,
                only_fill: bool = False) -> DataFrame:
     """Cut a window around the mask out of every image of a batch and fill what lies outside.
 
     With ``only_fill`` just the masked pixels are copied. Batches whose masks select nothing
-    come back unchanged.
+    come back unchanged. ``masks`` are mask pixels or runs (see ``runs``); neither is spelt out or united position by position.
     """
-    united = mask_union(mask_pixels)
-    window = pose_window(_bbox_or_full(united, images), width_change, height_change, offset_x, offset_y)
-    placed = images.join(window, "batch_id").select(
-        "image_id", "batch_id", (-F.col("start_x")).alias("left"), (-F.col("start_y")).alias("top"),
-        F.col("width").alias("w"), F.col("height").alias("h"), "win_width", "win_height",
-    )
-    untouched = _untouched(pixels, united, images)
+    summary = mask_summary(masks)
+    placed = pose_placement(images, summary, width_change=width_change, height_change=height_change, offset_x=offset_x, offset_y=offset_y)
+    untouched = _untouched(pixels, summary, images)
     size = F.col("win_width"), F.col("win_height")
     if not only_fill:
         return _place(pixels, placed, *size, fill).unionByName(untouched)
 
-    words = mask_words(_or_full(united, images))
+    given = R.run_words(masks) if "x_from" in masks.columns else R.mask_words(masks, F.col("m") > 0.5)
+    words = given.unionByName(R.run_words(R.full_runs(_without_mask(summary, images))))
     return (
         _masked_pixels(pixels, placed, words)
         .unionByName(_unmasked_spots(placed, words, fill)).unionByName(untouched)
     )
 
 
-def mask_words(mask: DataFrame) -> DataFrame:
-    """Selected positions as bits: one row per 64 positions of a line that holds any."""
-    return mask.filter("selected").groupBy("batch_id", "y", F.shiftright("x", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, x & 63)")).alias("bits")
-    )
-
-
 def _is_set() -> Column:
     return F.expr("coalesce(shiftright(bits, x & 63) & 1, 0) = 1")
 

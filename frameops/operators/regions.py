@@ -75,26 +75,29 @@ def mask_coverage(masks: DataFrame) -> DataFrame:
     )
 
 
+def usable_regions(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """``image_id`` and the sides of its region inside the image, where that is not empty. ``regions`` has ``image_id, region``."""
+    return clamp_regions(images.join(regions, "image_id"), "width", "height").filter(_usable()).select(
+        "image_id", *(F.col(f"region.{s}").cast("int").alias(f"mask_{s}") for s in SIDES)
+    )
+
+
 def region_crop(pixels: DataFrame, images: DataFrame, regions: DataFrame) -> DataFrame:
     """Pixels inside the region of their image, moved to its corner; images without a usable region are kept whole.
 
-    ``regions`` has ``image_id, region``.
+    ``regions`` has ``image_id, region``. Of a stored table, ``tiles.touched`` reads just the pixels this needs.
     """
-    clamped = clamp_regions(images.join(regions, "image_id"), "width", "height").filter(_usable()).select(
-        "image_id", *(F.col(f"region.{s}").cast("int").alias(f"_{s}") for s in SIDES)
-    )
-    joined = pixels.join(clamped, "image_id", "left")
-    x, y = F.col("x") - F.coalesce(F.col("_x"), F.lit(0)), F.col("y") - F.coalesce(F.col("_y"), F.lit(0))
-    inside = (x >= 0) & (x < F.col("_width")) & (y >= 0) & (y < F.col("_height"))
-    return joined.filter(F.col("_x").isNull() | inside).select(
+    joined = pixels.select("batch_id", "image_id", "y", "x", "r", "g", "b").join(usable_regions(images, regions), "image_id", "left")
+    x, y = (F.col(axis) - F.coalesce(F.col(f"mask_{axis}"), F.lit(0)) for axis in ("x", "y"))
+    inside = (x >= 0) & (x < F.col("mask_width")) & (y >= 0) & (y < F.col("mask_height"))
+    return joined.filter(F.col("mask_x").isNull() | inside).select(
         "batch_id", "image_id", y.alias("y"), x.alias("x"), "r", "g", "b"
     )
 
 
 def crop_mask(images: DataFrame, regions: DataFrame) -> DataFrame:
     """Mask that goes with ``region_crop``: all ones at the region's size; images left whole have none."""
-    return clamp_regions(images.join(regions, "image_id"), "width", "height").filter(_usable()).select(
-        "image_id", F.col("region.width").cast("int").alias("target_width"), F.col("region.height").cast("int").alias("target_height"),
-        F.lit(0).alias("mask_x"), F.lit(0).alias("mask_y"),
-        F.col("region.width").cast("int").alias("mask_width"), F.col("region.height").cast("int").alias("mask_height"),
-    )
+    whole = usable_regions(images, regions)
+    return whole.withColumns({
+        "target_width": F.col("mask_width"), "target_height": F.col("mask_height"), "mask_x": F.lit(0), "mask_y": F.lit(0),
+    }).select("image_id", "target_width", "target_height", *(f"mask_{s}" for s in SIDES))

@@ -331,6 +331,10 @@ SELECT t.batch_id, t.image_id, t.y, t.x, CAST(coalesce(p.r, 16) AS INT) AS r, CA
  (SELECT batch_id, image_id, CAST(a.v AS INT) AS y, CAST(c.v AS INT) AS x FROM images, range(0, 13) a(v), range(0, 31) c(v)) t
  LEFT JOIN pixels p ON p.image_id = t.image_id AND p.x = t.x - 3 AND p.y = t.y + 4"""),
     "mask_union": _with("united", "SELECT * FROM united"),
+    "mask_runs": _with("united", """
+SELECT batch_id, y, CAST(min(x) AS INT) AS x_from, CAST(max(x) + 1 AS INT) AS x_to FROM
+ (SELECT *, x - row_number() OVER (PARTITION BY batch_id, y ORDER BY x) AS island FROM united WHERE selected) GROUP BY batch_id, y, island
+UNION ALL SELECT batch_id, 0, 0, 0 FROM united GROUP BY batch_id HAVING NOT bool_or(selected)"""),
     "mask_default_full": _with("full_masks", "SELECT * FROM full_masks"),
     "mask_bbox": _with("united", """
 SELECT batch_id, min(x) AS min_x, max(x) + 1 AS max_x, min(y) AS min_y, max(y) + 1 AS max_y FROM united WHERE selected GROUP BY batch_id"""),
@@ -454,3 +458,7 @@ SELECT node_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, video FROM
     "stream_new_media": _with("media_files", """
 SELECT file_id, name, mtime_ms FROM media_files WHERE lower(split_part(name, '.', -1)) IN ('webm', 'mp4', 'mkv', 'gif', 'mov')"""),
 }
+#: The same answers by another way.
+ORACLES |= {name: ORACLES[plain] for name, plain in {
+    "mask_union_runs": "mask_union", "pose_only_fill_runs": "pose_only_fill", "tiled_pose_crop": "pose_crop_fill", "tiled_region_crop": "region_crop",
+}.items()}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameops.functions.sampling import SIZE_MULTIPLE
-from frameops.operators import colors as C, frames as V, geometry as G, masklog as E, palette as P, regions as M
+from frameops.operators import colors as C, frames as V, geometry as G, masklog as E, palette as P, regions as M, runs as R, tiles as T
 from frameops.operators.lasso import lasso_mask
 from frameops.operators.resize import resize_pixels as resample
+from frameops.session import drop_at_exit, shared_dir
 from frameops.sources import images as image_source, media, sinks
 from frameops.streaming.masklog import current_state, debounce_stream as settled, mask_state_changes
 from frameops.streaming.media import stream_new_media as new_media
@@ -177,6 +179,19 @@ def mask_union(spark, d):
     return G.mask_union(X.mask_pixels(spark, d))
 
 
+@query
+def mask_runs(spark, d):
+    return R.mask_runs(X.mask_pixels(spark, d))
+
+
+@query
+def mask_union_runs(spark, d):
+    """The united masks spelt out from the runs of every single mask."""
+    single = R.mask_runs(X.mask_pixels(spark, d), ("batch_id", "mask_idx"))
+    united = R.union_runs(single.drop("mask_idx"))
+    return R.spelt_out(united, X.images(spark, d).select("batch_id", "width", "height").distinct())
+
+
 @query
 def mask_default_full(spark, d):
     return G.mask_or_full(X.mask_pixels(spark, d), X.images(spark, d))
@@ -207,6 +222,30 @@ def pose_only_fill(spark, d):
     return G.pose_setup(X.pixels(spark, d), X.images(spark, d), X.mask_pixels(spark, d), FILL, **POSE, only_fill=True)
 
 
+@query
+def pose_only_fill_runs(spark, d):
+    runs = R.mask_runs(X.mask_pixels(spark, d))
+    return G.pose_setup(X.pixels(spark, d), X.images(spark, d), runs, FILL, **POSE, only_fill=True)
+
+
+TILING = T.Tiling(side=8, images=64)
+
+
+def _tiled(spark, d):
+    """The pixels stored in tiles, in a folder of this run."""
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    T.write_tiles(X.pixels(spark, d), path, TILING)
+    drop_at_exit(spark, path)
+    return T.read_tiles(spark, path)
+
+
+@query
+def tiled_pose_crop(spark, d):
+    images, masks = X.images(spark, d), X.mask_pixels(spark, d)
+    pixels = T.touched(_tiled(spark, d), T.pose_boxes(images, masks, **POSE), TILING)
+    return G.pose_setup(pixels, images, masks, FILL, **POSE)
+
+
 @query
 def fill_channels(spark, d):
     colors = X.pixels(spark, d).select(
@@ -383,6 +422,13 @@ def region_crop(spark, d):
     return M.region_crop(X.pixels(spark, d), X.images(spark, d), latest)
 
 
+@query
+def tiled_region_crop(spark, d):
+    latest = E.latest_region(X.mask_events(spark, d)).select(F.col("node_id").try_cast("bigint").alias("image_id"), "region")
+    images = X.images(spark, d)
+    return M.region_crop(T.touched(_tiled(spark, d), T.region_boxes(images, latest), TILING), images, latest)
+
+
 @query
 def crop_mask(spark, d):
     latest = E.latest_region(X.mask_events(spark, d)).select(F.col("node_id").try_cast("bigint").alias("image_id"), "region")
