@@ -203,13 +203,31 @@ def test_resize_without_broadcast(no_broadcast):
     assert (resize(no_broadcast, {1: source}, {1: (8, 16)})[1] == resampled(source, 8, 16)).all()
 
 
+def test_resize_far_and_in_many_blocks(spark):
+    """Sizes of several blocks of lines, twenty times smaller and larger, single lines and columns."""
+    pictures = {1: picture(90, 140, 1), 2: picture(3, 100, 2), 3: picture(100, 3, 3), 4: picture(1, 50, 4), 5: picture(33, 1, 5)}
+    sizes = {1: (4, 7), 2: (60, 70), 3: (5, 65), 4: (3, 200), 5: (40, 33)}
+    got = resize(spark, pictures, sizes)
+    for i, size in sizes.items():
+        assert (got[i] == resampled(pictures[i], *size)).all(), i
+
+
+def test_missing_pixels_count_as_black(spark):
+    source = picture(6, 5)
+    pixels, images = tables(spark, {1: source})
+    source[2, 3] = source[4, 1] = 0
+    targets = spark.createDataFrame([(1, 9, 7)], "image_id long, target_width int, target_height int")
+    got = arrays(resize_pixels(pixels.filter("NOT (y = 2 AND x = 3) AND NOT (y = 4 AND x = 1)"), images, targets))
+    assert (got[1] == resampled(source, 9, 7)).all()
+
+
 def test_taps_cover_every_output(spark):
     sizes = spark.createDataFrame([(7, 24), (24, 7), (1, 8)], "src int, dst int")
     for src, dst in ((7, 24), (24, 7), (1, 8)):
         total = {}
         for r in tap_table(sizes).filter(f"src = {src} AND dst = {dst}").collect():
-            for to, weight in r.taps:
-                total[to] = total.get(to, 0) + weight
+            assert len(r.taps) == 8 and all(0 <= t.at < src for t in r.taps)
+            total[r.to] = sum(t.w for t in r.taps)
         assert set(total) == set(range(dst)) and all(abs(w - 2048) <= 4 for w in total.values())
 
 
