@@ -57,11 +57,24 @@ def load_pixels(loaded: LoadedVideos, pixels: DataFrame, frame_images: DataFrame
     return R.region_crop(resized, sized, rectangles)
 
 
-def preview_videos(videos: DataFrame, params: DataFrame, frames: DataFrame, data: str = "payload_text") -> DataFrame:
-    """Preview document of every video that has frames; parameters carry ``max_preview_text``."""
-    plan = FR.sampling_plan(videos, params)
+@dataclass(frozen=True)
+class Previews:
+    documents: DataFrame
+    failed: DataFrame
+
+
+def preview_videos(videos: DataFrame, params: DataFrame, frames: DataFrame, data: str = "payload_text") -> Previews:
+    """Preview document of every video that has frames; parameters carry ``max_preview_text``.
+
+    Sizes missing from a header are probed first. ``failed`` lists videos without dimensions or without frames.
+    """
+    sized = FR.probe_dimensions(videos, frames)
+    known = sized.filter(F.col("error").isNull()).drop("error")
+    plan = FR.sampling_plan(known, params)
     shown = FR.preview_frames(frames, plan, params)
-    return sinks.preview_manifest(shown, sinks.preview_fps(plan), FR.target_size(videos, params), data)
+    documents = sinks.preview_manifest(shown, sinks.preview_fps(plan), FR.target_size(known, params), data)
+    failed = sized.filter(F.col("error").isNotNull()).select("video_id", "error").unionByName(FR.empty_selection_report(plan, shown))
+    return Previews(documents, failed)
 
 
 def videos_to_rerun(videos: DataFrame, files: DataFrame, events: DataFrame, previous: DataFrame) -> DataFrame:

@@ -2,50 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BATCH_PIXELS = 1 << 16
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of each image to one row per pixel, a bounded run of lines at a time."""
-    for batch in batches:
-        columns = {name: batch.column(name) for name in batch.schema.names}
-        for i in range(batch.num_rows):
-            image = {name: columns[name][i].as_py() for name in columns if name != "data"}
-            height, width, channels = image["height"], image["width"], image["nChannels"]
-            if height <= 0 or width <= 0:
-                continue
-            grid = np.frombuffer(columns["data"][i].as_buffer(), dtype=np.uint8).reshape(height, width, channels)
-            # stored as blue, green, red; one channel means grey
-            order = (0, 0, 0) if channels == 1 else (2, 1, 0)
-            step = max(1, BATCH_PIXELS // width)
-            for top in range(0, height, step):
-                part = grid[top:top + step]
-                lines = part.shape[0]
-                n = lines * width
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, image["batch_id"], dtype=np.int64)),
-                        pa.array(np.full(n, image["image_id"], dtype=np.int64)),
-                        pa.array(np.repeat(np.arange(top, top + lines, dtype=np.int32), width)),
-                        pa.array(np.tile(np.arange(width, dtype=np.int32), lines)),
-                        *(pa.array(part[:, :, c].reshape(-1).astype(np.int32)) for c in order),
-                    ],
-                    names=["batch_id", "image_id", "y", "x", "r", "g", "b"],
-                )
-
+from frameops.session import wide
 
 def unpack_images(packed: DataFrame) -> DataFrame:
-    """``(batch_id, image_id, height, width, nChannels, data)`` rows to pixels; alpha is dropped."""
-    fields = packed.select(
-        F.col("batch_id").cast("bigint"), F.col("image_id").cast("bigint"), "height", "width", "nChannels", "data"
+    """``(batch_id, image_id, height, width, nChannels, data)`` rows to pixels; alpha is dropped.
+
+    An image is cut into lines of bytes, which are dealt over the cluster, and lines into positions. One channel means
+    grey; more are stored as blue, green, red. Images without bytes or size have no pixels.
+    """
+    lines = (
+        packed.filter("height > 0 AND width > 0 AND data IS NOT NULL")
+        .select(F.col("batch_id").cast("bigint"), F.col("image_id").cast("bigint"), "width", "nChannels", "data",
+                F.expr("explode(sequence(0, height - 1))").alias("y"))
+        .withColumn("line", F.expr("substring(data, y * width * nChannels + 1, width * nChannels)")).drop("data")
+        .repartition(wide(packed.sparkSession), "image_id", "y")
+    )
+    spots = lines.withColumn("x", F.expr("explode(sequence(0, width - 1))"))
+    code = "CAST(conv(hex(substring(line, x * nChannels + 1, least(3, nChannels))), 16, 10) AS INT)"
+    colors = spots.select("batch_id", "image_id", "y", "x", "nChannels", F.expr(code).alias("code"))
+    grey = F.col("nChannels") == 1
+    return colors.select(
+        "batch_id", "image_id", F.col("y").cast("int"), F.col("x").cast("int"), F.expr("code & 255").alias("r"),
+        F.when(grey, F.col("code")).otherwise(F.expr("shiftright(code, 8) & 255")).alias("g"),
+        F.when(grey, F.col("code")).otherwise(F.expr("shiftright(code, 16) & 255")).alias("b"),
     )
-    return fields.mapInArrow(_unpack, "batch_id long, image_id long, y int, x int, r int, g int, b int")
 
 
 def read_packed_images(spark: SparkSession, directory: str, batch_id: int = 0) -> DataFrame:

@@ -36,7 +36,7 @@ def test_unpack_grey_alpha_and_long_images(spark):
     packed = spark.createDataFrame([
         (1, 1, 1, 2, 1, bytes([5, 6])), (1, 2, 1, 1, 4, bytes([1, 2, 3, 99])), (1, 3, 700, 300, 3, bytes(630000)), (1, 4, 0, 0, 3, b""),
     ], "batch_id long, image_id long, height int, width int, nChannels int, data binary")
-    got = images.unpack_images(packed)
+    got = images.unpack_images(packed.withColumn("line", F.lit("a user's")))
     assert got.filter("image_id = 3").select("y", "x").distinct().count() == 210000
     small = sorted(tuple(r) for r in got.filter("image_id <> 3").collect())
     assert small == [(1, 1, 0, 0, 5, 5, 5), (1, 1, 0, 1, 6, 6, 6), (1, 2, 0, 0, 3, 2, 1)]
@@ -134,12 +134,27 @@ def test_loading_whole_videos(spark):
     chosen, failed = loaded.selected.select("video_id").distinct().count(), loaded.failed.count()
     assert chosen + failed == videos.count() and loaded.stats.count() == chosen
     assert loaded.masks.count() == loaded.selected.count()
-    for r in plans.preview_videos(videos, params, frames).collect():
+    previews = plans.preview_videos(videos, params, frames)
+    assert previews.documents.count() + previews.failed.count() == videos.count()
+    for r in previews.documents.collect():
         document = json.loads(r.document)
+        assert all(f["width"] > 0 and f["height"] > 0 for f in document["frames"])
         assert [f["index"] for f in document["frames"]] == list(range(r.n_frames)) and r.n_frames <= 120
         assert document["frame_count"] == r.frame_count and len(document["selected_frame_indices"]) == r.n_frames
 
 
+def test_previews_probe_sizes_first(spark):
+    videos = spark.createDataFrame([(v, 2, 24.0, 0, 0) for v in (1, 2)], "video_id long, total_frames long, original_fps double, width int, height int")
+    params = spark.createDataFrame([(1, 0, 0, 0, 0, 0, 1, None)], "video_id long, framerate int, custom_width int, custom_height int, "
+                                   "frame_load_cap long, skip_first_frames long, select_every_nth long, max_preview_text string")
+    frames = spark.createDataFrame([(1, 0, True, 64, 48, "a"), (1, 1, True, 64, 48, "b"), (2, 0, False, None, None, "c")],
+                                   "video_id long, frame_index long, readable boolean, probe_width int, probe_height int, payload_text string")
+    previews = plans.preview_videos(videos, params, frames)
+    (only,) = previews.documents.collect()
+    assert [(f["width"], f["height"], f["data"]) for f in json.loads(only.document)["frames"]] == [(64, 48, "YQ=="), (64, 48, "Yg==")]
+    assert [tuple(r) for r in previews.failed.collect()] == [(2, "Could not read video frame to determine dimensions")]
+
+
 def test_rerun_list_is_empty_without_changes(spark):
     named, files, events = X.named_videos(spark, SF), X.media_files(spark, SF), X.mask_events(spark, SF)
     now = E.change_fingerprint(named, E.mask_version(events), files)

@@ -282,11 +282,18 @@ SELECT request_id, name, 'Invalid video file: ' || name AS message FROM media_re
     "image_pixels": _with("pixels", "SELECT batch_id, image_id, y, x, r, g, b FROM pixels"),
     "frame_sink_manifest": _with("capped", """
 SELECT video_id, position, frame_index, printf('vme_frame_%s_%04d.png', CAST(video_id AS STRING), position) AS file_name FROM capped"""),
-    "preview_manifest": _with("previewed speeds", """
+    "preview_manifest": _with("previewed speeds sizes", """
 SELECT video_id, string_agg(CAST(frame_index AS STRING), ',' ORDER BY frame_index) AS selected_frame_indices,
  string_agg(to_base64(encode(payload_text)), ',' ORDER BY frame_index) AS frame_data, count(*) AS n_frames,
- round(any_value(fps), 6) AS fps, CAST(trunc(any_value(original_fps)) AS BIGINT) AS original_fps, any_value(total_frames) AS frame_count
- FROM previewed JOIN speeds USING (video_id) GROUP BY video_id"""),
+ round(any_value(fps), 6) AS fps, CAST(trunc(any_value(original_fps)) AS BIGINT) AS original_fps, any_value(total_frames) AS frame_count,
+ '{"frames":[' || string_agg('{"index":' || position || ',"data":"' || to_base64(encode(payload_text)) || '","width":' || target_width
+  || ',"height":' || target_height || '}', ',' ORDER BY frame_index) || '],"fps":' || any_value(fps) || ',"original_fps":'
+  || CAST(trunc(any_value(original_fps)) AS BIGINT) || ',"selected_frame_indices":[' || string_agg(CAST(frame_index AS STRING), ',' ORDER BY frame_index)
+  || '],"frame_count":' || any_value(total_frames) || '}' AS document
+ FROM previewed JOIN speeds USING (video_id) JOIN sizes USING (video_id) GROUP BY video_id"""),
+    "preview_failures": _with("videos probed previewed", """
+SELECT video_id, 'Could not read video frame to determine dimensions' AS error FROM videos WHERE video_id NOT IN (SELECT video_id FROM probed)
+UNION ALL SELECT video_id, 'No frames loaded from video' FROM probed WHERE video_id NOT IN (SELECT video_id FROM previewed)"""),
     # colour columns
     "color_standardize": _with("color_values", """
 SELECT row_id, coalesce(ok, 0) AS value, CASE WHEN ok IS NULL THEN 'Invalid' ELSE printf('#%06X', ok) END AS hex,

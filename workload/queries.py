@@ -11,6 +11,7 @@ from frameops.functions.sampling import SIZE_MULTIPLE
 from frameops.operators import colors as C, frames as V, geometry as G, masklog as E, palette as P, regions as M, runs as R, tiles as T
 from frameops.operators.lasso import lasso_mask
 from frameops.operators.resize import resize_pixels as resample
+from frameops.plans.video import preview_videos as previews
 from frameops.session import drop_at_exit, shared_dir
 from frameops.sources import images as image_source, media, sinks
 from frameops.streaming.masklog import current_state, debounce_stream as settled, mask_state_changes
@@ -73,7 +74,12 @@ def preview_manifest(spark, d):
     plan, params = _plan(spark, d), X.video_params(spark, d)
     shown = V.preview_frames(X.frames(spark, d), plan, params)
     sizes = V.target_size(_probed(spark, d), params)
-    return _rounded(sinks.preview_manifest(shown, sinks.preview_fps(plan), sizes).drop("document"), "fps")
+    return _rounded(sinks.preview_manifest(shown, sinks.preview_fps(plan), sizes), "fps")
+
+
+@query
+def preview_failures(spark, d):
+    return previews(X.videos(spark, d), X.video_params(spark, d), X.frames(spark, d)).failed
 
 
 # Colour columns
