@@ -71,18 +71,25 @@ def sampling_plan(videos: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
-def select_frames(frames: DataFrame, plan: DataFrame, use_cap: bool = True, limit: Column | None = None) -> DataFrame:
-    """Readable frames the plan selects, with their ``position`` in the selection.
-
-    The position follows from the index alone, so a cap per video is a filter: no window, no sort.
-    ``limit`` is one more cap, as a column of the plan.
-    """
-    bounds = plan.select(
+def selection_bounds(plan: DataFrame, use_cap: bool = True, limit: Column | None = None) -> DataFrame:
+    """Start, stride, cap and limit of every video's selection."""
+    return plan.select(
         "video_id", "start_index", "combined_step",
         (F.col("frame_load_cap") if use_cap else F.lit(0)).cast("bigint").alias("cap"),
         (limit if limit is not None else F.lit(None)).cast("bigint").alias("limit"),
     )
-    bounds = bounds.join(first_unreadable(frames), "video_id", "left")
+
+
+def select_frames(frames: DataFrame, plan: DataFrame, use_cap: bool = True, limit: Column | None = None,
+                  unreadable: DataFrame | None = None) -> DataFrame:
+    """Readable frames the plan selects, with their ``position`` in the selection.
+
+    The position follows from the index alone, so a cap per video is a filter: no window, no sort.
+    ``limit`` is one more cap, as a column of the plan. ``unreadable`` (``video_id, first_bad``) saves looking for it; frames
+    stored by ``frame_store`` are read up to the cap only.
+    """
+    known = first_unreadable(frames) if unreadable is None else unreadable
+    bounds = selection_bounds(plan, use_cap, limit).join(known, "video_id", "left")
     offset = F.col("frame_index") - F.col("start_index")
     chosen = (
         (F.col("first_bad").isNull() | (F.col("frame_index") < F.col("first_bad")))

@@ -8,7 +8,6 @@ a zone; where each image is cropped elsewhere, give a zone fewer images.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from frameops.operators import geometry as G
 from frameops.operators.regions import usable_regions
 from frameops.schemas import PIXELS
-from frameops.session import drop_at_exit, shared_dir
+from frameops.sources.zones import pruned
 
 #: Tiles a side of an image; a zone's number holds the tile's line and column in 12 bits each.
 GRID = 1 << 12
@@ -55,24 +54,9 @@ def touched(tiled: DataFrame, boxes: DataFrame, tiling: Tiling = Tiling()) -> Da
         return F.explode(F.sequence(tiling.tile(F.col(f"{axis}_from")), tiling.tile(F.col(f"{axis}_to") - 1)))
 
     inside = boxes.filter((F.col("x_to") > F.col("x_from")) & (F.col("y_to") > F.col("y_from")))
-    tiles_of = inside.withColumn("tile_y", tiles("y")).withColumn("tile_x", tiles("x")).select(
-        "image_id", "tile_y", tiling.zone(F.col("image_id"), F.col("tile_y"), F.col("tile_x")).alias("zone"))
-    wanted = _listed(tiles_of).filter("tile_y >= 0").drop("tile_y")
-    # proven bound: a number per folder of the table, which the driver lists in any case
-    zones = F.broadcast(wanted.select("zone").distinct())
-    return tiled.join(zones, "zone").join(wanted, ["image_id", "zone"]).select(*G.PIXEL)
-
-
-def _listed(tiles: DataFrame) -> DataFrame:
-    """The list as a table of its own: read by the pruning of folders and by the join, it is worked out once.
-
-    Folders are pruned only by a plain scan and filter; a list that is computed anew is planned in two ways.
-    """
-    spark = tiles.sparkSession
-    path = f"{shared_dir(spark)}/tile-list-{uuid.uuid4().hex}"
-    tiles.write.parquet(path)
-    drop_at_exit(spark, path)
-    return spark.read.schema(tiles.schema).parquet(path)
+    wanted = inside.withColumn("part", tiles("y")).withColumn("tile_x", tiles("x")).select(
+        "image_id", tiling.zone(F.col("image_id"), F.col("part"), F.col("tile_x")).alias("zone"), "part")
+    return pruned(tiled, wanted, ["image_id"]).select(*G.PIXEL)
 
 
 def region_boxes(images: DataFrame, regions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from frameops.functions import sampling as S
 from frameops.operators import frames as V
+from frameops.sources.frame_store import FrameStore
 
 VIDEOS = "video_id long, total_frames long, original_fps double, width int, height int"
 PARAMS = ("video_id long, framerate int, custom_width int, custom_height int, frame_load_cap long, "
@@ -108,3 +109,34 @@ def test_videos_without_params_have_the_defaults(spark):
     shown = V.preview_frames(frames, V.sampling_plan(videos, params), params).groupBy("video_id").count()
     assert {r.video_id: r["count"] for r in shown.collect()} == {1: 48, 2: 2}
 
+
+
+def rows_read(spark):
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._gateway.jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """12 videos of 2,000 frames in runs of 50, four videos to a zone; every third one breaks off."""
+    frames = spark.range(24_000).selectExpr("id DIV 2000 AS video_id", "id % 2000 AS frame_index", "NOT (id DIV 2000 % 3 = 0 AND id % 2000 = 700) AS readable")
+    store = FrameStore(spark, str(tmp_path_factory.mktemp("frames") / "s"), frames.schema, run=50, videos=4).write(frames)
+    return store, frames
+
+
+@pytest.mark.parametrize("cap, skip, nth, most", [(10, 0, 1, 0.04), (40, 0, 1, 0.04), (20, 90, 3, 0.06), (0, 1990, 1, 0.04), (5, 0, 200, 0.25), (0, 0, 1, 1.0)])
+def test_stored_frames_are_read_up_to_the_cap(spark, stored, cap, skip, nth, most):
+    store, frames = stored
+    videos = spark.createDataFrame([(v, 2000, 24.0, 64, 48) for v in range(12)], VIDEOS)
+    params = spark.createDataFrame([(v, 0, 0, 0, cap, skip, nth, "3") for v in range(12)], PARAMS)
+    plan = V.sampling_plan(videos, params)
+    chosen = store.select(plan)
+    before = rows_read(spark)
+    got = sorted(tuple(r) for r in chosen.collect())
+    # the list of runs is read twice, too
+    assert rows_read(spark) - before <= most * 24_000 + (100 if most < 1 else 1000)
+    assert got == sorted(tuple(r) for r in V.select_frames(frames, plan).collect())
+    shown = sorted(tuple(r) for r in store.preview(plan, params).collect())
+    assert shown == sorted(tuple(r) for r in V.preview_frames(frames, plan, params).collect())

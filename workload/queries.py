@@ -13,6 +13,7 @@ from frameops.operators.lasso import lasso_mask
 from frameops.operators.resize import resize_pixels as resample
 from frameops.plans.video import preview_videos as previews
 from frameops.session import drop_at_exit, shared_dir
+from frameops.sources.frame_store import FrameStore
 from frameops.sources import images as image_source, media, sinks
 from frameops.streaming.masklog import current_state, debounce_stream as settled, mask_state_changes
 from frameops.streaming.media import stream_new_media as new_media
@@ -329,6 +330,26 @@ def frame_cap(spark, d):
     return _selected(spark, d).select("video_id", "frame_index", "position")
 
 
+def _stored_frames(spark, d):
+    """The frames stored in runs, in a folder of this run."""
+    frames = X.frames(spark, d)
+    path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    store = FrameStore(spark, path, frames.schema, run=16, videos=32).write(frames)
+    drop_at_exit(spark, path)
+    return store
+
+
+@query
+def stored_frame_cap(spark, d):
+    return _stored_frames(spark, d).select(_plan(spark, d)).select("video_id", "frame_index", "position")
+
+
+@query
+def stored_preview_frames(spark, d):
+    shown = _stored_frames(spark, d).preview(_plan(spark, d), X.video_params(spark, d))
+    return shown.select("video_id", "frame_index", "position")
+
+
 @query
 def preview_frames(spark, d):
     return V.preview_frames(X.frames(spark, d), _plan(spark, d), X.video_params(spark, d)).select(
