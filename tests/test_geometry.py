@@ -281,3 +281,32 @@ def test_pixels_of_unknown_images_are_reported(spark):
     pixels = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "image_id long, x int")
     images = spark.createDataFrame([(2,)], "image_id long")
     assert [tuple(r) for r in G.orphan_pixels(pixels, images).collect()] == [(1, 2)]
+
+
+def stroke(a, b, radius, width, height):
+    """Pixels whose centres are within the radius of a segment."""
+    touched, (x1, y1), (x2, y2) = set(), a, b
+    square = (x2 - x1) ** 2 + (y2 - y1) ** 2
+    for y in range(height):
+        for x in range(width):
+            along = max(0.0, min(1.0, ((x + 0.5 - x1) * (x2 - x1) + (y + 0.5 - y1) * (y2 - y1)) / square)) if square else 0.0
+            if (x + 0.5 - x1 - along * (x2 - x1)) ** 2 + (y + 0.5 - y1 - along * (y2 - y1)) ** 2 <= radius ** 2:
+                touched.add((y, x))
+    return touched
+
+
+@pytest.mark.parametrize("radius", [0.25, 0.5, 1.0, 2.5, 30.0])
+def test_closing_stroke(spark, radius):
+    rng = np.random.default_rng(int(radius * 4))
+    paths = [[tuple((rng.integers(-20, 140, 2) / 4).tolist()) for _ in range(n)] for n in (1, 2, 2, 3, 5, 8)]
+    paths += [[(3.0, 4.0), (20.0, 4.0)], [(3.5, 4.5), (3.5, 15.5)], [(5.0, 5.0), (5.0, 5.0)], [(-9.0, -9.0), (-8.0, -30.0)]]
+    width, height = 30, 25
+    points = spark.createDataFrame([(k, i, float(x), float(y)) for k, path in enumerate(paths) for i, (x, y) in enumerate(path)],
+                                   "poly_id long, seq int, px double, py double")
+    dims = spark.createDataFrame([(k, width, height) for k in range(len(paths))], "poly_id long, width int, height int")
+    got = {k: set() for k in range(len(paths))}
+    for r in lasso_mask(points, dims, brush=radius).collect():
+        assert (r.y, r.x) not in got[r.poly_id]
+        got[r.poly_id].add((r.y, r.x))
+    for k, path in enumerate(paths):
+        assert got[k] == winding_fill(path, width, height) | stroke(path[-1], path[0], radius, width, height), (k, path)

@@ -273,6 +273,14 @@ def _param(name: str, default: int, low: int, high: int | None = None) -> str:
     return f"CAST({f'least({high}, {value})' if high else value} AS BIGINT) AS {name}"
 
 
+LASSO = """
+SELECT poly_id, y, x FROM
+ (SELECT e.poly_id, CAST(a.v AS INT) AS y, CAST(c.v AS INT) AS x,
+   sum(CASE WHEN y1 <= a.v + 0.5 AND a.v + 0.5 < y2 AND (x2-x1)*(a.v + 0.5 - y1) - (c.v + 0.5 - x1)*(y2-y1) > 0 THEN 1
+            WHEN y2 <= a.v + 0.5 AND a.v + 0.5 < y1 AND (x2-x1)*(a.v + 0.5 - y1) - (c.v + 0.5 - x1)*(y2-y1) < 0 THEN -1 ELSE 0 END) AS winding
+  FROM (SELECT p.poly_id, p.px AS x1, p.py AS y1, q.px AS x2, q.py AS y2 FROM polygons p JOIN polygons q ON q.poly_id = p.poly_id AND q.nth = (p.nth + 1) % 5) e,
+   range(0, 20) a(v), range(0, 24) c(v) GROUP BY ALL) WHERE winding <> 0"""
+
 ORACLES = {
     # sources and sinks
     "media_catalog": _with("media_files", """
@@ -367,13 +375,12 @@ SELECT w.batch_id, w.image_id, d.o AS y, w.x,
  CAST(least(255, greatest(0, (sum(w.b*d.w) + 2097152) >> 22)) AS INT) AS b
  FROM wide w JOIN down d ON d.src = w.sh AND d.dst = w.th AND d.at = w.y GROUP BY ALL
 UNION ALL SELECT p.batch_id, p.image_id, p.y, p.x, p.r, p.g, p.b FROM pixels p JOIN targets t USING (image_id) WHERE t.sw = t.tw AND t.sh = t.th""",
-    "lasso_mask": _with("polygons", """
-SELECT poly_id, y, x FROM
- (SELECT e.poly_id, CAST(a.v AS INT) AS y, CAST(c.v AS INT) AS x,
-   sum(CASE WHEN y1 <= a.v + 0.5 AND a.v + 0.5 < y2 AND (x2-x1)*(a.v + 0.5 - y1) - (c.v + 0.5 - x1)*(y2-y1) > 0 THEN 1
-            WHEN y2 <= a.v + 0.5 AND a.v + 0.5 < y1 AND (x2-x1)*(a.v + 0.5 - y1) - (c.v + 0.5 - x1)*(y2-y1) < 0 THEN -1 ELSE 0 END) AS winding
-  FROM (SELECT p.poly_id, p.px AS x1, p.py AS y1, q.px AS x2, q.py AS y2 FROM polygons p JOIN polygons q ON q.poly_id = p.poly_id AND q.nth = (p.nth + 1) % 5) e,
-   range(0, 20) a(v), range(0, 24) c(v) GROUP BY ALL) WHERE winding <> 0"""),
+    "lasso_mask": _with("polygons", LASSO),
+    "lasso_stroke": _with("polygons", LASSO + """
+UNION SELECT poly_id, y, x FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (((x + 0.5) - x1)*dx + ((y + 0.5) - y1)*dy) / (dx*dx + dy*dy))) AS t FROM
+ (SELECT p.poly_id, p.px AS x1, p.py AS y1, q.px - p.px AS dx, q.py - p.py AS dy, CAST(a.v AS INT) AS y, CAST(c.v AS INT) AS x
+  FROM polygons p JOIN polygons q USING (poly_id), range(0, 20) a(v), range(0, 24) c(v) WHERE p.nth = 4 AND q.nth = 0))
+ WHERE pow((x + 0.5) - (x1 + t*dx), 2) + pow((y + 0.5) - (y1 + t*dy), 2) <= 3.0625"""),
     # frame sequences
     "readable_prefix": _with("good_frames", "SELECT video_id, frame_index, payload_text FROM good_frames"),
     "target_size": _with("sizes", "SELECT *, target_width = 0 OR target_height = 0 AS vanished FROM sizes"),

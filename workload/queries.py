@@ -284,6 +284,11 @@ def lasso_fill(spark, d):
 QUERIES["lasso_mask"] = QUERIES.pop("lasso_fill")
 
 
+@query
+def lasso_stroke(spark, d):
+    return lasso_mask(X.polygons(spark, d), X.polygon_frames(spark, d), brush=1.75)
+
+
 # Frame sequences
 
 def _plan(spark, d):
