@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from frameops.functions.region import with_region
 from frameops.operators.masklog import ORDER, writes
@@ -41,3 +45,84 @@ def debounce_stream(events: DataFrame, gap: str = "250 milliseconds", delay: str
         .agg(F.max_by(payload, F.struct(*ORDER)).alias("last"))
         .select(key, "last.*")
     )
+
+
+EVENT = T.StructType([T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("body", T.StringType())])
+
+
+class BurstEnds(StatefulProcessor):
+    """Last event of each burst of a key. The newest event is held until one comes a gap later, or its timer runs out.
+
+    Events of a micro-batch are summed up in cells of the gap's length, as ``debounce_changes`` does, so a busy key costs
+    memory for its cells and not for its events.
+    """
+
+    def __init__(self, gap_micros: int, idle_ms: int):
+        self.gap, self.idle = gap_micros, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", EVENT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        cells: dict[int, tuple[int, tuple]] = {}
+
+        def add(first: int, last: tuple) -> None:
+            cell = last[0] // self.gap
+            known = cells.get(cell)
+            cells[cell] = (first, last) if known is None else (min(first, known[0]), max(last, known[1], key=lambda e: e[:2]))
+
+        if self.held.exists():
+            event = tuple(self.held.get())
+            add(event[0], event)
+        for part in rows:
+            part = part.assign(cell=part["at"] // self.gap).sort_values(["at", "event_id"])
+            firsts = part.groupby("cell")["at"].min()
+            for cell, at, event_id, body in part.groupby("cell", sort=False)[["at", "event_id", "body"]].tail(1).assign(
+                    cell=lambda p: p["at"] // self.gap)[["cell", "at", "event_id", "body"]].itertuples(index=False):
+                add(int(firsts[cell]), (int(at), int(event_id), body))
+        newest = max(cells)
+        done = [last for cell, (_, last) in sorted(cells.items()) if cell != newest
+                and (cell + 1 not in cells or cells[cell + 1][0] >= last[0] + self.gap)]
+        self.held.update(cells[newest][1])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        if done:
+            yield self._rows(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            event = tuple(self.held.get())
+            self.held.clear()
+            yield self._rows(key, [event])
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _rows(key, events: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *e) for e in events], columns=["key", *EVENT.names])
+
+
+def debounce_timers(events: DataFrame, gap: str = "250 milliseconds", idle: str | None = None, key: str = "node_id") -> DataFrame:
+    """Last event of each burst per key, the newest one as soon as its key has been quiet for ``idle`` (by the clock; ``gap`` by default).
+
+    No later event is needed, as a watermark would. An event that comes after a newer one of its burst was held changes nothing; one that
+    is a gap or more older than anything held is a burst of its own. Events without a key are left out. Emit in update mode.
+    """
+    spark = events.sparkSession
+    micros = spark.range(1).select(*(F.unix_micros(F.lit(0).cast("timestamp") + F.expr(f"INTERVAL '{t}'")) for t in (gap, idle or gap))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    body = F.to_json(F.struct(*(c for c in events.columns if c not in (key, "ts", "event_id"))))
+    packed = events.filter(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), at.alias("at"), F.col("event_id").cast("long"), body.alias("body"))
+    ends = packed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=BurstEnds(micros[0], max(1, micros[1] // 1000)),
+        outputStructType=T.StructType([T.StructField("key", T.StringType()), *EVENT.fields]), outputMode="Update", timeMode="ProcessingTime")
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    others = T.StructType([f for f in events.schema.fields if f.name not in (key, "ts", "event_id")])
+    whole = ends.withColumn("body", F.from_json("body", others))
+    return whole.select(*(
+        F.col("key").cast(kinds[c]).alias(c) if c == key else F.timestamp_micros("at").cast(kinds[c]).alias(c) if c == "ts"
+        else F.col("event_id").cast(kinds[c]) if c == "event_id" else F.col(f"body.{c}") for c in events.columns))

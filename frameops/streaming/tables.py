@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -51,6 +52,29 @@ class StreamTable:
         self.start(stream, output_mode, available_now=True).awaitTermination()
         return self.read(stream)
 
+    @staticmethod
+    def _settled(query) -> bool:
+        """Whether the last batch found nothing new and left nothing held."""
+        last = query.lastProgress
+        return last is not None and last.numInputRows == 0 and not any(state.numRowsTotal for state in last.stateOperators)
+
+    def settle(self, stream: DataFrame, output_mode: str, every: str = "500 milliseconds", most_seconds: float = 3600) -> DataFrame:
+        """Process everything there is, wait until no key is held by a timer any more, and return what was written."""
+        writer = stream.writeStream.outputMode(output_mode).foreachBatch(self._write).option("checkpointLocation", self.checkpoint)
+        query = writer.trigger(processingTime=every).start()
+        try:
+            # timers keep empty batches going, so the query never counts as having processed all there is
+            end = time.monotonic() + most_seconds
+            while not self._settled(query):
+                if query.exception() or time.monotonic() > end:
+                    raise query.exception() or TimeoutError(f"keys are still held after {most_seconds} seconds")
+                time.sleep(0.1)
+            while query.status["isTriggerActive"] and time.monotonic() < end:
+                time.sleep(0.01)
+        finally:
+            query.stop()
+        return self.read(stream)
+
     def read(self, stream: DataFrame) -> DataFrame:
         """What was written, with its ``batch``; empty before the first batch."""
         schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])

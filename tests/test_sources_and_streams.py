@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frameops.operators import masklog as E
 from frameops.plans import video as plans
 from frameops.sources import images, media
-from frameops.streaming.masklog import current_state, debounce_stream, mask_state_changes
+from frameops.streaming.masklog import current_state, debounce_stream, debounce_timers, mask_state_changes
 from frameops.streaming.media import stream_new_media
 from frameops.streaming.tables import StateTable, StreamTable
 from workload import fixtures as X
@@ -128,6 +128,37 @@ def test_stream_debounce_equals_batch(spark, tmp_path):
     assert got == sorted(r.event_id for r in E.debounce_changes(events, "6 hours").collect())
 
 
+def test_timers_end_the_last_burst(spark, tmp_path):
+    """No event comes after the last burst of any node, and none of a far future is planted."""
+    events = X.mask_events(spark, SF).filter("op = 'param'")
+    late = F.lit("2024-01-20").cast("timestamp_ntz")
+    events.filter(F.col("ts") < late).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    table = StreamTable(spark, "bursts", str(tmp_path))
+    first = table.settle(debounce_timers(stream, "6 hours", idle="1 second"), "update")
+    ends = sorted(map(tuple, E.debounce_changes(events.filter(F.col("ts") < late), "6 hours").collect()))
+    assert sorted(map(tuple, first.select(events.columns).collect())) == ends and ends
+    # the same stream goes on with what comes later
+    events.filter(F.col("ts") >= late).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
+    again = StreamTable(spark, "bursts", str(tmp_path)).settle(debounce_timers(stream, "6 hours", idle="1 second"), "update")
+    both = ends + list(map(tuple, E.debounce_changes(events.filter(F.col("ts") >= late), "6 hours").collect()))
+    assert sorted(map(tuple, again.select(events.columns).collect())) == sorted(both)
+
+
+def test_held_events_are_prolonged_across_batches(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp_ntz, node_id string, video string"
+    parts = [[(0, "a"), (30, "a"), (0, "b")], [(80, "a"), (500, "b")], [(170, "a"), (171, None), (700, "b")]]
+    n = 0
+    for i, part in enumerate(parts):
+        rows = [(n + k, start + dt.timedelta(milliseconds=ms), node, f"v{ms}") for k, (ms, node) in enumerate(part)]
+        n += len(part)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = StreamTable(spark, "bursts", str(tmp_path)).settle(debounce_timers(stream, "100 milliseconds", idle="8 seconds"), "update")
+    assert sorted((r.node_id, r.video) for r in got.collect()) == [("a", "v170"), ("b", "v0"), ("b", "v500"), ("b", "v700")]
+
+
 def test_loading_whole_videos(spark):
     videos, params, frames = X.videos(spark, SF), X.video_params(spark, SF), X.frames(spark, SF)
     loaded = plans.load_videos(videos, params, frames, X.mask_events(spark, SF))

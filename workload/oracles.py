@@ -475,5 +475,5 @@ SELECT file_id, name, mtime_ms FROM media_files WHERE lower(split_part(name, '.'
 #: The same answers by another way.
 ORACLES |= {name: ORACLES[plain] for name, plain in {
     "mask_union_runs": "mask_union", "pose_only_fill_runs": "pose_only_fill", "tiled_pose_crop": "pose_crop_fill", "tiled_region_crop": "region_crop",
-    "stored_frame_cap": "frame_cap", "stored_preview_frames": "preview_frames",
+    "debounce_timer_stream": "debounce_changes", "stored_frame_cap": "frame_cap", "stored_preview_frames": "preview_frames",
 }.items()}

@@ -15,7 +15,7 @@ from frameops.plans.video import preview_videos as previews
 from frameops.session import drop_at_exit, shared_dir
 from frameops.sources.frame_store import FrameStore
 from frameops.sources import images as image_source, media, sinks
-from frameops.streaming.masklog import current_state, debounce_stream as settled, mask_state_changes
+from frameops.streaming.masklog import current_state, debounce_stream as settled, debounce_timers, mask_state_changes
 from frameops.streaming.media import stream_new_media as new_media
 from frameops.streaming.tables import StateTable, StreamTable
 from workload import fixtures as X
@@ -531,6 +531,15 @@ def debounce_stream(spark, d):
     return written.select("node_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "video")
 
 
+@query
+def debounce_timer_stream(spark, d):
+    """Nothing follows the last burst of a node: a timer ends it."""
+    changes = X.mask_events_of(X.table_stream(spark, d, "events")).filter("op = 'param'")
+    last = debounce_timers(changes, BURST_GAP, idle="1 second")
+    written = StreamTable(spark, "timed-bursts", temporary=True).settle(last, "update")
+    return written.select("node_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "video")
+
+
 @query
 def stream_new_media(spark, d):
     arrived = new_media(X.media_files_of(X.table_stream(spark, d, "customer")))
