@@ -93,6 +93,7 @@ class Model:
     """Weights per gram and family, divided by the calibrated temperature, and the least probability of a licence."""
 
     families: list[str]
+    vocabulary: list[str]
     weights: DataFrame
     bias: list[float]
     threshold: float
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     threshold = float(max(0.5, alarms[int(np.ceil(len(alarms) * (1 - FALSE_ALARMS))) - 1] if len(alarms) else 0.5))
     table = spark.createDataFrame(
         [(g, [float(x) for x in weights[:, i] / temperature]) for i, g in enumerate(vocabulary)], "gram string, weights array<double>")
-    return Model(families, table, [float(b) for b in bias / temperature], min(threshold, 0.95), _template_grams(spark))
+    return Model(families, vocabulary, table, [float(b) for b in bias / temperature], min(threshold, 0.95), _template_grams(spark))
 
 
 def _template_grams(spark: SparkSession) -> DataFrame:
@@ -184,7 +185,10 @@ def find(docs: DataFrame, model: Model, text_col: str = "text", keys: tuple[str,
     """
     rows = paragraphs(docs.select(*keys, F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text")), "_text")
     own = rows.select("_row", *keys, "paragraph", grams(word_array(F.col("line"))).alias("grams"))
-    hits = own.select("_row", *keys, "paragraph", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
+    # only what the templates know leaves the paragraph
+    vocabulary = F.array(*map(F.lit, model.vocabulary))
+    hits = own.withColumn("grams", F.explode(F.array("grams"))).select(
+        "_row", *keys, "paragraph", F.size("grams").alias("own"), F.explode(F.array_intersect("grams", vocabulary)).alias("gram"))
     # bounded by the templates
     known = model.weights.join(
         model.templates.groupBy("gram").agg(F.collect_list(F.struct("template", "family", "size")).alias("templates")), "gram")
