@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from functools import lru_cache, partial
+import os
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache, partial
 from heapq import heapify, heappop, heappush
 from unicodedata import normalize
 
@@ -13,7 +14,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from frameops.llm.encoder import byte_letters
+from tokenizers import Tokenizer
+
+from frameops.llm.encoder import COMMON, byte_letters
 
 #: Counts of lower-case words remembered by a Python worker, so that a frequent one is merged once.
 REMEMBERED = 800_000
@@ -53,6 +56,7 @@ class Counter:
     """Token counts of texts by a vocabulary file: NFC, lower case, split by its pattern, byte-level merges."""
 
     def __init__(self, vocabulary: str):
+        self.vocabulary = vocabulary
         with open(vocabulary, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -65,11 +69,20 @@ class Counter:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.parts: dict[str, int] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Loaded by the first word that needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.vocabulary)
+
+    def _letters(self, letters: Iterable[str]) -> int:
+        symbols = list(letters)
+        symbols[-1] += self.suffix
+        return merged_length(symbols, self.ranks)
+
     def _part(self, part: str) -> int:
         if (n := self.parts.get(part)) is None:
-            symbols = [self.letters[b] for b in part.encode()]
-            symbols[-1] += self.suffix
-            n = merged_length(symbols, self.ranks)
+            n = self._letters([self.letters[b] for b in part.encode()])
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
             if len(part) < 100:
@@ -80,15 +93,22 @@ class Counter:
         """Tokens of a run without white space; nothing in the file's rules reaches across white space."""
         if word.isascii():
             small = word.lower()
-        else:
+        elif COMMON.fullmatch(word):
             # letter by letter: no final sigma
             small = "".join(c.lower() for c in normalize("NFC", word))
+        else:
+            return self._rare(word)
         if small.isalpha():
             return self._part(small)
         if small[:-1].isalpha() and small[-1] in ".,;:!?":
             return self._part(small[:-1]) + self._part(small[-1])
         return sum(map(self._part, self.pattern.findall(small)))
 
+    def _rare(self, word: str) -> int:
+        """The same by the file's own normaliser and splitter, which may follow another version of Unicode than Python's tables."""
+        small = self.library.normalizer.normalize_str(word)
+        return sum(self._letters(letters) for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(small))
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0

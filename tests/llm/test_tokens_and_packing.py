@@ -33,6 +33,18 @@ def test_counts_equal_the_library(documents, document_rows):
         assert got[i] == (len(text.encode()), n, n > 2048)
 
 
+def test_counts_on_every_code_point():
+    """Alone and between letters, digits and signs."""
+    library, counter = Tokenizer.from_file(WORDS), token_counts.Counter(WORDS)
+    every = [chr(x) for x in range(1, 0x110000) if not 0xD800 <= x < 0xE000]
+    for at in range(0, len(every), 64):
+        part = every[at: at + 64]
+        text = "".join(f"a{c}1{c}.{c} {c}\n" for c in part)
+        if counter.count(text) != len(library.encode(text, add_special_tokens=False).ids):
+            wrong = [c for c in part if counter.count(f"a{c}1{c}.{c} {c}\n") != len(library.encode(f"a{c}1{c}.{c} {c}\n", add_special_tokens=False).ids)]
+            raise AssertionError([hex(ord(c)) for c in wrong])
+
+
 def test_counts_of_awkward_rows(awkward, nothing):
     got = token_counts.token_counts(awkward, WORDS).collect()
     assert len(got) == 13 and sum(r.n_tokens == 0 and r.n_bytes == 0 for r in got) == 3
