@@ -46,14 +46,18 @@ def probe_dimensions(videos: DataFrame, frames: DataFrame) -> DataFrame:
         _per_video(frames, asked).groupBy("video_id")
         .agg(F.min_by(F.struct("readable", "probe_width", "probe_height"), "frame_index").alias("first"))
         .filter("first.readable")
-        .select("video_id", F.col("first.probe_width").alias("_w"), F.col("first.probe_height").alias("_h"))
+        .select(F.col("video_id").alias("probed_id"), "first")
     )
-    known = videos.join(first, "video_id", "left")
-    return known.withColumns({
-        "error": F.when(unknown & F.col("_w").isNull(), F.lit("Could not read video frame to determine dimensions")),
-        "width": F.when(unknown, F.col("_w")).otherwise(F.col("width")),
-        "height": F.when(unknown, F.col("_h")).otherwise(F.col("height")),
-    }).drop("_w", "_h")
+    # the struct keeps the probed size apart from whatever columns the videos have
+    known = videos.alias("v").join(first.alias("f"), F.col("v.video_id") == F.col("f.probed_id"), "left")
+    width, height = F.col("f.first.probe_width"), F.col("f.first.probe_height")
+    unknown = (F.col("v.width") <= 0) | (F.col("v.height") <= 0)
+    filled = {
+        "width": F.when(unknown, width).otherwise(F.col("v.width")),
+        "height": F.when(unknown, height).otherwise(F.col("v.height")),
+    }
+    error = F.when(unknown & width.isNull(), F.lit("Could not read video frame to determine dimensions"))
+    return known.select(*(filled.get(c, F.col(f"v.{c}")).alias(c) for c in videos.columns), error.alias("error"))
 
 
 def sampling_plan(videos: DataFrame, params: DataFrame) -> DataFrame:

@@ -19,10 +19,6 @@ def lattice(df: DataFrame, width: str | Column, height: str | Column, y: str = "
     """
     width = F.col(width) if isinstance(width, str) else width
     height = F.col(height) if isinstance(height, str) else height
-    lines = (
-        df.withColumn("_w", width).withColumn("_h", height)
-        .filter((F.col("_w") > 0) & (F.col("_h") > 0))
-        .withColumn(y, F.explode(_upto(F.col("_h"))))
-    )
-    lines = lines.repartition(wide(df.sparkSession), *(c for c in lines.columns if c != "_h"))
-    return lines.withColumn(x, F.explode(_upto(F.col("_w")))).drop("_w", "_h")
+    lines = df.filter((width > 0) & (height > 0)).withColumn(y, F.explode(_upto(height)))
+    lines = lines.repartition(wide(df.sparkSession), *lines.columns)
+    return lines.withColumn(x, F.explode(_upto(width)))

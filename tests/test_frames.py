@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from frameops.functions import sampling as S
 from frameops.operators import frames as V
+from frameops.operators.lattice import lattice
 from frameops.sources.frame_store import FrameStore
 
 VIDEOS = "video_id long, total_frames long, original_fps double, width int, height int"
@@ -140,3 +141,12 @@ def test_stored_frames_are_read_up_to_the_cap(spark, stored, cap, skip, nth, mos
     assert got == sorted(tuple(r) for r in V.select_frames(frames, plan).collect())
     shown = sorted(tuple(r) for r in store.preview(plan, params).collect())
     assert shown == sorted(tuple(r) for r in V.preview_frames(frames, plan, params).collect())
+
+
+def test_hidden_names_are_the_users(spark):
+    videos = spark.createDataFrame([(1, 0, 0, 77, "k", 9), (2, 8, 6, 78, "l", 9)], "video_id long, width int, height int, _w int, _h string, first int")
+    frames = spark.createDataFrame([(1, 0, True, 64, 48)], "video_id long, frame_index long, readable boolean, probe_width int, probe_height int")
+    got = V.probe_dimensions(videos, frames)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 64, 48, 77, "k", 9, None), (2, 8, 6, 78, "l", 9, None)]
+    spots = lattice(videos.filter("video_id = 2"), "width", "height")
+    assert spots.columns == [*videos.columns, "y", "x"] and {(r._w, r._h) for r in spots.collect()} == {(78, "l")} and spots.count() == 48
