@@ -7,7 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from frameops.session import drop_at_exit, shared_dir
+from frameops.session import DEFAULTS, drop_at_exit, shared_dir
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 class StreamTable:
@@ -61,7 +63,13 @@ class StreamTable:
     def settle(self, stream: DataFrame, output_mode: str, every: str = "500 milliseconds", most_seconds: float = 3600) -> DataFrame:
         """Process everything there is, wait until no key is held by a timer any more, and return what was written."""
         writer = stream.writeStream.outputMode(output_mode).foreachBatch(self._write).option("checkpointLocation", self.checkpoint)
-        query = writer.trigger(processingTime=every).start()
+        # a query takes the settings of the moment it starts; only this store keeps timers
+        before = self.spark.conf.get(STORE)
+        self.spark.conf.set(STORE, DEFAULTS[STORE])
+        try:
+            query = writer.trigger(processingTime=every).start()
+        finally:
+            self.spark.conf.set(STORE, before)
         try:
             # timers keep empty batches going, so the query never counts as having processed all there is
             end = time.monotonic() + most_seconds
