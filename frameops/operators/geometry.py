@@ -30,7 +30,16 @@ def with_image(pixels: DataFrame, images: DataFrame) -> DataFrame:
     extra = [c for c in images.columns if c != "batch_id"]
     if set(extra) <= set(pixels.columns):
         return pixels
-    return pixels.join(images.select(*extra), "image_id")
+    return join_images(pixels, images.select(*extra))
+
+
+def join_images(pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """Pixels with what is known of their image, met in hash tables of images, never of pixels.
+
+    The optimiser takes pixels that expand from images to be as small as those, and a joined table of images to be
+    large. Left to it, all pixels would be broadcast through the driver.
+    """
+    return pixels.join(images.hint("shuffle_hash"), "image_id")
 
 
 def orphan_pixels(pixels: DataFrame, images: DataFrame) -> DataFrame:

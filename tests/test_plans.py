@@ -1,5 +1,7 @@
 """What the registered queries' plans may not contain."""
 
+import re
+
 import pytest
 
 from workload.queries import QUERIES
@@ -34,6 +36,18 @@ def test_turning_and_fitting_do_not_shuffle_pixels(no_broadcast):
         assert "Join" not in plan
 
 
+@pytest.mark.parametrize("name, joins", [("pose_crop_fill", 1)])
+def test_pixels_are_not_broadcast(spark, name, joins):
+    """Pixels expand from few rows, so the optimiser takes them to be few as well."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert len(re.findall(r"ShuffledHashJoin \[image_id#\d+L\], \[image_id#\d+L\], Inner, BuildRight", plan)) == joins
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next(x for x in lines[i + 1:] if "Project" not in x)
+            assert "Generate" not in below
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("stream_", "tiled_", "stored_")) and not n.endswith("_stream")])
 def test_building_a_query_starts_no_job(spark, name):
     QUERIES[name](spark, SF)  # looks schemas up
