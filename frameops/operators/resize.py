@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from frameops.functions.region import computed_once
+from frameops.operators.geometry import join_images
 from frameops.session import wide
 
 # Taps per axis and weight scale of the 8-bit resampling this reproduces.
@@ -125,7 +126,7 @@ def resize_pixels(pixels: DataFrame, images: DataFrame, targets: DataFrame) -> D
         "image_id", F.col("width").alias("sw"), F.col("height").alias("sh"),
         F.col("target_width").cast("int").alias("tw"), F.col("target_height").cast("int").alias("th"),
     )
-    rows = pixels.select("batch_id", "image_id", "y", "x", "r", "g", "b").join(sizes, "image_id")
+    rows = join_images(pixels.select("batch_id", "image_id", "y", "x", "r", "g", "b"), sizes)
     same = (F.col("sw") == F.col("tw")) & (F.col("sh") == F.col("th"))
     untouched = rows.filter(same).select("batch_id", "image_id", "y", "x", "r", "g", "b")
     wanted = ~same & (F.col("tw") > 0) & (F.col("th") > 0)

@@ -36,7 +36,7 @@ def test_turning_and_fitting_do_not_shuffle_pixels(no_broadcast):
         assert "Join" not in plan
 
 
-@pytest.mark.parametrize("name, joins", [("pose_crop_fill", 1), ("pose_only_fill", 1), ("pose_only_fill_runs", 1)])
+@pytest.mark.parametrize("name, joins", [("pose_crop_fill", 1), ("pose_only_fill", 1), ("pose_only_fill_runs", 1), ("resize_pixels", 2)])
 def test_pixels_are_not_broadcast(spark, name, joins):
     """Pixels expand from few rows, so the optimiser takes them to be few as well."""
     plan = plan_of(QUERIES[name](spark, SF))
