@@ -12,10 +12,11 @@ def unpack_images(packed: DataFrame) -> DataFrame:
     An image is cut into lines of bytes, which are dealt over the cluster, and lines into positions. One channel means
     grey; more are stored as blue, green, red. Images without bytes or size have no pixels.
     """
+    # no filter on the bytes: it would move below whatever makes them, which would then be done twice
+    whole = "height > 0 AND width > 0 AND data IS NOT NULL"
     lines = (
-        packed.filter("height > 0 AND width > 0 AND data IS NOT NULL")
-        .select(F.col("batch_id").cast("bigint"), F.col("image_id").cast("bigint"), "width", "nChannels", "data",
-                F.expr("explode(sequence(0, height - 1))").alias("y"))
+        packed.select(F.col("batch_id").cast("bigint"), F.col("image_id").cast("bigint"), "width", "nChannels", "data",
+                      F.expr(f"explode(CASE WHEN {whole} THEN sequence(0, height - 1) END)").alias("y"))
         .withColumn("line", F.expr("substring(data, y * width * nChannels + 1, width * nChannels)")).drop("data")
         .repartition(wide(packed.sparkSession), "image_id", "y")
     )

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from workload import fixtures as X
 from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +49,13 @@ def test_pixels_are_not_broadcast(spark, name, joins):
             assert "Generate" not in below
 
 
+def test_images_are_dealt_out_before_they_are_spelt_out(spark):
+    plan = plan_of(QUERIES["image_pixels"](spark, SF))
+    assert plan.count("array_join(") == 1
+    assert "REPARTITION_BY_NUM" in plan.split("array_join(")[1]
+    assert X.packed_images(spark, SF).rdd.getNumPartitions() == 8
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("stream_", "tiled_", "stored_")) and not n.endswith("_stream")])
 def test_building_a_query_starts_no_job(spark, name):
     QUERIES[name](spark, SF)  # looks schemas up

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from frameops.operators.lattice import lattice
+from frameops.session import wide
 
 SUFFIX = """CASE {id} % 8 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MOV' WHEN 2 THEN '.webm' WHEN 3 THEN '.gif'
  WHEN 4 THEN '.mkv' WHEN 5 THEN '.txt' WHEN 6 THEN '' ELSE '.tar.MP4' END"""
@@ -57,7 +58,8 @@ def packed_images(spark, sf_dir):
         "(image_id*53 + (i % 24)*3 + (i div 24)*(i div 24)) % 256",
         "(image_id*37 + (i % 24)*11 + (i div 24)*5) % 256",
     ))
-    return images(spark, sf_dir).selectExpr(
+    # dealt out first: spelling out an image takes a thousand times as long as reading its row
+    return images(spark, sf_dir).repartition(wide(spark), "image_id").selectExpr(
         "batch_id", "image_id", "height", "width", "3 AS nChannels",
         f"unhex(array_join(transform(sequence(0, width*height - 1), i -> concat({code})), '')) AS data",
     )
