@@ -47,14 +47,20 @@ def debounce_stream(events: DataFrame, gap: str = "250 milliseconds", delay: str
     )
 
 
-EVENT = T.StructType([T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("body", T.StringType())])
+EVENT = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.LongType()),
+                      T.StructField("event_id", T.LongType()), T.StructField("body", T.StringType())])
+#: Held events of one bucket as a list per column, each with the time its timer runs out.
+HELD = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*EVENT.fields, T.StructField("due", T.LongType())]])
+#: Keys that share a state and a timer. Fixed for the life of a checkpoint.
+BUCKETS = 1024
 
 
 class BurstEnds(StatefulProcessor):
-    """Last event of each burst of a key. The newest event is held until one comes a gap later, or its timer runs out.
+    """Last event of each burst of every key of a bucket. The newest event of a key is held until one comes a gap later, or its time runs out.
 
-    Events of a micro-batch are summed up in cells of the gap's length, as ``debounce_changes`` does, so a busy key costs
-    memory for its cells and not for its events.
+    A call to the state store costs the same for one key as for many, so the keys of a bucket are held together, each with a time of its own;
+    the bucket's one timer is set to the earliest. Events of a micro-batch are summed up in cells of the gap's length, as ``debounce_changes``
+    does, so a busy key costs memory for its cells and not for its events.
     """
 
     def __init__(self, gap_micros: int, idle_ms: int):
@@ -62,48 +68,64 @@ class BurstEnds(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", EVENT)
+        self.held = handle.getValueState("held", HELD)
+
+    def _cells(self, events: pd.DataFrame) -> pd.DataFrame:
+        """One row per key and cell, in order: the last event and the time of the first."""
+        ordered = events.assign(k=pd.factorize(events["key"])[0]).sort_values(["k", "cell", "at", "event_id"], na_position="first")
+        cells = ordered.drop_duplicates(["k", "cell"], keep="last")
+        return cells.assign(first=ordered.groupby(["k", "cell"], sort=False)["first"].min().to_numpy())
+
+    def _timed(self, events: pd.DataFrame) -> pd.DataFrame:
+        """Events that have a time, as cells of their own."""
+        timed = events.loc[events["at"].notna(), EVENT.names].astype({"at": "int64", "event_id": "Int64"})
+        return timed.assign(cell=timed["at"] // self.gap, first=timed["at"])
+
+    def _known(self) -> pd.DataFrame:
+        columns = self.held.get() if self.held.exists() else [[] for _ in HELD]
+        return pd.DataFrame(dict(zip(HELD.names, map(list, columns)))).astype({"at": "int64", "event_id": "Int64", "due": "int64"})
+
+    def _hold(self, held: pd.DataFrame) -> None:
+        self.held.update(tuple([None if v is pd.NA else v for v in held[name].tolist()] for name in HELD.names))
+        due, timers = int(held["due"].min()), list(self.handle.listTimers())
+        for timer in timers:
+            if timer != due:
+                self.handle.deleteTimer(timer)
+        if due not in timers:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cells: dict[int, tuple[int, tuple]] = {}
-
-        def add(first: int, last: tuple) -> None:
-            cell = last[0] // self.gap
-            known = cells.get(cell)
-            cells[cell] = (first, last) if known is None else (min(first, known[0]), max(last, known[1], key=lambda e: e[:2]))
-
-        if self.held.exists():
-            event = tuple(self.held.get())
-            add(event[0], event)
+        cells = None
         for part in rows:
-            part = part.assign(cell=part["at"] // self.gap).sort_values(["at", "event_id"])
-            firsts = part.groupby("cell")["at"].min()
-            for cell, at, event_id, body in part.groupby("cell", sort=False)[["at", "event_id", "body"]].tail(1).assign(
-                    cell=lambda p: p["at"] // self.gap)[["cell", "at", "event_id", "body"]].itertuples(index=False):
-                add(int(firsts[cell]), (int(at), int(event_id), body))
-        newest = max(cells)
-        done = [last for cell, (_, last) in sorted(cells.items()) if cell != newest
-                and (cell + 1 not in cells or cells[cell + 1][0] >= last[0] + self.gap)]
-        self.held.update(cells[newest][1])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        if done:
-            yield self._rows(key, done)
+            part = self._cells(self._timed(part))
+            cells = part if cells is None else self._cells(pd.concat([cells, part]))
+        if cells is None or cells.empty:
+            return
+        known = self._known()
+        touched = known["key"].isin(cells["key"])
+        if touched.any():
+            cells = self._cells(pd.concat([cells, self._timed(known[touched])]))
+        goes_on = cells["k"].eq(cells["k"].shift(-1))
+        apart = cells["cell"].shift(-1).ne(cells["cell"] + 1) | cells["first"].shift(-1).ge(cells["at"] + self.gap)
+        newest = cells.loc[~goes_on, EVENT.names].assign(due=timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        self._hold(newest if touched.all() else pd.concat([known[~touched], newest]))
+        done = cells.loc[goes_on & apart, EVENT.names]
+        if not done.empty:
+            yield done
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
-            event = tuple(self.held.get())
+        known = self._known()
+        over = known["due"] <= timerValues.getCurrentProcessingTimeInMs()
+        if over.all():
             self.held.clear()
-            yield self._rows(key, [event])
+        else:
+            self._hold(known[~over])
+        if over.any():
+            yield known.loc[over, EVENT.names]
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _rows(key, events: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *e) for e in events], columns=["key", *EVENT.names])
-
 
 def debounce_timers(events: DataFrame, gap: str = "250 milliseconds", idle: str | None = None, key: str = "node_id") -> DataFrame:
     """Last event of each burst per key, the newest one as soon as its key has been quiet for ``idle`` (by the clock; ``gap`` by default).
@@ -117,9 +139,9 @@ def debounce_timers(events: DataFrame, gap: str = "250 milliseconds", idle: str
     body = F.to_json(F.struct(*(c for c in events.columns if c not in (key, "ts", "event_id"))))
     packed = events.filter(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("key"), at.alias("at"), F.col("event_id").cast("long"), body.alias("body"))
-    ends = packed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=BurstEnds(micros[0], max(1, micros[1] // 1000)),
-        outputStructType=T.StructType([T.StructField("key", T.StringType()), *EVENT.fields]), outputMode="Update", timeMode="ProcessingTime")
+    bucketed = packed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    ends = bucketed.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=BurstEnds(micros[0], max(1, micros[1] // 1000)), outputStructType=EVENT, outputMode="Update", timeMode="ProcessingTime")
     kinds = {f.name: f.dataType for f in events.schema.fields}
     others = T.StructType([f for f in events.schema.fields if f.name not in (key, "ts", "event_id")])
     whole = ends.withColumn("body", F.from_json("body", others))

@@ -77,18 +77,21 @@ class StreamTable:
                 if query.exception() or time.monotonic() > end:
                     raise query.exception() or TimeoutError(f"keys are still held after {most_seconds} seconds")
                 time.sleep(0.1)
-            while query.status["isTriggerActive"] and time.monotonic() < end:
+            # let the batch of this moment end, but no more: batches longer than ``every`` follow each other without a pause
+            settled = query.lastProgress.batchId
+            while query.status["isTriggerActive"] and query.lastProgress.batchId <= settled and time.monotonic() < end:
                 time.sleep(0.01)
         finally:
             query.stop()
         return self.read(stream)
 
     def read(self, stream: DataFrame) -> DataFrame:
-        """What was written, with its ``batch``; empty before the first batch."""
+        """What complete batches wrote, with its ``batch``; empty before the first batch."""
         schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-        if not self._batches():
+        done = self._batches()
+        if not done:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*(f"{self.path}/batch={b}" for b in done))
 
 
 class StateTable(StreamTable):

@@ -3,12 +3,13 @@ import json
 import struct
 import zlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from frameops.operators import masklog as E
 from frameops.plans import video as plans
 from frameops.sources import images, media
-from frameops.streaming.masklog import current_state, debounce_stream, debounce_timers, mask_state_changes
+from frameops.streaming.masklog import BurstEnds, current_state, debounce_stream, debounce_timers, mask_state_changes
 from frameops.streaming.media import stream_new_media
 from frameops.streaming.tables import StateTable, StreamTable
 from workload import fixtures as X
@@ -159,6 +160,107 @@ def test_held_events_are_prolonged_across_batches(spark, tmp_path):
     assert sorted((r.node_id, r.video) for r in got.collect()) == [("a", "v170"), ("b", "v0"), ("b", "v500"), ("b", "v700")]
 
 
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+class _Store:
+    """State and timers of one bucket; ``calls`` counts what a real one would be asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def _bucket(gap=100, idle=50):
+    ends, store = BurstEnds(gap, idle), _Store()
+    ends.init(store)
+
+    def arrive(now, *events):
+        parts = [pd.DataFrame([e], columns=["key", "at", "event_id", "body"]).assign(bucket=3) for e in events]
+        return sorted(r for out in ends.handleInputRows((3,), iter(parts), _Clock(now)) for r in out[["key", "event_id"]].itertuples(index=False, name=None))
+
+    def expire(now):
+        due = store.timers.pop()
+        assert due <= now and not store.timers
+        return sorted(r for out in ends.handleExpiredTimer((3,), _Clock(now), None) for r in out[["key", "event_id"]].itertuples(index=False, name=None))
+
+    return store, arrive, expire
+
+
+def test_keys_of_a_bucket_keep_times_of_their_own():
+    store, arrive, expire = _bucket()
+    assert arrive(1000, ("a", 0, 1, "{}"), ("b", 0, 2, "{}"), ("a", 30, 3, "{}")) == [] and store.timers == [1050]
+    # a is prolonged, b is not; c has a burst that ends at once
+    assert arrive(1040, ("a", 120, 4, "{}"), ("c", 0, 5, "{}"), ("c", 500, 6, "{}")) == [("c", 5)] and store.timers == [1050]
+    assert expire(1060) == [("b", 2)] and store.timers == [1090]
+    assert arrive(1070, ("b", 900, 7, "{}"), ("a", 221, 8, "{}")) == [("a", 4)] and store.timers == [1090]
+    assert expire(1095) == [("c", 6)] and store.timers == [1120]
+    assert expire(1120) == [("a", 8), ("b", 7)] and store.timers == [] and store.value is None
+
+
+def test_state_is_asked_for_per_bucket_and_not_per_key():
+    calls = []
+    for n in (1, 500):
+        store, arrive, expire = _bucket()
+        arrive(1000, *((f"k{i}", 0, i, "{}") for i in range(n)))
+        assert expire(1050) == sorted((f"k{i}", i) for i in range(n))
+        calls.append(store.calls)
+    assert calls[0] == calls[1]
+
+
+def test_settling_ends_although_batches_follow_without_a_pause(spark, tmp_path, monkeypatch):
+    start, schema = dt.datetime(2024, 1, 1), "event_id long, ts timestamp_ntz, node_id string, video string"
+    spark.createDataFrame([(1, start, "a", "v")], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen, settled = [], StreamTable._settled
+
+    def watched(query):
+        done = settled(query)
+        if done:
+            seen.append(query.lastProgress.batchId)
+        return done
+
+    monkeypatch.setattr(StreamTable, "_settled", staticmethod(watched))
+    table = StreamTable(spark, "bursts", str(tmp_path))
+    got = table.settle(debounce_timers(stream, "6 hours", idle="1 second"), "update", every="1 millisecond", most_seconds=60)
+    assert [r.event_id for r in got.collect()] == [1]
+    assert max(int(p.name) for p in (tmp_path / "frameops" / "bursts" / "checkpoint" / "commits").glob("[0-9]*")) <= seen[0] + 2
+
+
 def test_loading_whole_videos(spark):
     videos, params, frames = X.videos(spark, SF), X.video_params(spark, SF), X.frames(spark, SF)
     loaded = plans.load_videos(videos, params, frames, X.mask_events(spark, SF))
