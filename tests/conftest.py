@@ -13,6 +13,8 @@ def spark():
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
+        # tests sum over all stages so far; the default forgets stages beyond the last thousand
+        spark__ui__retainedStages="1000000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
