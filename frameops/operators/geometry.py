@@ -253,7 +253,7 @@ def _masked_pixels(pixels: DataFrame, placed: DataFrame, words: DataFrame) -> Da
     y, x = F.col("y") + F.col("top"), F.col("x") + F.col("left")
     inside = (x >= 0) & (x < F.col("win_width")) & (y >= 0) & (y < F.col("win_height"))
     shown = with_image(pixels, placed).filter(inside).withColumn("word", F.shiftright("x", 6))
-    marked = shown.join(words, ["batch_id", "y", "word"])
+    marked = R.with_bits(shown, words)
     return marked.filter(_is_set()).select("batch_id", "image_id", y.alias("y"), x.alias("x"), "r", "g", "b")
 
 
@@ -267,7 +267,9 @@ def _unmasked_spots(placed: DataFrame, words: DataFrame, fill: Fill) -> DataFram
         .withColumn("word", F.explode(F.sequence(F.shiftright(first, 6), F.shiftright(last, 6))))
     )
     start, end = F.greatest(first, F.col("word") * 64), F.least(last, F.col("word") * 64 + 63)
-    spots = runs.join(words, ["batch_id", "y", "word"], "left").withColumn("x", F.explode(F.sequence(start, end)))
+    # dealt again: images of a batch meet its words in the same places, and are still to expand
+    marked = R.with_bits(runs, words, "left").repartition(wide(placed.sparkSession), "image_id", "dy", "word")
+    spots = marked.withColumn("x", F.explode(F.sequence(start, end)))
     return spots.filter(~_is_set()).select(
         "batch_id", "image_id", F.col("dy").alias("y"), (F.col("x") + F.col("left")).alias("x"), *_fill(fill)
     )

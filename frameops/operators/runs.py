@@ -60,6 +60,15 @@ def run_words(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return words.groupBy(*keys, "y", "word").agg(F.bit_or(bits).alias("bits"))
 
 
+def with_bits(spots: DataFrame, words: DataFrame, how: str = "inner") -> DataFrame:
+    """Add the ``bits`` of its word to each spot (``batch_id, y, word``), met in hash tables of words.
+
+    Words expand from few images or runs. The optimiser takes them to be as small as those, and left to it, the words
+    of all batches would be broadcast through the driver.
+    """
+    return spots.join(words.hint("shuffle_hash"), ["batch_id", "y", "word"], how)
+
+
 def run_bbox(runs: DataFrame) -> DataFrame:
     """Half-open bounding box of the runs of every batch that selects anything."""
     return run_summary(runs).filter("any").drop("any")
@@ -94,6 +103,7 @@ def spelt_out(runs: DataFrame, frames: DataFrame) -> DataFrame:
     masked = frames.join(runs.select("batch_id").distinct(), "batch_id", "left_semi").filter("width > 0 AND height > 0")
     lines = masked.withColumn("y", F.expr("explode(sequence(0, height - 1))")).repartition(wide(runs.sparkSession), "batch_id", "y")
     words = lines.withColumn("word", F.expr("explode(sequence(0, shiftright(width - 1, 6)))"))
-    spots = words.join(run_words(runs), ["batch_id", "y", "word"], "left").withColumn(
-        "x", F.expr("explode(sequence(word * 64, least(word * 64 + 63, width - 1)))"))
+    # dealt again: the words of one batch meet by line, and are still to expand
+    marked = with_bits(words, run_words(runs), "left").repartition(wide(runs.sparkSession), "batch_id", "y", "word")
+    spots = marked.withColumn("x", F.expr("explode(sequence(word * 64, least(word * 64 + 63, width - 1)))"))
     return spots.select("batch_id", "y", "x", F.expr("coalesce(shiftright(bits, x & 63) & 1, 0) = 1").alias("selected"))

@@ -49,6 +49,15 @@ def test_pixels_are_not_broadcast(spark, name, joins):
             assert "Generate" not in below
 
 
+@pytest.mark.parametrize("name, joins", [("pose_only_fill", 2), ("mask_union_runs", 1)])
+def test_mask_bits_are_not_broadcast(spark, name, joins):
+    """Words of bits expand from few rows, so the optimiser takes them to be few as well."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    by_word = r"HashJoin \[batch_id#\d+L, y#\d+, word#\d+\], \[batch_id#\d+L, y#\d+, word#\d+\], (?:Inner|LeftOuter), BuildRight"
+    assert len(re.findall("Shuffled" + by_word, plan)) == joins
+    assert not re.findall("Broadcast" + by_word, plan)
+
+
 def test_images_are_dealt_out_before_they_are_spelt_out(spark):
     plan = plan_of(QUERIES["image_pixels"](spark, SF))
     assert plan.count("array_join(") == 1
