@@ -49,7 +49,7 @@ def test_pixels_are_not_broadcast(spark, name, joins):
             assert "Generate" not in below
 
 
-@pytest.mark.parametrize("name, joins", [("pose_only_fill", 2), ("mask_union_runs", 1)])
+@pytest.mark.parametrize("name, joins", [("pose_only_fill", 2), ("pose_only_fill_runs", 2), ("mask_union_runs", 1)])
 def test_mask_bits_are_not_broadcast(spark, name, joins):
     """Words of bits expand from few rows, so the optimiser takes them to be few as well."""
     plan = plan_of(QUERIES[name](spark, SF))
