@@ -150,7 +150,7 @@ def _batch_frames(images: DataFrame) -> DataFrame:
 
 
 def _without_mask(united: DataFrame, images: DataFrame) -> DataFrame:
-    return _batch_frames(images).join(united.select("batch_id").distinct(), "batch_id", "left_anti")
+    return _batch_frames(images).join(united.select("batch_id").distinct().hint("shuffle_hash"), "batch_id", "left_anti")
 
 
 def mask_or_full(mask_pixels: DataFrame, images: DataFrame) -> DataFrame:
@@ -175,12 +175,11 @@ def mask_summary(masks: DataFrame) -> DataFrame:
 
 
 def _bbox_or_full(summary: DataFrame, images: DataFrame) -> DataFrame:
-    given = summary.filter("any").drop("any").join(images.select("batch_id").distinct(), "batch_id", "left_semi")
+    """Frames meet the summary of their masks once, in hash tables of batches: neither is broadcast through the driver."""
+    frames = _batch_frames(images).join(summary.hint("shuffle_hash"), "batch_id", "left").filter("any IS NULL OR any")
     zero = F.lit(0)
-    whole = _without_mask(summary, images).select(
-        "batch_id", zero.alias("min_x"), F.col("width").alias("max_x"), zero.alias("min_y"), F.col("height").alias("max_y")
-    )
-    return given.unionByName(whole)
+    whole = {"min_x": zero, "max_x": F.col("width"), "min_y": zero, "max_y": F.col("height")}
+    return frames.select("batch_id", *(F.when(F.col("any"), F.col(name)).otherwise(side).alias(name) for name, side in whole.items()))
 
 
 def batch_bbox(masks: DataFrame, images: DataFrame) -> DataFrame:
@@ -203,7 +202,7 @@ def pose_window(bbox: DataFrame, width_change: int = 0, height_change: int = 0,
 
 
 def _untouched(pixels: DataFrame, summary: DataFrame, images: DataFrame) -> DataFrame:
-    unmoved = images.join(summary.filter("NOT any").select("batch_id"), "batch_id", "left_semi").select("image_id")
+    unmoved = images.join(summary.filter("NOT any").select("batch_id").hint("shuffle_hash"), "batch_id", "left_semi").select("image_id")
     return pixels.join(unmoved, "image_id", "left_semi").select(*PIXEL)
 
 
@@ -215,7 +214,7 @@ def empty_mask_passthrough(pixels: DataFrame, masks: DataFrame, images: DataFram
 def pose_placement(images: DataFrame, summary: DataFrame, **change: int) -> DataFrame:
     """Per image of a batch with a window: where its corner goes, its size and the window's."""
     window = pose_window(_bbox_or_full(summary, images), **change)
-    return images.join(window, "batch_id").select(
+    return images.join(window.hint("shuffle_hash"), "batch_id").select(
         "image_id", "batch_id", (-F.col("start_x")).alias("left"), (-F.col("start_y")).alias("top"),
         F.col("width").alias("w"), F.col("height").alias("h"), "win_width", "win_height",
     )

@@ -33,7 +33,7 @@ def mask_runs(mask_pixels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
     zero = F.lit(0)
     nothing = mask_pixels.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("m") > 0.5), F.lit(False)).alias("any")).filter("NOT any").select(
         *keys, zero.alias("y"), zero.alias("x_from"), zero.alias("x_to"))
-    return union_runs(inside, keys).unionByName(nothing)
+    return _swept(inside, keys).unionByName(nothing)
 
 
 def union_runs(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -43,13 +43,17 @@ def union_runs(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     runs as it has positions, whatever the number of masks.
     """
     longest = runs.filter("x_to > x_from").groupBy(*keys, "y", "x_from").agg(F.max("x_to").alias("x_to"))
+    empty = runs.groupBy(*keys).agg(F.max(F.col("x_to") > F.col("x_from")).alias("any"), F.min("y").alias("y")).filter("NOT any")
+    return _swept(longest, keys).unionByName(empty.select(*keys, "y", F.lit(0).alias("x_from"), F.lit(0).alias("x_to")))
+
+
+def _swept(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Runs that overlap or touch become one; none is empty and no two of a line begin at the same place."""
     line = Window.partitionBy(*keys, "y").orderBy("x_from")
     reach = F.max("x_to").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    opened = longest.withColumn("opens", F.coalesce(F.col("x_from") > reach, F.lit(True)).cast("int"))
+    opened = runs.withColumn("opens", F.coalesce(F.col("x_from") > reach, F.lit(True)).cast("int"))
     swept = opened.withColumn("island", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    united = swept.groupBy(*keys, "y", "island").agg(F.min("x_from").alias("x_from"), F.max("x_to").alias("x_to")).drop("island")
-    empty = runs.groupBy(*keys).agg(F.max(F.col("x_to") > F.col("x_from")).alias("any"), F.min("y").alias("y")).filter("NOT any")
-    return united.unionByName(empty.select(*keys, "y", F.lit(0).alias("x_from"), F.lit(0).alias("x_to")))
+    return swept.groupBy(*keys, "y", "island").agg(F.min("x_from").alias("x_from"), F.max("x_to").alias("x_to")).drop("island")
 
 
 def run_words(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -58,6 +58,19 @@ def test_mask_bits_are_not_broadcast(spark, name, joins):
     assert not re.findall("Broadcast" + by_word, plan)
 
 
+@pytest.mark.parametrize("name, exchanges", [("pose_crop_fill", 18), ("pose_only_fill", 33), ("pose_only_fill_runs", 60)])
+def test_driver_holds_neither_summaries_nor_a_mask_per_use(spark, name, exchanges):
+    """Summaries and windows grow with the batches. The driver also keeps the plan, and makes a new one after every stage."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    # ids of images whose masks select nothing
+    assert plan.count("BroadcastExchange") == 1
+    assert plan.count("Exchange hashpartitioning") <= exchanges
+
+
+def test_runs_are_made_from_one_pass_over_positions_and_one_over_masks(spark):
+    assert plan_of(QUERIES["mask_runs"](spark, SF)).count("FileScan") == 2
+
+
 def test_images_are_dealt_out_before_they_are_spelt_out(spark):
     plan = plan_of(QUERIES["image_pixels"](spark, SF))
     assert plan.count("array_join(") == 1

@@ -8,13 +8,18 @@ MASK = "batch_id long, mask_idx long, y int, x int, m double"
 RUN = "batch_id long, mask_idx long, y int, x_from int, x_to int"
 
 
+SEEN = {}
+
+
 def stage_totals(spark):
-    """Rows read from files and rows written to exchanges, over all stages so far."""
+    """Rows read from files and rows written to exchanges, over all stages so far; Spark may have forgotten the first of them."""
     context, jvm = spark.sparkContext, spark._jvm
     none = context._gateway.new_array(context._gateway.jvm.double, 0)
     stages = context._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
-    each = [stages.apply(i) for i in range(stages.size())]
-    return sum(s.inputRecords() for s in each), sum(s.shuffleWriteRecords() for s in each)
+    seen = SEEN.setdefault(context.applicationId, {})
+    for s in (stages.apply(i) for i in range(stages.size())):
+        seen[s.stageId(), s.attemptId()] = s.inputRecords(), s.shuffleWriteRecords()
+    return tuple(map(sum, zip(*seen.values()))) or (0, 0)
 
 
 def plain_runs(mask):
@@ -80,6 +85,15 @@ def test_pose_from_runs(spark, rows):
         assert rows(G.pose_setup(pixels, images, R.mask_runs(masks), **change)) == rows(G.pose_setup(pixels, images, masks, **change))
 
 
+def test_boxes_of_batches_with_and_without_masks(spark, rows):
+    images = spark.createDataFrame([(1, 1, 8, 6), (1, 1, 8, 6), (2, 2, 8, 6), (3, 3, 8, 6), (4, 3, 9, 5), (5, None, 8, 6)],
+                                   "image_id long, batch_id long, width int, height int")
+    masks = spark.createDataFrame([(b, 0, y, x, 0.9 if b != 2 else 0.1) for b in (1, 2, 7, None) for y in (2, 3) for x in (4, 5)], MASK)
+    for given in (masks, R.mask_runs(masks)):
+        got = {tuple(r) for r in G.batch_bbox(given, images).collect()}
+        assert got == {(1, 4, 6, 2, 4), (3, 0, 9, 0, 6), (None, 0, 8, 0, 6)}
+
+
 @pytest.fixture(scope="module")
 def tiled(spark, tmp_path_factory):
     """24 images of 60 x 60 in tiles of 6 x 6, 12 images to a zone."""
